@@ -1,0 +1,86 @@
+"""Replay of audited prompts under other policies, and what changes."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.screening import audit_rows, screen, screen_all
+from ..sources.policies import Policy
+
+_CARRIED = ("ts", "prompt", "app_id", "context")
+
+
+def replay_id(original_id: Column, policy_id: Column) -> Column:
+    """Deterministic, so that a rerun writes the same records."""
+    return F.md5(F.concat_ws(":", F.lit("replay"), original_id, policy_id))
+
+
+def _as_prompts(audit: DataFrame) -> DataFrame:
+    return audit.select(
+        F.col("request_id").alias("replay_of"),
+        *_CARRIED,
+        F.struct("policy_id", "decision", "scores", "matches").alias("original"),
+    )
+
+
+def _with_ids(verdicts: DataFrame) -> DataFrame:
+    return verdicts.withColumn("request_id", replay_id(F.col("replay_of"), F.col("policy_id")))
+
+
+def replay_all(audit: DataFrame, policies: Sequence[Policy] | None = None) -> DataFrame:
+    """Each audited raw prompt screened again under every policy.
+
+    The original verdict travels along in `original`, so comparing needs no join.
+    """
+    return _with_ids(screen_all(_as_prompts(audit), policies))
+
+
+def replay_requested(
+    audit: DataFrame, requests: DataFrame, policies: Sequence[Policy] | DataFrame | None = None
+) -> DataFrame:
+    """Replays asked for as (request_id, policy_id); unknown ids and policies drop out."""
+    asked = requests.select(F.col("request_id").alias("replay_of"), "policy_id").distinct()
+    return _with_ids(screen(_as_prompts(audit).join(asked, "replay_of"), policies))
+
+
+def replay_audit_rows(replays: DataFrame) -> DataFrame:
+    return audit_rows(replays)
+
+
+def _match_names(matches: Column) -> Column:
+    return F.transform(matches, lambda m: F.concat_ws(":", m["category"], m["type"]))
+
+
+def diff(original: Column, replay: Column) -> dict[str, Column]:
+    """Change of decision, matches gained and lost, and score deltas."""
+    before, after = _match_names(original["matches"]), _match_names(replay["matches"])
+    return {
+        "changed": original["decision"] != replay["decision"],
+        "gained": F.array_except(after, before),
+        "lost": F.array_except(before, after),
+        "delta_prompt_injection": replay["scores"]["prompt_injection"]
+        - original["scores"]["prompt_injection"],
+        "delta_pii": replay["scores"]["pii"] - original["scores"]["pii"],
+        "delta_secrets": replay["scores"]["secrets"] - original["scores"]["secrets"],
+    }
+
+
+def transitions(pairs: DataFrame) -> DataFrame:
+    """Count of replays by (policies, decisions) with the changed flag.
+
+    `pairs` holds the structs `original` and `replay`.
+    """
+    before, after = F.col("original"), F.col("replay")
+    return (
+        pairs.groupBy(
+            before["policy_id"].alias("from_policy"),
+            after["policy_id"].alias("to_policy"),
+            before["decision"].alias("from_decision"),
+            after["decision"].alias("to_decision"),
+        )
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("changed", F.col("from_decision") != F.col("to_decision"))
+    )
