@@ -21,19 +21,35 @@ def _any_of(lower: Column, *words: str) -> Column:
     return reduce(lambda a, b: a | b, [lower.contains(w) for w in words])
 
 
+# Words one of which occurs, in lower case, wherever the pattern matches.
+_WORDS = {
+    "AWS_SECRET_KEY": ("secret",),
+    "PASSWORD": ("password",),
+    "PIN": ("pin",),
+    "MISCONDUCT": ("pick", "shoplift", "wire", "break", "launder", "counterfeit", "evade"),
+    "medical_diagnosis": ("ibuprofen", "dos", "mg", "diagnos", "symptom", "medication", "prescri"),
+    "legal_advice": ("lawsuit", "legal advice", "sue", "liab", "contract law"),
+}
+_DIGITS = r"[0-9]{3}"
+
+
 def _gate(name: str, text: Column, lower: Column) -> Column | None:
     """A cheap condition that holds whenever the named pattern can match."""
+    if name in _WORDS:
+        return _any_of(lower, *_WORDS[name])
     return {
-        "US_SOCIAL_SECURITY_NUMBER": lambda: text.contains("-"),
+        "US_SOCIAL_SECURITY_NUMBER": lambda: text.contains("-") & text.rlike(_DIGITS),
         "EMAIL": lambda: text.contains("@"),
-        "PHONE": lambda: text.rlike(P.Pattern("", r"\d{3}[-.\s]?\d{4}").java),
+        "PHONE": lambda: text.rlike(_DIGITS)
+        & text.rlike(P.Pattern("", r"\d{3}[-.\s]?\d{4}").java),
         "AWS_ACCESS_KEY": lambda: text.contains("AKIA"),
-        "AWS_SECRET_KEY": lambda: lower.contains("secret"),
-        "PASSWORD": lambda: lower.contains("password"),
-        "PIN": lambda: lower.contains("pin"),
     }.get(name, lambda: None)()
 
 
+def _occurs(text: Column, lower: Column, pattern: P.Pattern) -> Column:
+    return _gate(pattern.name, text, lower) & text.rlike(pattern.java)
+
+
 def span_of(text: Column, match: Column) -> Column:
     """First occurrence of the match, end exclusive, in UTF-16 units; NULL if none."""
     at = F.instr(text, match)
@@ -68,8 +84,8 @@ def secret_hits(text: Column, lower: Column) -> Column:
     return pattern_hits(text, lower, P.SECRETS)
 
 
-def misconduct(text: Column) -> Column:
-    return text.rlike(P.MISCONDUCT.java)
+def misconduct(text: Column, lower: Column) -> Column:
+    return _occurs(text, lower, P.MISCONDUCT)
 
 
 def injection_flags(text: Column, lower: Column) -> list[Column]:
@@ -101,10 +117,10 @@ def injection_indicators(flags: Column) -> Column:
     return F.array_distinct(F.filter(named, lambda n: n.isNotNull()))
 
 
-def topic_hits(text: Column) -> Column:
+def topic_hits(text: Column, lower: Column) -> Column:
     """Names of the known topics whose keywords occur, whatever a policy denies."""
     return F.filter(
-        F.array(*[F.when(text.rlike(t.java), t.name) for t in P.TOPICS]),
+        F.array(*[F.when(_occurs(text, lower, t), t.name) for t in P.TOPICS]),
         lambda n: n.isNotNull(),
     )
 

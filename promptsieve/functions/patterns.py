@@ -88,8 +88,15 @@ PII = (
         "PHONE",
         r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
         open_edges=True,
+        # Test the first character before the two-sided word edge.
+        java_source=r"(?=[+(\d])\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
+    ),
+    Pattern(
+        "NAME",
+        r"\b[A-Z][a-z]+ [A-Z][a-z]+\b",
+        # Look behind only where a capital was found.
+        java_source=r"[A-Z](?<!\w[A-Z])[a-z]+ [A-Z][a-z]+\b",
     ),
-    Pattern("NAME", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"),
 )
 
 SECRETS = (
@@ -177,4 +184,9 @@ HIDDEN_CHARS = "[" + "".join(c[1:-1] for c in (TAG_CHARS, BIDI_CONTROL, ZERO_WID
 HOMOGLYPH_FROM = "".join(map(chr, HOMOGLYPHS))
 HOMOGLYPH_TO = "".join(HOMOGLYPHS.values())
 HOMOGLYPH_CLASS = "[" + "".join(rf"\x{{{cp:04X}}}" for cp in HOMOGLYPHS) + "]"
+# One range around all look-alikes: cheaper to test than the class itself.
+HOMOGLYPH_RANGE = rf"[\x{{{min(HOMOGLYPHS):04X}}}-\x{{{max(HOMOGLYPHS):04X}}}]"
+# Every character that stripping, NFKC or the look-alike map can act on.  Outside it
+# lie ASCII and the accented Latin letters U+00C0..U+012F, which all three keep.
+MAY_CHANGE = r"[\x{80}-\x{BF}\x{0130}-\x{10FFFF}]"
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"

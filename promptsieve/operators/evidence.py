@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import detectors as D
+from ..functions.memo import per_session
 from ..functions.text import SANITIZED, sanitize
 
 # Stamp stored evidence with this, and recompute it when the detectors change.
@@ -17,32 +18,34 @@ EVIDENCE = SANITIZED + (
 )
 
 
+@per_session
+def _stages() -> list[dict[str, Column]]:
+    text, lower, flags = F.col("normalized"), F.col("_lower"), F.col("_flags")
+    return [
+        {"_lower": F.lower(text)},
+        {
+            "pii_hits": D.pii_hits(text, lower),
+            "secret_hits": D.secret_hits(text, lower),
+            "_flags": F.array(*D.injection_flags(text, lower)),
+            "topic_hits": D.topic_hits(text, lower),
+            "misconduct": D.misconduct(text, lower),
+        },
+        {
+            "inj_confidence": D.injection_confidence(flags),
+            "inj_indicators": D.injection_indicators(flags),
+        },
+    ]
+
+
 def evidence(df: DataFrame, prompt: str = "prompt", nfkc_engine: str = "jvm") -> DataFrame:
     """Add the evidence columns to every row; no shuffle, no Python.
 
     Only what later steps read is computed: an unused detector is pruned away.
     """
-    text, lower, flags = F.col("normalized"), F.col("_lower"), F.col("_flags")
-    return (
-        sanitize(df, prompt, nfkc_engine)
-        .withColumn("_lower", F.lower(text))
-        .withColumns(
-            {
-                "pii_hits": D.pii_hits(text, lower),
-                "secret_hits": D.secret_hits(text, lower),
-                "_flags": F.array(*D.injection_flags(text, lower)),
-                "topic_hits": D.topic_hits(text),
-                "misconduct": D.misconduct(text),
-            }
-        )
-        .withColumns(
-            {
-                "inj_confidence": D.injection_confidence(flags),
-                "inj_indicators": D.injection_indicators(flags),
-            }
-        )
-        .drop("_lower", "_flags")
-    )
+    df = sanitize(df, prompt, nfkc_engine)
+    for stage in _stages():
+        df = df.withColumns(stage)
+    return df.drop("_lower", "_flags")
 
 
 def _entities(hits: Column, action: str) -> Column:
@@ -113,8 +116,10 @@ def mask_entities(text: Column, entities: Column, opening: Column, closing: Colu
     )
 
 
-def guardrail_evidence(policy: Column) -> Column:
-    """Guardrail result of an evidence row under a policy struct."""
+@per_session
+def guardrail_evidence() -> Column:
+    """Guardrail result of an evidence row under its `policy` struct."""
+    policy = F.col("policy")
     pii = _entities(F.col("pii_hits"), "ANONYMIZED")
     secrets = _entities(F.col("secret_hits"), "BLOCKED")
     topics = F.transform(

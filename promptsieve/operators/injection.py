@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import detectors as D
+from ..functions.memo import per_session
 
 # (prompts, denied topics) -> frame with detected, confidence, indicators, topic_scores
 Scorer = Callable[[pd.Series, pd.Series], pd.DataFrame]
@@ -59,7 +60,10 @@ def answered_injection(answer: Column, escalated: Column) -> Column:
     ).cast(S.INJECTION)
 
 
-def heuristic_answer(policy: Column) -> Column:
+@per_session
+def heuristic_answer() -> Column:
+    """The cheap tier's answer for an evidence row under its `policy` struct."""
+    policy = F.col("policy")
     return F.struct(
         (F.col("inj_confidence") > 0).alias("detected"),
         F.col("inj_confidence").alias("confidence"),
@@ -68,6 +72,11 @@ def heuristic_answer(policy: Column) -> Column:
     )
 
 
+@per_session
+def _cheap_tier() -> Column:
+    return answered_injection(heuristic_answer(), F.col("_tier"))
+
+
 def scorer_udf(scorer: Scorer):
     """Arrow UDF around a batch scorer.
 
@@ -115,7 +124,7 @@ def with_injection(df: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     df = df.withColumn(
         "_tier", escalation(F.col("inj_confidence"), F.col("obfuscated"))["escalate"]
     )
-    cheap = answered_injection(heuristic_answer(policy), F.col("_tier"))
+    cheap = _cheap_tier()
     if scorer is None:
         result = cheap
     else:
@@ -171,7 +180,7 @@ def with_ingested_injection(
     """As `with_injection`, with the escalated tier answered by stored responses."""
     policy = F.col("policy")
     tier = escalation(F.col("inj_confidence"), F.col("obfuscated"))["escalate"]
-    cheap = answered_injection(heuristic_answer(policy), F.lit(False))
+    cheap = answered_injection(heuristic_answer(), F.lit(False))
     result = (
         F.when(~F.col("_tier"), cheap)
         .when(

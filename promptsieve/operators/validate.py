@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import patterns as P
+from ..functions.memo import per_session
 from ..functions.text import utf16_length
 
 # Messages a failed check reports.
@@ -34,6 +35,7 @@ def prompt_length(prompt: Column) -> Column:
     return utf16_length(prompt)
 
 
+@per_session
 def request_issues() -> Column:
     """All failed checks of a request as array<struct<path, message>>."""
     prompt, context = F.col("prompt"), F.col("context")
@@ -55,6 +57,7 @@ def request_issues() -> Column:
     )
 
 
+@per_session
 def replay_request_issues() -> Column:
     checks = []
     for name in ("request_id", "policy_id"):
@@ -74,6 +77,7 @@ def validate(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+@per_session
 def verdict_violations() -> Column:
     """Names of the output-contract checks a verdict row fails."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.memo import per_session
 from .evidence import mask_entities
 
 VERDICT = (
@@ -70,34 +71,27 @@ def _joined_or(parts: Column, fallback: str) -> Column:
     return F.when(F.char_length(joined) > 0, joined).otherwise(fallback)
 
 
-def combine(df: DataFrame) -> DataFrame:
-    """Add the verdict columns.
-
-    Needs `policy`, `guardrail`, `injection` (NULL where the screener did not run),
-    `normalized`, `obfuscated` and `obf_indicators`.  The decision is the strongest
-    contribution of any evidence: block > redact > allow.
-    """
+@per_session
+def _stages() -> list[dict[str, Column]]:
     policy, guardrail, injection = F.col("policy"), F.col("guardrail"), F.col("injection")
     active, attack = F.col("_active"), F.col("_attack")
     content = F.filter(guardrail["content"], lambda c: c["type"] != S.PROMPT_ATTACK)
 
-    df = df.withColumns(
-        {
-            "_active": F.when(
-                injection.isNotNull()
-                & ~F.coalesce(injection["skipped"], F.lit(False))
-                & (policy["mode"] != "off"),
-                injection,
-            ),
-            "_attack": F.get(
-                F.filter(
-                    guardrail["content"],
-                    lambda c: (c["type"] == S.PROMPT_ATTACK) & c["detected"],
-                ),
-                F.lit(0),
+    sources = {
+        "_active": F.when(
+            injection.isNotNull()
+            & ~F.coalesce(injection["skipped"], F.lit(False))
+            & (policy["mode"] != "off"),
+            injection,
+        ),
+        "_attack": F.get(
+            F.filter(
+                guardrail["content"],
+                lambda c: (c["type"] == S.PROMPT_ATTACK) & c["detected"],
             ),
-        }
-    )
+            F.lit(0),
+        ),
+    }
     fired = F.coalesce(
         active["detected"] & (active["confidence"] >= policy["threshold"]), F.lit(False)
     )
@@ -162,16 +156,15 @@ def combine(df: DataFrame) -> DataFrame:
         | F.exists(guardrail["topics"], lambda t: t["detected"] & (t["action"] == "BLOCKED"))
         | F.exists(content, lambda c: c["detected"] & (c["action"] == "BLOCKED"))
     )
-    df = df.withColumns(
-        {
-            "matches": matches,
-            "decision": F.when(blocked, "block").when(has_pii, "redact").otherwise("allow"),
-        }
-    )
     decision = F.col("decision")
     reason, advice = explain(decision, F.col("matches"))
     placeholder = policy["redaction_style"] == "placeholder"
-    return df.withColumns(
+    return [
+        sources,
+        {
+            "matches": matches,
+            "decision": F.when(blocked, "block").when(has_pii, "redact").otherwise("allow"),
+        },
         {
             "recommended_action": recommended_action(decision),
             "scores": scores(guardrail, active, attack),
@@ -187,8 +180,20 @@ def combine(df: DataFrame) -> DataFrame:
             "reason": reason,
             "advice": advice,
             "escalated": injection["escalated"],
-        }
-    ).drop("_active", "_attack")
+        },
+    ]
+
+
+def combine(df: DataFrame) -> DataFrame:
+    """Add the verdict columns.
+
+    Needs `policy`, `guardrail`, `injection` (NULL where the screener did not run),
+    `normalized`, `obfuscated` and `obf_indicators`.  The decision is the strongest
+    contribution of any evidence: block > redact > allow.
+    """
+    for stage in _stages():
+        df = df.withColumns(stage)
+    return df.drop("_active", "_attack")
 
 
 def recommended_action(decision: Column) -> Column:
