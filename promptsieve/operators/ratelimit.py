@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .skew import HOT_SHARE, lookup_join, rank_up_to
 
 HOUR = 3_600
@@ -34,6 +35,7 @@ class RateLimits:
 
 
 COUNTER = ("tier", "counter", "bucket")
+GLOBAL_TIER = 4
 
 
 def identity(client_header: Column, forwarded_for: Column, remote_ip: Column) -> tuple[Column, Column]:
@@ -68,7 +70,7 @@ def tiers(client_id: Column, ip: Column, limits: RateLimits) -> Column:
         tier(1, "user/day", user(":d"), DAY, limits.user_per_day),
         tier(2, "ip/hour", addr(":h"), HOUR, limits.ip_per_hour),
         tier(3, "ip/day", addr(":d"), DAY, limits.ip_per_day),
-        tier(4, "global/day", F.lit("g:all:d"), DAY, limits.global_per_day),
+        tier(GLOBAL_TIER, "global/day", F.lit("g:all:d"), DAY, limits.global_per_day),
     )
 
 
@@ -134,15 +136,13 @@ def counters(
     )
 
 
-def cutoffs(
-    requests: DataFrame,
-    limits: RateLimits = RateLimits(),
-    used: DataFrame | None = None,
-    horizon: int | None = None,
+def _cut_minutes(
+    requests: DataFrame, limits: RateLimits, used: DataFrame | None, horizon: int | None
 ) -> DataFrame:
-    """First denied request (ts, request_id) of every counter that runs over.
+    """The minute in which each overrun counter reaches its limit: one row per counter.
 
-    `used` holds counts carried over from earlier batches, as `counters` returns them.
+    `first_denied` is the rank, within that minute, of its first denied request;
+    `hot` and `hot_minute` mark counters and minutes holding a large share of the log.
     """
     counts = _minute_counts(requests, limits, horizon)
     if used is not None:
@@ -150,34 +150,53 @@ def cutoffs(
     else:
         counts = counts.withColumn("_used", F.lit(0).cast("bigint"))
     # At most window / SLICE_SECONDS rows per counter: a day has 1440 minutes.
-    running = W.partitionBy(*COUNTER).orderBy("minute").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*COUNTER)
-    cut_minutes = (
-        counts.withColumn("_upto", F.coalesce("_used", F.lit(0)) + F.sum("n").over(running))
-        .withColumn("_group", F.sum("n").over(whole))
-        .withColumn("_minute_rank", F.row_number().over(W.partitionBy(*COUNTER).orderBy("minute")))
+    by_minute = W.partitionBy(*COUNTER).orderBy("minute")
+    running = by_minute.rowsBetween(W.unboundedPreceding, 0)
+    # Every request counts once in the global tier.
+    total = counts.agg(F.sum(F.when(F.col("tier") == GLOBAL_TIER, F.col("n")))).scalar()
+    return (
+        counts.withColumns(
+            {
+                "_upto": F.coalesce("_used", F.lit(0)) + F.sum("n").over(running),
+                "_first": F.row_number().over(by_minute) == 1,
+                "_group": F.sum("n").over(W.partitionBy(*COUNTER)),
+            }
+        )
         .withColumn("_before", F.col("_upto") - F.col("n"))
+        # Before this minute the limit held, or a carried-over counter was past it.
         .where(
             (F.col("_upto") > F.col("limit"))
-            & ((F.col("_before") <= F.col("limit")) | (F.col("_minute_rank") == 1))
+            & ((F.col("_before") <= F.col("limit")) | F.col("_first"))
         )
-        # A carried-over counter may already be past its limit: then the first one is out.
         .select(
             *COUNTER,
             "minute",
-            "_group",
-            "n",
             F.greatest(F.col("limit") - F.col("_before") + 1, F.lit(1)).alias("first_denied"),
+            (F.col("_group") >= total * HOT_SHARE).alias("hot"),
+            (F.col("n") >= total * HOT_SHARE).alias("hot_minute"),
         )
-        # Exactly one minute per counter: the earliest that qualifies.
-        .withColumn("_pick", F.row_number().over(W.partitionBy(*COUNTER).orderBy("minute")))
-        .where("_pick = 1")
-        .drop("_pick")
     )
-    total = requests.agg(F.count(F.lit(1)).alias("t")).scalar()
-    rows = _per_tier(
+
+
+def _tier_rows(requests: DataFrame, limits: RateLimits, horizon: int | None) -> DataFrame:
+    return _per_tier(
         requests.withColumn("second", F.unix_seconds("ts")), limits, horizon, "request_id", "ts"
-    ).select(
+    )
+
+
+def cutoffs(
+    requests: DataFrame,
+    limits: RateLimits = RateLimits(),
+    used: DataFrame | None = None,
+    horizon: int | None = None,
+) -> DataFrame:
+    """First denied request (ts, request_id) of every counter that runs over.
+
+    `used` holds counts carried over from earlier batches, as `counters` returns them.
+    Both steps are written out: they are small, and each is read several times.
+    """
+    cut_minutes = materialize(_cut_minutes(requests, limits, used, horizon), "cut-minutes")
+    rows = _tier_rows(requests, limits, horizon).select(
         *COUNTER,
         "request_id",
         "ts",
@@ -187,15 +206,16 @@ def cutoffs(
         rows,
         cut_minutes,
         [*COUNTER, "minute"],
-        hot=F.col("n") >= total * HOT_SHARE,
+        hot=F.col("hot_minute"),
         spread=["request_id"],
         how="inner",
     )
     ranked = rank_up_to(in_cut_minute, COUNTER, ["ts", "request_id"], F.col("first_denied"))
-    return ranked.where(F.col("rank") == F.col("first_denied")).select(
-        *COUNTER,
-        "_group",
-        F.struct(F.col("ts"), F.col("request_id")).alias("cut"),
+    return materialize(
+        ranked.where(F.col("rank") == F.col("first_denied")).select(
+            *COUNTER, "hot", F.struct(F.col("ts"), F.col("request_id")).alias("cut")
+        ),
+        "cutoffs",
     )
 
 
@@ -206,16 +226,12 @@ def tier_denials(
     horizon: int | None = None,
 ) -> DataFrame:
     """(request_id, ts, tier, scope, retry_after_seconds) per denial of a tier."""
-    total = requests.agg(F.count(F.lit(1)).alias("t")).scalar()
-    rows = _per_tier(
-        requests.withColumn("second", F.unix_seconds("ts")), limits, horizon, "request_id", "ts"
-    )
     return (
         lookup_join(
-            rows,
+            _tier_rows(requests, limits, horizon),
             cutoffs(requests, limits, used, horizon),
             COUNTER,
-            hot=F.col("_group") >= total * HOT_SHARE,
+            hot=F.col("hot"),
             spread=["request_id"],
             how="inner",
         )
@@ -295,26 +311,28 @@ def sliding_throttle(requests: DataFrame, limits: RateLimits = RateLimits()) ->
     look_back = (
         W.partitionBy("ip", "slice").orderBy("at").rangeBetween(-span, -1)
     )
+    total = instants.agg(F.sum("n")).scalar()
     over = (
         sliced.withColumn("before", F.coalesce(F.sum("n").over(look_back), F.lit(0)))
         .where((F.col("slice") == F.col("own_slice")) & (F.col("before") + F.col("n") > limit))
         .select(
-            "ip", "at", "n", F.greatest(limit - F.col("before"), F.lit(0)).alias("still_allowed"),
-            "before",
+            "ip",
+            "at",
+            F.greatest(limit - F.col("before"), F.lit(0)).alias("still_allowed"),
+            (F.col("n") >= total * HOT_SHARE).alias("hot"),
         )
     )
-    total = requests.agg(F.count(F.lit(1)).alias("t")).scalar()
     hits = lookup_join(
         requests.withColumn("at", micros),
-        over,
+        materialize(over, "over-limit"),
         ["ip", "at"],
-        hot=F.col("n") >= total * HOT_SHARE,
+        hot=F.col("hot"),
         spread=["request_id"],
         how="inner",
-    )
+    ).drop("hot")
     # Only an instant that straddles the limit needs its requests ranked.
     straddles = F.col("still_allowed") > 0
     within = rank_up_to(
         hits.where(straddles), ["ip", "at"], ["request_id"], F.col("still_allowed")
     ).select("request_id")
-    return hits.join(within, "request_id", "left_anti").drop("still_allowed", "n", "at")
+    return hits.join(within, "request_id", "left_anti").drop("still_allowed", "at")

@@ -36,11 +36,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def _widened(df: DataFrame) -> DataFrame:
+    """Integers as bigint and sums of decimals as decimal(38,2), as SQL returns them."""
+    wide = {"int": "bigint", "decimal(28,2)": "decimal(38,2)"}
+    return df.select(
+        *[F.col(f"`{n}`").cast(wide[t]).alias(n) if t in wide else f"`{n}`" for n, t in df.dtypes]
+    )
+
+
 def _query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # The event clock is UTC wall time; epoch arithmetic must read it as such.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return fn(spark, sf_dir)
+        return _widened(fn(spark, sf_dir))
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     QUERIES[fn.__name__] = run
@@ -444,7 +452,7 @@ def inj_escalated_set(spark, d):
 @_query
 def inj_fail_open(spark, d):
     """Escalated requests answered by stored model responses, else skipped."""
-    asked = POL.attach_policy(WL.traffic(spark, d), POL.bundled_policies())
+    asked = POL.attach_policy(WL.traffic(spark, d, spread=True), POL.bundled_policies())
     answers = ingest.extract_answers(WL.model_responses(spark, d))
     judged = with_ingested_injection(evidence(asked), answers, WL.MODELS)
     i = F.col("injection")
@@ -460,23 +468,18 @@ def guardrail_fail_closed(spark, d):
     """Verdicts from stored assessments; without one there is a 503 and no verdict."""
     from ..operators.injection import with_injection
 
-    asked = evidence(POL.attach_policy(WL.traffic(spark, d), POL.bundled_policies()))
+    asked = evidence(POL.attach_policy(WL.traffic(spark, d, spread=True), POL.bundled_policies()))
     assessments = ingest.flatten_assessments(WL.raw_assessments(spark, d))
-    present, missing = ingest.with_ingested_guardrail(asked, assessments)
-    decided = combine(with_injection(present)).select(
-        "request_id", F.lit(200).alias("status"), "decision", "reason",
-        F.size("matches").alias("matches"),
-        F.aggregate(
-            "matches", F.lit(0), lambda acc, m: acc + F.coalesce(m["span"]["end"], F.lit(0))
-        ).alias("span_ends"),
+    judged = combine(with_injection(ingest.with_ingested_guardrail(asked, assessments)))
+    span_ends = F.aggregate(
+        "matches", F.lit(0), lambda acc, m: acc + F.coalesce(m["span"]["end"], F.lit(0))
+    )
+    return ingest.fail_closed(judged).select(
+        "request_id", "status", "decision", "reason",
+        F.when(F.col("matches").isNotNull(), F.size("matches")).alias("matches"),
+        span_ends.alias("span_ends"),
         F.md5("redacted_prompt").alias("redacted"),
     )
-    refused = missing.select(
-        "request_id", F.lit(503).alias("status"), F.lit(None).cast("string").alias("decision"),
-        F.lit(V.GUARDRAIL_DOWN).alias("reason"), F.lit(None).cast("int").alias("matches"),
-        F.lit(None).cast("int").alias("span_ends"), F.lit(None).cast("string").alias("redacted"),
-    )
-    return decided.unionByName(refused)
 
 
 # --- verdicts -----------------------------------------------------------------------
@@ -551,7 +554,7 @@ def eval_gate(spark, d):
     expected = F.when(slot.isin(*WL.EXPECTED_DEFAULT["block"]), "block").when(
         slot.isin(*WL.EXPECTED_DEFAULT["redact"]), "redact"
     ).otherwise("allow")
-    requests = WL.traffic(spark, d).withColumn("policy_id", F.lit("default"))
+    requests = WL.traffic(spark, d, spread=True).withColumn("policy_id", F.lit("default"))
     return M.eval_gate(screen(requests), expected, "event_type")
 
 
@@ -572,14 +575,15 @@ def build_audit(spark: SparkSession, sf_dir: str) -> str:
         (value % 300).cast("double").alias("injection"),
         (30 + value % 300 + value % 2).cast("double").alias("total"),
     )
-    verdicts = screen(WL.traffic(spark, sf_dir)).withColumn("latency_ms", latency)
+    verdicts = screen(WL.traffic(spark, sf_dir, spread=True)).withColumn("latency_ms", latency)
     write_audit(audit_rows(verdicts), path, 0)
     originals = spark.read.schema(S.AUDIT_DDL + ", day date, write_seq long").parquet(path)
     failed = WL.traffic(spark, sf_dir).where(F.col("event_type") == "error").select("request_id")
     replays = RP.replay_all(originals.join(failed, "request_id", "left_semi"))
     write_audit(RP.replay_audit_rows(replays), path, 1)
-    again = verdicts.where(F.col("user_id") % 50 == 0).withColumn("app_id", F.lit("retry"))
-    write_audit(audit_rows(again), path, 2)
+    retried = WL.traffic(spark, sf_dir).where(F.col("user_id") % 50 == 0).select("request_id")
+    again = originals.where("write_seq = 0").join(retried, "request_id", "left_semi")
+    write_audit(audit_rows(again.withColumn("app_id", F.lit("retry"))), path, 2)
     return path
 
 

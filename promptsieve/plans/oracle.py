@@ -472,7 +472,7 @@ FROM (SELECT f.request_id, coalesce(f.policy_id, 'default') AS policy_id, d.scop
         CASE WHEN d.request_id IS NOT NULL THEN 429
              WHEN len({_ISSUES}) > 0 THEN 400
              WHEN coalesce(f.policy_id, 'default') NOT IN ('strict', 'default', 'permissive') THEN 404
-             WHEN event_id % 53 = 0 OR event_id % 50 = 7 THEN 503 ELSE 200 END AS status
+             WHEN event_id % 53 = 0 OR event_id % 50 = 7 THEN 503 ELSE 200 END::BIGINT AS status
       FROM ({FAULTY}) f LEFT JOIN ({denials(TRAFFIC)}) d ON f.request_id = d.request_id)"""
 
 _REPLAY_REQUESTS = """
@@ -709,7 +709,7 @@ def oracles() -> dict[str, str]:
             SELECT leg, count(*) AS n, {percentile(0.5)} AS p50, {percentile(0.95)} AS p95,
                 {percentile(0.99)} AS p99 FROM l GROUP BY leg""",
         "rl_identity": f"SELECT request_id, client_id, ip FROM ({TRAFFIC})",
-        "rl_tiers": f"""SELECT scope, lim AS "limit", win AS "window", count(*) AS requests,
+        "rl_tiers": f"""SELECT scope, lim::BIGINT AS "limit", win::BIGINT AS "window", count(*) AS requests,
             min(bucket) AS first_bucket, max(bucket) AS last_bucket FROM ({tiers(TRAFFIC)})
             GROUP BY 1, 2, 3""",
         "rate_counters": f"""SELECT counter || '#' || bucket AS counter_key, scope, count(*) AS used,
@@ -763,7 +763,7 @@ d AS (SELECT *, CASE WHEN len(sec) > 0 OR (len(atk) > 0 AND atk[1].action = 'BLO
             OR len(list_filter(tops, lambda x: x.action = 'BLOCKED')) > 0
             OR len(list_filter(cont, lambda x: x.action = 'BLOCKED')) > 0 THEN 'block'
         WHEN len(hits) > 0 THEN 'redact' ELSE 'allow' END AS decision FROM j)
-SELECT request_id, CASE WHEN assessed THEN 200 ELSE 503 END AS status,
+SELECT request_id, CASE WHEN assessed THEN 200 ELSE 503 END::BIGINT AS status,
     CASE WHEN assessed THEN decision END AS decision,
     CASE WHEN NOT assessed THEN {q(V.GUARDRAIL_DOWN)}
          WHEN decision = 'allow' THEN {q(ALLOWED[0])}
@@ -775,7 +775,7 @@ SELECT request_id, CASE WHEN assessed THEN 200 ELSE 503 END AS status,
          END AS reason,
     CASE WHEN assessed THEN len(sec) + len(hits) + least(len(atk), 1) + fired::INT + len(tops)
         + len(cont) + (len(obf) > 0)::INT END AS matches,
-    CASE WHEN assessed THEN span_ends END AS span_ends,
+    CASE WHEN assessed THEN span_ends END::BIGINT AS span_ends,
     CASE WHEN assessed AND decision = 'redact' THEN md5({mask("normalized", "hits", "'{'", "'}'")}) END
         AS redacted
 FROM d"""

@@ -168,8 +168,9 @@ def _headers() -> tuple[Column, Column, Column]:
     return client, forwarded, remote
 
 
-def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_traffic(table(spark, sf_dir, "events"))
+def traffic(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """The request log; `spread` where its prompts are to be screened."""
+    return as_traffic((texts if spread else table)(spark, sf_dir, "events"))
 
 
 def faulty_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +255,7 @@ def raw_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return (
-        table(spark, sf_dir, "events")
+        texts(spark, sf_dir, "events")
         .where(key % 53 != 0)
         .select(
             F.concat(F.lit("ev-"), key).alias("request_id"),
@@ -303,7 +304,7 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(MODELS[0]).alias("model"), body(primary).alias("json")),
         F.struct(F.lit(MODELS[1]).alias("model"), body(fallback).alias("json")),
     )
-    return table(spark, sf_dir, "events").select(
+    return texts(spark, sf_dir, "events").select(
         F.concat(F.lit("ev-"), key).alias("request_id"), F.inline(answers)
     )
 

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.memo import per_session
 from ..operators.evidence import add_spans
 from ..operators.injection import valid_answer
+from ..operators.validate import GUARDRAIL_DOWN
+from ..operators.verdict import VERDICT
 
 # Names in the JSON of the two services.
 SCREENING_TOOL = "report_screening"
@@ -56,11 +59,10 @@ def _each(assessments: Column, build) -> Column:
     return F.flatten(F.filter(F.transform(assessments, build), lambda a: a.isNotNull()))
 
 
-def guardrail_from_json(json: Column) -> Column:
-    """Normalised guardrail result of a raw assessment; NULL for unreadable text."""
-    raw = F.from_json(
-        json, ASSESSMENT_DDL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    )
+@per_session
+def _guardrail_of_raw() -> Column:
+    """Normalised guardrail result of the parsed assessment in `_raw`."""
+    raw = F.col("_raw")
     assessments = F.coalesce(raw["assessments"], F.from_json(F.lit("[]"), _assessments_type()))
     kind = lambda e: F.coalesce(e["type"], F.lit("UNKNOWN"))
     is_secret = lambda e: kind(e).isin(*S.SECRET_ENTITY_TYPES)
@@ -117,7 +119,7 @@ def guardrail_from_json(json: Column) -> Column:
         F.get(raw["outputs"], F.lit(0))["text"].alias("redacted_text"),
         F.lit(None).cast("double").alias("latency_ms"),
     ).cast(S.GUARDRAIL)
-    return F.when(json.isNotNull() & raw["_corrupt"].isNull(), result)
+    return F.when(raw.isNotNull() & raw["_corrupt"].isNull(), result)
 
 
 def _assessments_type() -> str:
@@ -126,29 +128,43 @@ def _assessments_type() -> str:
 
 
 def flatten_assessments(raw: DataFrame) -> DataFrame:
-    """(request_id, guardrail) of raw assessments (request_id, json)."""
-    return raw.select("request_id", guardrail_from_json(F.col("json")).alias("guardrail"))
+    """(request_id, guardrail) of raw assessments (request_id, json); the guardrail is
+    NULL where the text is unreadable.  The text is parsed once, in a step of its own."""
+    parsed = F.from_json(
+        "json", ASSESSMENT_DDL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    )
+    return raw.select("request_id", parsed.alias("_raw")).select(
+        "request_id", _guardrail_of_raw().alias("guardrail")
+    )
 
 
-def with_ingested_guardrail(df: DataFrame, assessments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with evidence, rows without): a missing assessment fails closed.
+def with_ingested_guardrail(df: DataFrame, assessments: DataFrame) -> DataFrame:
+    """Add the stored guardrail result of each request, NULL where there is none.
 
     `df` holds `normalized`; matches are located in it.
     """
-    joined = df.join(
-        assessments.where(F.col("guardrail").isNotNull()).select("request_id", "guardrail"),
-        "request_id",
-        "left",
-    )
-    present = joined.where(F.col("guardrail").isNotNull()).withColumn(
-        "guardrail", add_spans(F.col("guardrail"), F.col("normalized"))
+    readable = assessments.where(F.col("guardrail").isNotNull()).select("request_id", "guardrail")
+    return df.join(readable, "request_id", "left").withColumn(
+        "guardrail",
+        F.when(
+            F.col("guardrail").isNotNull(), add_spans(F.col("guardrail"), F.col("normalized"))
+        ),
     )
-    missing = df.join(
-        assessments.where(F.col("guardrail").isNotNull()).select("request_id"),
-        "request_id",
-        "left_anti",
+
+
+def fail_closed(verdicts: DataFrame) -> DataFrame:
+    """Without guardrail evidence there is no verdict: status 503, verdict columns NULL.
+
+    Only rows with status 200 may be written to the audit table.
+    """
+    assessed = F.col("guardrail").isNotNull()
+    return verdicts.withColumns(
+        {
+            "status": F.when(assessed, 200).otherwise(503),
+            **{name: F.when(assessed, F.col(name)) for name in VERDICT},
+            "reason": F.when(assessed, F.col("reason")).otherwise(GUARDRAIL_DOWN),
+        }
     )
-    return present, missing
 
 
 def extract_answers(responses: DataFrame) -> DataFrame:
@@ -157,7 +173,7 @@ def extract_answers(responses: DataFrame) -> DataFrame:
     The first content block calling the screening tool counts; its input must keep the
     contract.  Without one, or off contract, `ok` is false.
     """
-    raw = F.from_json("json", RESPONSE_DDL)
+    raw = F.col("_raw")
     block = F.get(
         F.filter(
             raw["output"]["message"]["content"],
@@ -165,8 +181,7 @@ def extract_answers(responses: DataFrame) -> DataFrame:
         ),
         F.lit(0),
     )
-    parsed = F.from_json(F.col("_input"), ANSWER_DDL)
-    tree = F.try_parse_json(F.col("_input"))
+    parsed, tree = F.col("_parsed"), F.col("_tree")
     kind = lambda path: F.schema_of_variant(F.try_variant_get(tree, path, "variant"))
     answer = F.struct(
         parsed["detected"].alias("detected"),
@@ -179,17 +194,24 @@ def extract_answers(responses: DataFrame) -> DataFrame:
         F.coalesce(kind("$.topicScores").startswith("OBJECT<"), F.lit(True))
     )
     return (
-        responses.withColumns(
+        responses.withColumn("_raw", F.from_json("json", RESPONSE_DDL))
+        .withColumns(
             {
                 "_input": block["toolUse"]["input"],
                 "input_tokens": F.coalesce(raw["usage"]["inputTokens"], F.lit(0)),
                 "output_tokens": F.coalesce(raw["usage"]["outputTokens"], F.lit(0)),
             }
         )
+        .withColumns(
+            {
+                "_parsed": F.from_json(F.col("_input"), ANSWER_DDL),
+                "_tree": F.try_parse_json(F.col("_input")),
+            }
+        )
         .withColumn("answer", answer)
         .withColumn("ok", valid_answer(F.col("answer")) & strict)
         .withColumn("answer", F.when(F.col("ok"), F.col("answer")))
-        .drop("_input", "json")
+        .drop("_input", "_raw", "_parsed", "_tree", "json")
     )
 
 

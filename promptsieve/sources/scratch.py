@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @lru_cache(maxsize=1)
@@ -19,3 +19,12 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     the cluster names none, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
     return f"{root.rstrip('/')}/promptsieve/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result and read it back: computed once, lineage cut, and
+    still there when executors are lost."""
+    spark = df.sparkSession
+    path = scratch(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
