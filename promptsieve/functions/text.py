@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +31,6 @@ def widen_astral(text: Column) -> Column:
     ).otherwise(text)
 
 
-@lru_cache(maxsize=1)
-def _arrow_nfkc():
-    import unicodedata
-
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def compose(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-    return compose
-
-
 def nfkc(text: Column, engine: str = "jvm", needed: Column | None = None) -> Column:
     """Compatibility normalisation (NFKC), applied where `needed` (default: where the
     text is not ASCII).
@@ -62,7 +47,9 @@ def nfkc(text: Column, engine: str = "jvm", needed: Column | None = None) -> Col
         )
         return F.when(needed, composed).otherwise(text)
     if engine == "arrow":
-        return F.coalesce(_arrow_nfkc()(F.when(needed, text)), text)
+        from .arrow_nfkc import compose
+
+        return F.coalesce(compose(F.when(needed, text)), text)
     raise ValueError(f"unknown NFKC engine: {engine!r}")
 
 

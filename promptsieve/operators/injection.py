@@ -97,18 +97,17 @@ def scorer_udf(scorer: Scorer):
 
     @F.pandas_udf(_ANSWER)
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        columns = ["detected", "confidence", "indicators", "topic_scores"]
+        names = ("detected", "confidence", "indicators", "topic_scores")
         for prompts, topics in batches:
-            wanted = prompts.notna()
-            out = pd.DataFrame(index=prompts.index, columns=columns, dtype=object)
-            if wanted.any():
-                answers = safe(prompts[wanted], topics[wanted])
-                for name in columns:
-                    if name in answers:
-                        out.loc[wanted, name] = pd.Series(
-                            list(answers[name]), index=answers.index, dtype=object
-                        )
-            yield out
+            asked = [i for i, wanted in enumerate(prompts.notna()) if wanted]
+            out = {name: [None] * len(prompts) for name in names}
+            if asked:
+                answers = safe(prompts.iloc[asked], topics.iloc[asked])
+                for name in names:
+                    for i, value in zip(asked, answers.get(name, ())):
+                        if not (isinstance(value, float) and value != value):  # NaN: no answer
+                            out[name][i] = value
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     return score
 
