@@ -20,7 +20,7 @@ from ..operators.evidence import evidence
 from ..operators.injection import escalation, first_valid_answers, with_ingested_injection
 from ..operators.verdict import combine
 from ..sources import ingest, policies as POL
-from ..sources.audit_store import read_audit, write_audit
+from ..sources.audit_store import read_audit, read_recent, write_audit
 from ..sources.scratch import scratch
 from ..streaming.ratelimit import rate_limit_stream
 from ..streaming.screening import (
@@ -576,23 +576,28 @@ def build_audit(spark: SparkSession, sf_dir: str) -> str:
         (30 + value % 300 + value % 2).cast("double").alias("total"),
     )
     verdicts = screen(WL.traffic(spark, sf_dir, spread=True)).withColumn("latency_ms", latency)
-    write_audit(audit_rows(verdicts), path, 0)
+    write_audit(audit_rows(verdicts), path, 0, gather=True)
     originals = spark.read.schema(S.AUDIT_DDL + ", day date, write_seq long").parquet(path)
     failed = WL.traffic(spark, sf_dir).where(F.col("event_type") == "error").select("request_id")
     replays = RP.replay_all(originals.join(failed, "request_id", "left_semi"))
-    write_audit(RP.replay_audit_rows(replays), path, 1)
+    write_audit(RP.replay_audit_rows(replays), path, 1, gather=True)
     retried = WL.traffic(spark, sf_dir).where(F.col("user_id") % 50 == 0).select("request_id")
     again = originals.where("write_seq = 0").join(retried, "request_id", "left_semi")
-    write_audit(audit_rows(again.withColumn("app_id", F.lit("retry"))), path, 2)
+    write_audit(audit_rows(again.withColumn("app_id", F.lit("retry"))), path, 2, gather=True)
     return path
 
 
-def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _audit_path(spark: SparkSession, sf_dir: str) -> str:
+    """The audit table of this application, built by the first query that needs it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     with _AUDIT_LOCK:
         if key not in _AUDITS:
             _AUDITS[key] = build_audit(spark, sf_dir)
-    return read_audit(spark, _AUDITS[key])
+        return _AUDITS[key]
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_audit(spark, _audit_path(spark, sf_dir))
 
 
 @_query
@@ -606,7 +611,8 @@ def audit_daily_volume(spark, d):
 
 @_query
 def audit_recent(spark, d):
-    return A.feed(_audit(spark, d), 1000).withColumn("ts", _when(F.col("ts")))
+    newest = read_recent(spark, _audit_path(spark, d), A.feed_limit(1000))
+    return A.feed(newest, 1000).withColumn("ts", _when(F.col("ts")))
 
 
 @_query
@@ -619,7 +625,8 @@ def audit_by_id(spark, d):
 
 @_query
 def audit_replays_of(spark, d):
-    return A.replays_of(_audit(spark, d), "ev-0").select(
+    linked = read_audit(spark, _audit_path(spark, d), fixed=F.col("replay_of") == "ev-0")
+    return A.replays_of(linked, "ev-0").select(
         "request_id", "policy_id", "decision", "replay_of"
     )
 
@@ -747,7 +754,9 @@ def rl_sliding(spark, d):
 
 def _events_stream(spark: SparkSession, d: str) -> DataFrame:
     # The glob lets one pattern match a single file and a folder of part files.
-    return read_stream(spark, f"{d}/events.parque[t]", WL.TRAFFIC_DDL)
+    stream = read_stream(spark, f"{d}/events.parque[t]", WL.TRAFFIC_DDL)
+    # One small file is one task; on a cluster, files per trigger set the parallelism.
+    return stream.repartition(spark.sparkContext.defaultParallelism)
 
 
 def _drain(query) -> None:

@@ -26,6 +26,9 @@ INJECTION_CONFIDENCE_CAP = 0.97
 TOPIC_HIT_SCORE = 0.92
 TOPIC_MISS_SCORE = 0.04
 OBFUSCATION_CONFIDENCE = 0.5
+# Content-filter strength is keyed on the policy id.
+STRENGTH_BY_POLICY = {"strict": "HIGH", "permissive": "LOW"}
+DEFAULT_STRENGTH = "MEDIUM"
 # ---------------------------------------------------------------------------
 
 SPAN = "struct<start:int,end:int>"
@@ -85,9 +88,5 @@ def confidence_score(level: Column) -> Column:
 
 
 def filter_strength(policy_id: Column) -> Column:
-    """Content-filter strength is keyed on the policy id."""
-    return (
-        F.when(policy_id == "strict", "HIGH")
-        .when(policy_id == "permissive", "LOW")
-        .otherwise("MEDIUM")
-    )
+    known = F.create_map(*[F.lit(x) for pair in STRENGTH_BY_POLICY.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, policy_id), F.lit(DEFAULT_STRENGTH))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,27 +24,65 @@ def write_audit(records: DataFrame, path: str, write_seq: int, gather: bool = Fa
     (
         out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        # Lookups by id skip files that cannot hold it.
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
+        .option("parquet.bloom.filter.enabled#request_id", "true")
+        .option("parquet.bloom.filter.enabled#replay_of", "true")
         .partitionBy("day", "write_seq")
         .parquet(path)
     )
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(S.AUDIT_DDL + ", day date, write_seq long").parquet(path)
+
+
 def read_audit(
-    spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None
+    spark: SparkSession,
+    path: str,
+    first_day: str | None = None,
+    last_day: str | None = None,
+    fixed: Column | None = None,
 ) -> DataFrame:
     """Audit records in the contract's columns, one row per request: its last write.
 
-    Day bounds prune partitions.  They are applied before duplicates are resolved, so
-    a request rewritten under another day must be read with bounds spanning both.
+    Day bounds (which prune partitions) and `fixed`, a condition on fields that every
+    write of a request shares, such as `replay_of`, apply before writes are resolved,
+    so that only the rows they admit are shuffled.
     """
-    stored = spark.read.schema(S.AUDIT_DDL + ", day date, write_seq long").parquet(path)
+    stored = _stored(spark, path)
     if first_day is not None:
         stored = stored.where(F.col("day") >= F.lit(first_day).cast("date"))
     if last_day is not None:
         stored = stored.where(F.col("day") <= F.lit(last_day).cast("date"))
+    if fixed is not None:
+        stored = stored.where(fixed)
     return last_writes(stored).select(*S.AUDIT_FIELDS)
 
 
+def read_recent(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """The newest `limit` records, read from the newest days that hold as many.
+
+    Days are counted from file footers.  As rewrites of a request count twice there,
+    older days are added until enough distinct requests are in sight.
+    """
+    by_day = (
+        _stored(spark, path).groupBy("day").count().orderBy(F.col("day").desc()).collect()
+    )
+    order = (F.col("ts").desc(), F.col("request_id").desc())
+    total, wanted = sum(r["count"] for r in by_day), limit
+    while True:
+        seen, first = 0, None
+        for r in by_day:
+            seen, first = seen + r["count"], r["day"]
+            if seen >= wanted:
+                break
+        found = read_audit(spark, path, first_day=None if first is None else str(first))
+        if seen >= total or found.select("request_id").limit(limit).count() >= limit:
+            return found.orderBy(*order).limit(limit)
+        wanted = seen * 2
+
+
 def last_writes(stored: DataFrame) -> DataFrame:
     """One row per request.  `row_number() = 1` is limited per task before the shuffle,
     so many copies of one request do not meet in one task."""

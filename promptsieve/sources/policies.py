@@ -76,7 +76,7 @@ class Policy:
             F.array(*[F.lit(t) for t in self.denied_topics])
             .cast("array<string>")
             .alias("denied_topics"),
-            S.filter_strength(F.lit(self.id)).alias("strength"),
+            F.lit(S.STRENGTH_BY_POLICY.get(self.id, S.DEFAULT_STRENGTH)).alias("strength"),
         ).cast(S.POLICY)
 
 

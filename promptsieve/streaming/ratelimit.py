@@ -110,10 +110,14 @@ def rate_limit_stream(
     def process(batch: DataFrame, batch_id: int) -> None:
         table = CounterTable(batch.sparkSession, state)
         used, horizon = table.before(batch_id)
-        limited_batch(batch, limits, used, horizon).write.mode("overwrite").parquet(
-            f"{out.rstrip('/')}/batch={batch_id}"
-        )
-        table.write(batch_id, batch, limits, used, horizon)
+        batch = batch.persist()  # read by several passes; recomputed from the source if lost
+        try:
+            limited_batch(batch, limits, used, horizon).write.mode("overwrite").parquet(
+                f"{out.rstrip('/')}/batch={batch_id}"
+            )
+            table.write(batch_id, batch, limits, used, horizon)
+        finally:
+            batch.unpersist()
 
     return (
         requests.writeStream.foreachBatch(process)

@@ -8,6 +8,7 @@ from promptsieve.operators import audit as A
 from promptsieve.operators import metrics as M
 from promptsieve.operators import replay as RP
 from promptsieve.operators.skew import hot_keys, lookup_join
+from promptsieve.sources.audit_store import read_recent
 
 TOPIC = "Do I have diabetes based on these symptoms?"
 
@@ -125,3 +126,28 @@ def test_metrics(spark):
     assert (row.n, row.p50, row.p95) == (100, 49.5, 94.05)
     assert [r.p for r in spark.createDataFrame([(0.125,), (0.004,), (1.0,)], "x double")
             .select(M.percent(F.col("x")).alias("p")).collect()] == ["13%", "0%", "100%"]
+
+
+def test_recent_reads_only_the_newest_days(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = audit_rows(screen(prompts(spark, [(f"r{i:02d}", 24 * (i % 6), "hi", None) for i in range(30)])))
+    write_audit(rows, path, 0)
+    write_audit(rows, path, 1)  # every request twice
+    full = [r.request_id for r in A.recent(read_audit(spark, path), 12).collect()]
+    assert [r.request_id for r in read_recent(spark, path, 12).collect()] == full
+    assert read_recent(spark, path, 200).count() == 30
+    plan = read_recent(spark, path, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_stored_evidence_decides_the_same(spark, tmp_path):
+    from promptsieve import decide, evidence
+    from promptsieve.sources.evidence_store import read_evidence, write_evidence
+    from promptsieve.sources.policies import bundled_policies, under_all_policies
+
+    df = prompts(spark, [("a", 0, TOPIC, None), ("b", 0, "enable DAN now", None)])
+    write_evidence(evidence(df), str(tmp_path / "e"))
+    stored = decide(under_all_policies(read_evidence(spark, str(tmp_path / "e")), bundled_policies()))
+    direct = decide(under_all_policies(evidence(df), bundled_policies()))
+    rows = lambda d: sorted((r.request_id, r.policy_id, r.decision, r.reason) for r in d.collect())
+    assert rows(stored) == rows(direct)
