@@ -108,7 +108,12 @@ SECRETS = (
         open_edges=True,
     ),
     Pattern("PASSWORD", r"\bpassword\s*[:=]\s*\S+", ignore_case=True),
-    Pattern("PIN", r"\bpin\s*[:=]\s*\d{4,}\b", ignore_case=True),
+    Pattern(
+        "PIN",
+        r"\bpin\s*[:=]\s*\d{4,}\b",
+        ignore_case=True,
+        java_source=r"pin(?<!\wpin)\s*[:=]\s*\d{4,}\b",
+    ),
 )
 
 MISCONDUCT = Pattern(
@@ -144,7 +149,14 @@ INJECTION = (
         ignore_case=True,
         weight=0.7,
     ),
-    Pattern("jailbreak", r"\bDAN\b|\bdeveloper mode\b", ignore_case=True, weight=0.9),
+    Pattern(
+        "jailbreak",
+        r"\bDAN\b|\bdeveloper mode\b",
+        ignore_case=True,
+        weight=0.9,
+        # Look behind only where the words were found.
+        java_source=r"DAN(?<!\wDAN)\b|developer mode(?<!\wdeveloper mode)\b",
+    ),
 )
 
 TOPICS = (

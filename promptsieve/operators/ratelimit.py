@@ -51,26 +51,33 @@ def identity(client_header: Column, forwarded_for: Column, remote_ip: Column) ->
     return F.coalesce(some(F.substring(client_header, F.lit(1), F.lit(128))), ip), ip
 
 
-def tiers(client_id: Column, ip: Column, limits: RateLimits) -> Column:
-    """array<struct<tier, scope, counter, window, limit>> in order of precedence."""
+def _tier_values(limits: RateLimits) -> list[tuple[str, int, int]]:
+    """(scope, window, limit) of each tier, in order of precedence."""
+    return [
+        ("user/hour", HOUR, limits.user_per_hour),
+        ("user/day", DAY, limits.user_per_day),
+        ("ip/hour", HOUR, limits.ip_per_hour),
+        ("ip/day", DAY, limits.ip_per_day),
+        ("global/day", DAY, limits.global_per_day),
+    ]
 
-    def tier(rank: int, scope: str, counter: Column, window: int, limit: int) -> Column:
-        return F.struct(
-            F.lit(rank).alias("tier"),
-            F.lit(scope).alias("scope"),
-            counter.alias("counter"),
-            F.lit(window).alias("window"),
-            F.lit(limit).alias("limit"),
-        )
 
-    user = lambda u: F.concat(F.lit("u:"), client_id, F.lit(u))
-    addr = lambda u: F.concat(F.lit("ip:"), ip, F.lit(u))
+def tiers(client_id: Column, ip: Column, limits: RateLimits) -> Column:
+    """array<struct<tier, scope, counter, window, limit>> in order of precedence."""
+    user = lambda unit: F.concat(F.lit("u:"), client_id, F.lit(unit))
+    address = lambda unit: F.concat(F.lit("ip:"), ip, F.lit(unit))
+    keys = (user(":h"), user(":d"), address(":h"), address(":d"), F.lit("g:all:d"))
     return F.array(
-        tier(0, "user/hour", user(":h"), HOUR, limits.user_per_hour),
-        tier(1, "user/day", user(":d"), DAY, limits.user_per_day),
-        tier(2, "ip/hour", addr(":h"), HOUR, limits.ip_per_hour),
-        tier(3, "ip/day", addr(":d"), DAY, limits.ip_per_day),
-        tier(GLOBAL_TIER, "global/day", F.lit("g:all:d"), DAY, limits.global_per_day),
+        *[
+            F.struct(
+                F.lit(rank).alias("tier"),
+                F.lit(scope).alias("scope"),
+                counter.alias("counter"),
+                F.lit(window).alias("window"),
+                F.lit(limit).alias("limit"),
+            )
+            for rank, (counter, (scope, window, limit)) in enumerate(zip(keys, _tier_values(limits)))
+        ]
     )
 
 
@@ -117,10 +124,16 @@ def _minute_counts(
     by_identity = requests.groupBy("client_id", "ip", minute.alias("second")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    tier = F.col("tier")
+    scope, window, limit = (
+        F.get(F.array(*[F.lit(t[i]) for t in _tier_values(limits)]), tier) for i in range(3)
+    )
     return (
         _per_tier(by_identity, limits, horizon, "n")
-        .groupBy(*COUNTER, "scope", "window", "limit", F.col("second").alias("minute"))
+        .groupBy("tier", "counter", F.col("second").alias("minute"))
         .agg(F.sum("n").alias("n"))
+        .withColumns({"scope": scope, "window": window, "limit": limit})
+        .withColumn("bucket", bucket_of(F.col("minute"), F.col("window")))
     )
 
 
@@ -305,16 +318,32 @@ def sliding_throttle(requests: DataFrame, limits: RateLimits = RateLimits()) ->
     micros = F.unix_micros("ts")
     instants = requests.groupBy("ip", micros.alias("at")).agg(F.count(F.lit(1)).alias("n"))
     own = F.floor(F.col("at") / span)
-    sliced = instants.withColumn("own_slice", own).select(
-        "*", F.explode(F.array(own, own + 1)).alias("slice")
-    )
-    look_back = (
-        W.partitionBy("ip", "slice").orderBy("at").rangeBetween(-span, -1)
+
+    def event(slice_: Column, at: Column, delta: Column, kind: int) -> Column:
+        return F.struct(
+            slice_.alias("slice"), at.alias("at"), delta.alias("delta"), F.lit(kind).alias("kind")
+        )
+
+    # An instant counts in its own slice; in the next one it counts from the start and
+    # leaves again once a whole window has passed.  A running sum then costs one pass,
+    # where a sliding frame would be summed anew for every row.
+    counted, carried, leaving = 0, 1, 2
+    events = instants.select(
+        "ip",
+        "n",
+        F.inline(
+            F.array(
+                event(own, F.col("at"), F.col("n"), counted),
+                event(own + 1, F.col("at"), F.col("n"), carried),
+                event(own + 1, F.col("at") + span, -F.col("n"), leaving),
+            )
+        ),
     )
+    upto = W.partitionBy("ip", "slice").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
     total = instants.agg(F.sum("n")).scalar()
     over = (
-        sliced.withColumn("before", F.coalesce(F.sum("n").over(look_back), F.lit(0)))
-        .where((F.col("slice") == F.col("own_slice")) & (F.col("before") + F.col("n") > limit))
+        events.withColumn("before", F.sum("delta").over(upto) - F.col("n"))
+        .where((F.col("kind") == counted) & (F.col("before") + F.col("n") > limit))
         .select(
             "ip",
             "at",

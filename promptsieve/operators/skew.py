@@ -51,7 +51,9 @@ def lookup_join(
     values = [c for c in table.columns if c not in keys]
     if hot is None:
         return rows.join(table, keys, how)
-    packed = table.select(*keys, F.struct(*values).alias("_v"), hot.alias("_hot"))
+    packed = table.select(
+        *keys, F.struct(*values).alias("_v"), F.coalesce(hot, F.lit(False)).alias("_hot")
+    )
     hot_part = packed.where("_hot").select(*keys, F.col("_v").alias("_hot_v"))
     cold_part = packed.where(~F.col("_hot")).select(
         *keys, F.col("_v").alias("_cold_v"), F.lit(0).alias("_spread")
