@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import patterns as P
+from ..functions.detectors import grade_topics
 from ..functions.text import nfkc, sanitize, utf16_length
 from ..operators import audit as A
 from ..operators import metrics as M
@@ -17,7 +17,7 @@ from ..operators import ratelimit as R
 from ..operators import replay as RP
 from ..operators import validate as V
 from ..operators.evidence import evidence
-from ..operators.injection import escalation, first_valid_answers, with_ingested_injection
+from ..operators.injection import escalation, with_ingested_injection, with_injection
 from ..operators.verdict import combine
 from ..sources import ingest, policies as POL
 from ..sources.audit_store import read_audit, read_recent, write_audit
@@ -30,7 +30,7 @@ from ..streaming.screening import (
     screen_stream,
 )
 from . import workloads as WL
-from .screening import audit_rows, decide, screen, screen_all
+from .screening import audit_rows, screen, screen_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -333,8 +333,6 @@ def det_topics(spark, d):
 @_query
 def det_topic_scores(spark, d):
     """Grades of the denied topics of each policy; one policy denies an unknown topic."""
-    from ..functions.detectors import grade_topics
-
     found = POL.under_all_policies(
         evidence(WL.corpus(spark, d)).select("request_id", "topic_hits"), _policies_with_extras()
     )
@@ -466,8 +464,6 @@ def inj_fail_open(spark, d):
 @_query
 def guardrail_fail_closed(spark, d):
     """Verdicts from stored assessments; without one there is a 503 and no verdict."""
-    from ..operators.injection import with_injection
-
     asked = evidence(POL.attach_policy(WL.traffic(spark, d, spread=True), POL.bundled_policies()))
     assessments = ingest.flatten_assessments(WL.raw_assessments(spark, d))
     judged = combine(with_injection(ingest.with_ingested_guardrail(asked, assessments)))

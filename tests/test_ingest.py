@@ -1,7 +1,6 @@
 import json
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from promptsieve import bundled_policies, evidence, screen
 from promptsieve.operators.injection import (
