@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minmax_dedup
+from . import line_dedup, minmax_dedup, mixing
+from .text import LOWER, UPPER
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,3 +30,119 @@ def op10_minmax_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     found = minmax_dedup.near_duplicates(docs, minmax_dedup.Params(width=4))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@_query
+def op7_line_dedup(spark, sf_dir):
+    """Lines of `documents` found in at least 10 documents, taken out of all of them."""
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op7_line_dedup"] = f"""
+WITH lines AS (
+    SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        '{UPPER}', '{LOWER}') AS k
+    FROM lines
+), often AS (
+    SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(o.k) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (o.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN often o USING (k) GROUP BY doc_id
+"""
+
+
+@_query
+def op2_mixing(spark, sf_dir):
+    """All `documents` mixed by source at weights 1, 2, 3, with at most three repeats."""
+    found = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+_PRIMES = ", ".join(map(str, mixing.PRIMES))
+ORACLE_SQL["op2_mixing"] = f"""
+WITH RECURSIVE sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS digest
+    FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size,
+           row_number() OVER (ORDER BY source NULLS LAST) AS rank
+    FROM sized GROUP BY source
+), weighted AS (
+    SELECT *, 1 + (rank - 1) % 3 AS weight, 3 * source_size AS cap FROM sources
+), capped(step, names) AS (
+    SELECT 0, []::BIGINT[]
+    UNION ALL
+    SELECT step + 1, more FROM (
+        SELECT step, names, (
+            WITH level AS (
+                SELECT (sum(source_size) - coalesce(sum(cap) FILTER (list_contains(names, rank)), 0))
+                       / sum(weight) FILTER (NOT list_contains(names, rank)) AS l
+                FROM weighted
+            )
+            SELECT list(rank ORDER BY rank) FROM weighted, level
+            WHERE list_contains(names, rank) OR l * weight > cap
+        ) AS more
+        FROM capped
+    ) WHERE len(more) > len(names)
+), final AS (
+    SELECT names FROM capped ORDER BY step DESC LIMIT 1
+), level AS (
+    SELECT (sum(source_size) - coalesce(sum(cap) FILTER (list_contains(names, rank)), 0))
+           / sum(weight) FILTER (NOT list_contains(names, rank)) AS l
+    FROM weighted, final
+), targeted AS (
+    SELECT w.*, CASE WHEN list_contains(names, rank) THEN cap::DOUBLE
+                     ELSE least(l * weight, cap) END AS target,
+           greatest(1, ceil(source_size / {1 << 18}))::BIGINT AS shards
+    FROM weighted w, final, level
+), seats AS (
+    SELECT floor(sum(source_size) / 64 + 0.5)::BIGINT AS total FROM sources
+), won AS (
+    SELECT rank, count(*) AS won FROM (
+        SELECT rank FROM targeted, seats, range(seats.total) t(k) WHERE target > 0
+        ORDER BY target / (2 * k + 1) DESC, rank LIMIT (SELECT total FROM seats)
+    ) GROUP BY rank
+), placed AS (
+    SELECT d.doc_id, d.size, d.digest, t.rank, t.source_size, t.target,
+           ('0x' || substr(d.digest, 1, 8))::BIGINT % t.shards AS shard
+    FROM sized d JOIN targeted t ON d.source IS NOT DISTINCT FROM t.source
+), shards AS (
+    SELECT rank, shard, sum(size)::BIGINT AS length, ceil(sum(size) / 64)::BIGINT AS blocks,
+           md5('blocks-1:' || rank || ':' || shard) AS seed
+    FROM placed WHERE size > 0 GROUP BY rank, shard
+), quotients AS (
+    SELECT s.rank, s.shard, w.won, row_number() OVER (
+        PARTITION BY s.rank ORDER BY length::DOUBLE / (2 * k + 1) DESC, s.shard) AS place
+    FROM shards s JOIN won w USING (rank), range(w.won) t(k)
+), quotas AS (
+    SELECT s.rank, s.shard, any_value(blocks) AS blocks, any_value(seed) AS seed,
+           least(count(q.place), 3 * any_value(blocks)) AS quota
+    FROM shards s LEFT JOIN quotients q ON q.rank = s.rank AND q.shard = s.shard AND q.place <= q.won
+    GROUP BY s.rank, s.shard
+), rules AS (
+    SELECT rank, shard, blocks, quota // blocks AS passes, quota % blocks AS rest,
+           ([{_PRIMES}])[1 + ('0x' || substr(seed, 1, 8))::BIGINT % {len(mixing.PRIMES)}]::BIGINT AS factor,
+           ('0x' || substr(seed, 9, 8))::BIGINT % blocks AS off
+    FROM quotas
+), tape AS (
+    SELECT *, sum(size) OVER (PARTITION BY rank, shard ORDER BY digest, doc_id, size
+                              ROWS UNBOUNDED PRECEDING) AS stop
+    FROM placed WHERE size > 0
+), cuts AS (
+    SELECT t.doc_id, t.size, t.source_size, t.target, r.passes,
+           CASE WHEN (k * factor + off) % blocks < rest
+                THEN least(stop, (k + 1) * 64) - greatest(stop - size, k * 64) ELSE 0 END AS part
+    FROM tape t JOIN rules r USING (rank, shard),
+         range(((stop - size) // 64)::BIGINT, ((stop - 1) // 64 + 1)::BIGINT) b(k)
+)
+SELECT doc_id, size, source_size, target, (passes * size + sum(part))::BIGINT AS taken
+FROM cuts GROUP BY doc_id, size, source_size, target, passes
+UNION ALL
+SELECT doc_id, size, source_size, target, 0 FROM placed WHERE size = 0
+"""
