@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minmax_dedup, mixing
+from . import line_dedup, minmax_dedup, mixing, quality, toxicity
 from .text import LOWER, UPPER
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,28 @@ FROM cuts GROUP BY doc_id, size, source_size, target, passes
 UNION ALL
 SELECT doc_id, size, source_size, target, 0 FROM placed WHERE size = 0
 """
+
+
+def _classified(spark, sf_dir, operator, label: str, folds: int, held: int, limit: float) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % folds
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
+    model = operator.train(docs, labels.where(fold != held))
+    return operator.score(docs, model).select(
+        "doc_id",
+        (fold == held).alias("held_out"),
+        "score",
+        (F.col("score") >= limit).cast("int").alias("predicted"),
+    )
+
+
+@_query
+def op3_quality(spark, sf_dir):
+    """Quality of every document; held out: crc32(doc_id) mod 3 is 1."""
+    return _classified(spark, sf_dir, quality, "quality", 3, 1, 0.5)
+
+
+@_query
+def op8_toxicity(spark, sf_dir):
+    """Toxicity of every document; held out: crc32(doc_id) mod 4 is 2."""
+    return _classified(spark, sf_dir, toxicity, "toxic", 4, 2, 0.3)
