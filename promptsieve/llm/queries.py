@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minmax_dedup, mixing, quality, toxicity
+from . import line_dedup, minmax_dedup, mixing, quality, substring_dedup, toxicity
 from .text import LOWER, UPPER
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,10 @@ def op3_quality(spark, sf_dir):
 def op8_toxicity(spark, sf_dir):
     """Toxicity of every document; held out: crc32(doc_id) mod 4 is 2."""
     return _classified(spark, sf_dir, toxicity, "toxic", 4, 2, 0.3)
+
+
+@_query
+def op5_suffix_array_dedup(spark, sf_dir):
+    """`documents` without any byte of a 200-byte string that also starts elsewhere."""
+    found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
