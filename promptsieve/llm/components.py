@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from .tables import materialize
 
-from ..sources.scratch import materialize
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

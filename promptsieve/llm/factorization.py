@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
+from .tables import materialize
 from .text import flat, fold, mix, prefix_hash, slices, span_hash, word_hashes, words
 
 STATS = (

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import HOT_SHARE, lookup_join
-from ..sources.scratch import materialize
+from .tables import materialize
 from .text import lowered
 
 EDGE = " \t\n\x0b\x0c\r"

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
 from .components import components
+from .tables import materialize
 from .text import distinct, flat, fold, lowered, mix, shingles, slices, word_hashes, words
 
 

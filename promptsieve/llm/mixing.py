@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.skew import HOT_SHARE, lookup_join
-from ..sources.scratch import materialize
+from .tables import materialize
 from .text import WORD
 
 # Primes above any number of blocks in a shard; multiplying by one permutes the blocks.

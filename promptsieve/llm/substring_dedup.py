@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
 from .bits import Bits
 from .suffix_array import repeated
+from .tables import materialize
 from .text import flat, prefix_hash, slices, span_hash
 
 
