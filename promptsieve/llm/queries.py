@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minmax_dedup, mixing, quality, substring_dedup, toxicity
+from . import embedding_dedup, line_dedup, minmax_dedup, mixing, quality, substring_dedup, toxicity
 from .text import LOWER, UPPER
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,3 +178,31 @@ def op5_suffix_array_dedup(spark, sf_dir):
     """`documents` without any byte of a 200-byte string that also starts elsewhere."""
     found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query
+def op1_embedding_dedup(spark, sf_dir):
+    """`embeddings` of equal label linked at a cosine of 0.98."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op1_embedding_dedup"] = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y
+    ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+       AND list_cosine_similarity(x.e, y.e) >= 0.98
+), reached AS (
+    SELECT a, b FROM links
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+       vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = vec_id
+LEFT JOIN (SELECT a, min(b) AS m FROM reached GROUP BY a) r ON r.a = vec_id
+"""
