@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, minmax_dedup, mixing, quality, substring_dedup, toxicity
+from . import decontaminate, embedding_dedup, line_dedup, minmax_dedup, mixing, quality, substring_dedup, toxicity
 from .text import LOWER, UPPER
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,3 +206,11 @@ FROM embeddings
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = vec_id
 LEFT JOIN (SELECT a, min(b) AS m FROM reached GROUP BY a) r ON r.a = vec_id
 """
+
+
+@_query
+def op6_decontamination(spark, sf_dir):
+    """`documents` that hold items of `benchmark`, as written or with slots exchanged."""
+    return decontaminate.contaminated(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
