@@ -65,8 +65,11 @@ def _member(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
 def _canonical(raw: np.ndarray, rows: np.ndarray):
     """Per word its hash, its template hash, whether it is a slot; and words per row."""
     data = fold(raw)
-    begin, end, counts = words(data, rows)
     n = len(data)
+    # capital letters with accents, two bytes each
+    accent = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    data[1:][accent] += 32
+    begin, end, counts = words(data, rows)
     # Punctuation at the edges goes, unless nothing else is there.
     solid = ~_PUNCTUATION[data]
     after = np.minimum.accumulate(np.where(solid, np.arange(n), n)[::-1])[::-1] if n else begin
