@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, line_dedup, minmax_dedup, mixing, quality, substring_dedup, toxicity
+from . import (
+    chat,
+    decontaminate,
+    embedding_dedup,
+    line_dedup,
+    minmax_dedup,
+    mixing,
+    quality,
+    substring_dedup,
+    toxicity,
+)
+from .tables import materialize
 from .text import LOWER, UPPER
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,3 +225,15 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.contaminated(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     )
+
+
+@_query
+def op4_chat_windows(spark, sf_dir):
+    """All `conversations`, and one that tries to look like markup, formatted and read back."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    more = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))])).alias("t"),
+    ).select("conv_id", "t.*", F.lit(odd).alias("text"))
+    return chat.read_back(materialize(chat.format_chats(turns.unionByName(more)), "chats"))
