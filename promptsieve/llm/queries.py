@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat,
+    context_tree,
     decontaminate,
     embedding_dedup,
     line_dedup,
@@ -237,3 +238,11 @@ def op4_chat_windows(spark, sf_dir):
         F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))])).alias("t"),
     ).select("conv_id", "t.*", F.lit(odd).alias("text"))
     return chat.read_back(materialize(chat.format_chats(turns.unionByName(more)), "chats"))
+
+
+@_query
+def op9_context_tree(spark, sf_dir):
+    """Log probabilities of all `documents`; held out: crc32(doc_id) mod 10 is 0."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    return context_tree.score(docs, ~F.col("held_out"))
