@@ -243,6 +243,24 @@ def near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """The documents with one of each group of near-duplicates, all columns as they were.
+
+    Rows with equal doc_id and text are copies too, and one of them stays.
+    """
+    kept = near_duplicates(docs, params).where("kept").select(
+        F.col("doc_id").cast("string").alias("name"), F.col("text_hash").alias("mark")
+    ).distinct()
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").cast("string").alias("name"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
+    ).dropDuplicates(["name", "mark"])
+    return held.alias("d").join(
+        kept.alias("k"), F.expr("d.name <=> k.name and d.mark = k.mark"), "left_semi"
+    ).select("row.*")
+
+
 def _rest(left: DataFrame, clusters: DataFrame, params: Params) -> DataFrame:
     """Tasks that compare, within a cluster, every node of a lesser component with the rest.
 
