@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 26
@@ -37,3 +38,12 @@ class Bits:
     def has(self, hashes: np.ndarray) -> np.ndarray:
         place = hashes.astype(np.int64) & ((1 << BITS) - 1)
         return (self.field[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+    def may_hold(self, hashes: Column) -> Column:
+        """False for rows that are certainly not in the set; they need no join with it."""
+
+        @F.pandas_udf("boolean")
+        def held(values: pd.Series) -> pd.Series:
+            return pd.Series(self.has(values.to_numpy(np.int64)))
+
+        return held(hashes)

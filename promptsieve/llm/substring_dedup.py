@@ -243,11 +243,15 @@ def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
         F.count(F.lit(1)).alias("kinds"), F.sum(F.col("at.many") + params.length - 1).alias("bytes")
     ).where("kinds > 1")
     open_kinds = kinds.join(grams, "gram").select("gram", "whole", "bytes", "at.*")
-    wanted = open_kinds.groupBy("doc", "mark").agg(
-        F.collect_list(F.struct("gram", "whole", "start", "many")).alias("runs")
+    wanted = materialize(
+        open_kinds.groupBy("doc", "mark").agg(
+            F.collect_list(F.struct("gram", "whole", "start", "many")).alias("runs")
+        ),
+        "cut",
     )
     cut = materialize(
-        named.alias("d")
+        named.where(Bits.of(wanted, "mark").may_hold(F.col("mark")))
+        .alias("d")
         .join(wanted.alias("w"), F.expr("d.doc <=> w.doc and d.mark = w.mark"))
         .select("text", "runs")
         .mapInArrow(_cut(params.length), "gram long, whole long, data binary")
@@ -291,7 +295,7 @@ def repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
             )
         ).alias("span"),
     )
-    return spans.groupBy("doc", "mark").agg(F.collect_set("span").alias("spans"))
+    return materialize(spans.groupBy("doc", "mark").agg(F.collect_set("span").alias("spans")), "spans")
 
 
 def _remove(with_text: bool):
@@ -348,9 +352,14 @@ def remove_repeats(docs: DataFrame, params: Params = Params(), with_text: bool =
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
         "text",
     )
-    joined = held.alias("d").join(
+    # Only texts that may have spans are shuffled to meet them.
+    bits = Bits.of(found, "mark")
+    held = held.withColumn("may", bits.may_hold(F.col("mark")))
+    joined = held.where("may").alias("d").join(
         found.alias("f"), F.expr("d.doc <=> f.doc and d.mark = f.mark"), "left"
-    ).select("row", "text", "spans")
+    ).select("row", "text", "spans").unionByName(
+        held.where("not may").select("row", "text"), allowMissingColumns=True
+    )
     schema = joined.select("row").schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
         schema = schema.add(name, kind)

@@ -162,7 +162,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np
     start = np.flatnonzero(~known & (before >= 0))
     word = np.zeros(n + 8, np.uint64)
     for j in range(4):  # four letters of 16 bits at a time
-        word[: n - j] |= text[j:].astype(np.uint64) << np.uint64(16 * j)
+        word[: max(n - j, 0)] |= text[j:].astype(np.uint64) << np.uint64(16 * j)
     shared = np.zeros(n, np.int64)
     i, p, length = start, before[start], np.zeros(len(start), np.int64)
     while len(i):
