@@ -3,7 +3,7 @@
 Targets become whole blocks of equal token counts: blocks go to the sources with the
 highest quotients, and a source's blocks go to its shards the same way.  Within a shard
 the documents form a tape in seeded order; the quota takes whole passes of the tape and
-then blocks chosen by a seeded permutation.  DataFrame operations only.
+fills the rest with blocks chosen by a seeded permutation.  DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -156,14 +156,15 @@ def mix_sources(docs: DataFrame, params: Params = Params()) -> DataFrame:
     shard = full.groupBy("rank", "shard").agg(F.sum("size").alias("length"), F.first("won").alias("seats"))
     blocks = F.ceil(F.col("length") / params.block).cast("long")
     quotas = sainte_lague(shard, "rank", "shard", "length", "seats").withColumn("blocks", blocks)
-    quotas = quotas.withColumn("quota", F.least("won", F.col("blocks") * params.epochs))
+    tokens = F.least(F.col("won") * params.block, F.col("length") * params.epochs)
+    quotas = quotas.withColumn("quota", tokens).withColumn("passes", F.floor(F.col("quota") / F.col("length")))
     seed = F.md5(F.concat(F.lit(f"blocks-{params.seed}:"), F.col("rank").cast("string"), F.lit(":"), F.col("shard").cast("string")))
     quotas = quotas.select(
         "rank",
         "shard",
         "blocks",
-        (F.floor(F.col("quota") / F.col("blocks"))).alias("passes"),
-        F.pmod("quota", "blocks").alias("rest"),
+        "passes",
+        F.floor((F.col("quota") - F.col("passes") * F.col("length")) / params.block + 0.5).alias("rest"),
         F.element_at(
             F.array(*[F.lit(p) for p in PRIMES]),
             (F.pmod(_number(F.substring(seed, 1, 8)), F.lit(len(PRIMES))) + 1).cast("int"),

@@ -134,11 +134,12 @@ WITH RECURSIVE sized AS (
     FROM shards s JOIN won w USING (rank), range(w.won) t(k)
 ), quotas AS (
     SELECT s.rank, s.shard, any_value(blocks) AS blocks, any_value(seed) AS seed,
-           least(count(q.place), 3 * any_value(blocks)) AS quota
+           any_value(length) AS length, least(count(q.place) * 64, 3 * any_value(length)) AS quota
     FROM shards s LEFT JOIN quotients q ON q.rank = s.rank AND q.shard = s.shard AND q.place <= q.won
     GROUP BY s.rank, s.shard
 ), rules AS (
-    SELECT rank, shard, blocks, quota // blocks AS passes, quota % blocks AS rest,
+    SELECT rank, shard, blocks, quota // length AS passes,
+           floor((quota % length) / 64 + 0.5)::BIGINT AS rest,
            ([{_PRIMES}])[1 + ('0x' || substr(seed, 1, 8))::BIGINT % {len(mixing.PRIMES)}]::BIGINT AS factor,
            ('0x' || substr(seed, 9, 8))::BIGINT % blocks AS off
     FROM quotas
