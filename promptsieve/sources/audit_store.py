@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,15 +11,31 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 
 
-def write_audit(records: DataFrame, path: str, write_seq: int, gather: bool = False) -> None:
+def write_audit(
+    records: DataFrame,
+    path: str,
+    writer: str,
+    batch: int,
+    write_seq: int | None = None,
+    gather: bool = False,
+) -> None:
     """Add one batch of audit records.
 
-    Writing a batch again under the same `write_seq` replaces its files, so a retried
-    micro-batch leaves no second copy.  `gather` brings the rows of a day together
-    first, for batches that touch many days; AQE splits a day too large for one task.
+    Files belong to (`writer`, `batch`): writing a batch again replaces its files, so a
+    retried micro-batch leaves no second copy, and no writer touches the files of another.
+    Of several records of a request the one with the largest `write_seq` counts, by
+    default the clock in milliseconds, whoever wrote it.  `gather` brings the rows of a
+    day together first, for batches that touch many days; AQE splits a day too large for
+    one task.
     """
+    if write_seq is None:
+        write_seq = time.time_ns() // 1_000_000
     out = records.select(
-        *S.AUDIT_FIELDS, F.to_date("ts").alias("day"), F.lit(write_seq).alias("write_seq")
+        *S.AUDIT_FIELDS,
+        F.lit(write_seq).cast("long").alias("write_seq"),
+        F.to_date("ts").alias("day"),
+        F.lit(writer).alias("writer"),
+        F.lit(batch).cast("long").alias("batch"),
     )
     if gather:
         out = out.hint("rebalance", "day")
@@ -28,13 +46,17 @@ def write_audit(records: DataFrame, path: str, write_seq: int, gather: bool = Fa
         .option("parquet.bloom.filter.adaptive.enabled", "true")
         .option("parquet.bloom.filter.enabled#request_id", "true")
         .option("parquet.bloom.filter.enabled#replay_of", "true")
-        .partitionBy("day", "write_seq")
+        .partitionBy("day", "writer", "batch")
         .parquet(path)
     )
 
 
+#: Which of several writes of a request is the last.
+_ORDER = ("write_seq", "ts", "writer", "batch")
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.AUDIT_DDL + ", day date, write_seq long").parquet(path)
+    return spark.read.schema(S.AUDIT_DDL + ", write_seq long, day date, writer string, batch long").parquet(path)
 
 
 def read_audit(
@@ -46,18 +68,24 @@ def read_audit(
 ) -> DataFrame:
     """Audit records in the contract's columns, one row per request: its last write.
 
-    Day bounds (which prune partitions) and `fixed`, a condition on fields that every
-    write of a request shares, such as `replay_of`, apply before writes are resolved,
-    so that only the rows they admit are shuffled.
+    Day bounds prune partitions; `fixed`, a condition on fields that every write of a
+    request shares, such as `replay_of`, filters the scan.  A later write may have moved a
+    request to another day, so rows that a write outside the bounds supersedes drop out:
+    that takes the ids and sequences of all days, but no other column.
     """
-    stored = _stored(spark, path)
+    every = _stored(spark, path)
+    if fixed is not None:
+        every = every.where(fixed)
+    stored = every
     if first_day is not None:
         stored = stored.where(F.col("day") >= F.lit(first_day).cast("date"))
     if last_day is not None:
         stored = stored.where(F.col("day") <= F.lit(last_day).cast("date"))
-    if fixed is not None:
-        stored = stored.where(fixed)
-    return last_writes(stored).select(*S.AUDIT_FIELDS)
+    latest = last_writes(stored)
+    if first_day is not None or last_day is not None:
+        last = every.groupBy("request_id").agg(F.max(F.struct(*_ORDER)).alias("_last"))
+        latest = latest.join(last, "request_id").where(F.struct(*_ORDER) == F.col("_last"))
+    return latest.select(*S.AUDIT_FIELDS)
 
 
 def read_recent(spark: SparkSession, path: str, limit: int) -> DataFrame:
@@ -86,7 +114,7 @@ def read_recent(spark: SparkSession, path: str, limit: int) -> DataFrame:
 def last_writes(stored: DataFrame) -> DataFrame:
     """One row per request.  `row_number() = 1` is limited per task before the shuffle,
     so many copies of one request do not meet in one task."""
-    newest = W.partitionBy("request_id").orderBy(F.col("write_seq").desc(), F.col("ts").desc())
+    newest = W.partitionBy("request_id").orderBy(*[F.col(c).desc() for c in _ORDER])
     return (
         stored.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
     )

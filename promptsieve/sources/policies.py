@@ -123,9 +123,13 @@ def policy_issues() -> Column:
 def read_policies(spark: SparkSession, path: str) -> DataFrame:
     """Policy documents (one JSON object per file) as (id, policy); fails on a bad one."""
     docs = spark.read.schema(DOCUMENT_DDL).option("multiLine", True).json(path)
-    bad = docs.select("id", policy_issues().alias("issues")).where(F.size("issues") > 0).take(5)
-    if bad:
-        raise ValueError("malformed policies: " + "; ".join(f"{r.id}: {r.issues}" for r in bad))
+    bad = docs.select("id", policy_issues().alias("issues")).where(F.size("issues") > 0)
+    shown = bad.take(5)
+    if shown:
+        raise ValueError(
+            f"{bad.count()} malformed policies, among them "
+            + "; ".join(f"{r.id}: {r.issues}" for r in shown)
+        )
     return docs.select("id", policy_struct().alias("policy"))
 
 

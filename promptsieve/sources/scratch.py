@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 @lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="promptsieve-")
+def _local_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="promptsieve-")  # goes when Python ends
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below `spark.checkpoint.dir`; below a temporary folder only where
-    the cluster names none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    """A fresh path below `spark.checkpoint.dir`, or else below the session's checkpoint
+    folder.  Only local mode falls back on a temporary folder: on a cluster every executor
+    would write to its own disk."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_folder().name
     return f"{root.rstrip('/')}/promptsieve/{purpose}-{uuid.uuid4().hex}"
 
 

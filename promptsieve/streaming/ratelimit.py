@@ -21,31 +21,54 @@ from ..operators.ratelimit import (
     rate_limit,
     window_reset,
 )
+from ..sources.files import delete, exists, folders
+from .screening import stream_id
 
 _COUNTER_DDL = "tier int, counter string, bucket bigint, used bigint, expires_at bigint"
 
 
 class CounterTable:
-    """Versioned counters below a shared folder.
+    """Versioned counters of one stream below a shared folder.
 
     Version n is written while batch n runs and read by batch n + 1.  A retried batch
-    starts from the same version and overwrites its own, so it counts nothing twice.
+    starts from the same version and overwrites its own, so it counts nothing twice.  A
+    stream with a new checkpoint starts from what all other streams on the folder have
+    left, so losing a checkpoint does not reset the limits.  Versions that no batch can
+    ask for any more are deleted.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, stream: str):
+        self.spark, self.folder, self.stream = spark, folder.rstrip("/"), stream
 
-    def _version(self, batch_id: int) -> str:
-        return f"{self.folder}/version={batch_id}"
+    def _version(self, batch_id: int, stream: str | None = None) -> str:
+        return f"{self.folder}/stream={stream or self.stream}/version={batch_id}"
+
+    def _versions(self, stream: str) -> list[int]:
+        """Complete versions: the horizon is written last."""
+        found = folders(self.spark, f"{self.folder}/stream={stream}", "version=")
+        return sorted(
+            int(v) for v in found if exists(self.spark, f"{self._version(int(v), stream)}/horizon/_SUCCESS")
+        )
 
     def before(self, batch_id: int) -> tuple[DataFrame | None, int | None]:
         """(counters, horizon): the newest second seen before this batch."""
-        if batch_id == 0:
+        if batch_id:
+            paths = [self._version(batch_id - 1)]
+        else:
+            others = [s for s in folders(self.spark, self.folder, "stream=") if s != self.stream]
+            paths = [self._version(v[-1], s) for s in others if (v := self._versions(s))]
+        if not paths:
             return None, None
-        path = self._version(batch_id - 1)
-        used = self.spark.read.schema(_COUNTER_DDL).parquet(f"{path}/counters")
-        horizon = self.spark.read.schema("horizon bigint").parquet(f"{path}/horizon").first()[0]
-        return used, horizon
+        used = self.spark.read.schema(_COUNTER_DDL).parquet(*[f"{p}/counters" for p in paths])
+        horizon = (
+            self.spark.read.schema("horizon bigint")
+            .parquet(*[f"{p}/horizon" for p in paths])
+            .agg(F.max("horizon"))
+            .first()[0]
+        )
+        if len(paths) > 1:
+            used = used.groupBy(*COUNTER, "expires_at").agg(F.sum("used").alias("used"))
+        return used.select(*COUNTER, "used", "expires_at"), horizon
 
     def write(
         self, batch_id: int, batch: DataFrame, limits: RateLimits,
@@ -73,6 +96,9 @@ class CounterTable:
             .write.mode("overwrite")
             .parquet(f"{path}/horizon")
         )
+        for old in self._versions(self.stream):
+            if old < batch_id - 1:
+                delete(self.spark, self._version(old))
 
 
 def limited_batch(
@@ -104,16 +130,17 @@ def rate_limit_stream(
     """Start the limiter over a stream of (request_id, ts, client_id, ip).
 
     Order within a micro-batch is (ts, request_id).  Results land in `out`, one folder
-    per micro-batch.
+    per stream and micro-batch.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        table = CounterTable(batch.sparkSession, state)
+        stream = stream_id(batch)
+        table = CounterTable(batch.sparkSession, state, stream)
         used, horizon = table.before(batch_id)
         batch = batch.persist()  # read by several passes; recomputed from the source if lost
         try:
             limited_batch(batch, limits, used, horizon).write.mode("overwrite").parquet(
-                f"{out.rstrip('/')}/batch={batch_id}"
+                f"{out.rstrip('/')}/stream={stream}/batch={batch_id}"
             )
             table.write(batch_id, batch, limits, used, horizon)
         finally:

@@ -1,10 +1,17 @@
+import os
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
 from promptsieve import RateLimits, rate_limit, read_audit, screen, screen_stream
 from promptsieve.streaming.ratelimit import rate_limit_stream
-from promptsieve.streaming.screening import audit_sink, decision_counts_stream, file_sink, read_stream
+from promptsieve.streaming.screening import (
+    audit_sink,
+    counts_sink,
+    decision_counts_stream,
+    read_counts,
+    read_stream,
+)
 from test_ratelimit import DDL, LIMITS, log
 
 
@@ -51,7 +58,9 @@ def test_late_requests_fail_open_and_counters_expire(spark, tmp_path):
         read_stream(spark, folder, DDL, 1), str(tmp_path / "out"), state, str(tmp_path / "cp"), limits))
     got = {r.request_id: (r.allowed, r.late) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": (True, False), "b": (False, False), "c": (True, False), "d": (True, True), "e": (False, False)}
-    kept = spark.read.parquet(f"{state}/version=1/counters")
+    [stream] = os.listdir(state)
+    assert {v for v in os.listdir(f"{state}/{stream}") if v[0] != "."} == {"version=1", "version=2"}
+    kept = spark.read.parquet(f"{state}/{stream}/version=1/counters")
     hour = kept.where("counter = 'u:u:h'").collect()
     assert [r.used for r in hour] == [1] and hour[0].expires_at == int(start.timestamp()) + 3 * 3600
 
@@ -70,9 +79,26 @@ def test_screening_stream_equals_batch_and_audits_once(spark, tmp_path):
     got = {r.request_id: (r.decision, r.reason) for r in read_audit(spark, path).collect()}
     assert got == {r.request_id: (r.decision, r.reason) for r in screen(df).collect()}
 
-    counts = decision_counts_stream(screen_stream(read_stream(spark, folder, ddl)))
-    drained(file_sink(counts, str(tmp_path / "counts"), str(tmp_path / "cp2")))
-    closed = spark.read.parquet(str(tmp_path / "counts"))
-    last = start + timedelta(minutes=20 * 23) - timedelta(minutes=10)
-    want = screen(df).where(F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR") <= F.lit(last)).count()
-    assert closed.agg(F.sum("n")).first()[0] == want
+    counts = decision_counts_stream(screen_stream(read_stream(spark, folder, ddl)), lateness="12 hours")
+    drained(counts_sink(counts, str(tmp_path / "counts"), str(tmp_path / "cp2")))
+    found = read_counts(spark, str(tmp_path / "counts"))
+    assert found.agg(F.sum("n")).first()[0] == len(rows)
+    want = screen(df).groupBy(F.date_trunc("hour", "ts").alias("w"), "decision").count()
+    assert {(r.window_start, r.decision): r.n for r in found.collect()} == {
+        (r.w, r.decision): r["count"] for r in want.collect()
+    }
+
+
+def test_streams_with_new_checkpoints(spark, tmp_path):
+    """A second stream on the same tables keeps the first one's rows and its counters."""
+    start = datetime(2024, 3, 9, 10, 0, tzinfo=timezone.utc)
+    limits = RateLimits(2, 100, 100, 100, 100)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for n in range(2):
+        folder = str(tmp_path / f"in{n}")
+        rows = [(f"{n}{i}", start + timedelta(minutes=10 * n + i), "u", "i") for i in range(2)]
+        spark.createDataFrame(rows, DDL).coalesce(1).write.parquet(folder)
+        drained(rate_limit_stream(
+            read_stream(spark, folder, DDL, 1), out, state, str(tmp_path / f"cp{n}"), limits))
+    got = {r.request_id: r.allowed for r in spark.read.parquet(out).collect()}
+    assert got == {"00": True, "01": True, "10": False, "11": False}
