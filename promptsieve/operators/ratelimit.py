@@ -269,8 +269,11 @@ def denials(
 ) -> DataFrame:
     """Denied requests with the scope of the first tier they breach.
 
-    `requests` holds request_id (unique), ts, client_id and ip.
+    `requests` holds request_id (unique), ts, client_id and ip.  A disabled limiter
+    denies nothing.
     """
+    if not limits.enabled:
+        requests = requests.limit(0)
     return (
         tier_denials(requests, limits, used, horizon)
         .groupBy("request_id")

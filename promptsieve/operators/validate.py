@@ -45,7 +45,7 @@ def request_issues() -> Column:
         _issue("prompt", TOO_SHORT, prompt == ""),
         _issue("prompt", TOO_LONG, prompt_length(prompt) > S.MAX_PROMPT_LENGTH),
         _issue("prompt", CONTROL, prompt.rlike(P.CONTROL_CHARS)),
-        _issue("policy_id", TOO_SHORT, F.col("policy_id") == ""),
+        _issue("policyId", TOO_SHORT, F.col("policy_id") == ""),
         _issue(
             "context",
             F.concat(
@@ -53,17 +53,17 @@ def request_issues() -> Column:
             ),
             ~context.isin(*S.PROMPT_CONTEXTS),
         ),
-        _issue("app_id", TOO_SHORT, F.col("app_id") == ""),
+        _issue("appId", TOO_SHORT, F.col("app_id") == ""),
     )
 
 
 @per_session
 def replay_request_issues() -> Column:
     checks = []
-    for name in ("request_id", "policy_id"):
+    for path, name in (("requestId", "request_id"), ("policyId", "policy_id")):
         checks += [
-            _issue(name, REQUIRED, F.col(name).isNull()),
-            _issue(name, TOO_SHORT, F.col(name) == ""),
+            _issue(path, REQUIRED, F.col(name).isNull()),
+            _issue(path, TOO_SHORT, F.col(name) == ""),
         ]
     return _issues(*checks)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
 import threading
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +26,17 @@ from ..sources.audit_store import read_audit, read_recent, write_audit
 from ..sources.scratch import scratch
 from ..streaming.ratelimit import rate_limit_stream
 from ..streaming.screening import (
+    audit_sink,
+    counts_sink,
     decision_counts_stream,
     file_sink,
+    read_counts,
     read_stream,
     screen_stream,
 )
 from . import workloads as WL
 from .screening import audit_rows, screen, screen_all
+from .verify import verify
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -556,6 +562,8 @@ def eval_gate(spark, d):
 
 # --- audit and replay -----------------------------------------------------------------
 
+#: When the registered replays ran.
+REPLAYED_AT = datetime(2030, 1, 1, tzinfo=timezone.utc)
 _AUDITS: dict[tuple[str, str], str] = {}
 _AUDIT_LOCK = threading.Lock()
 
@@ -565,21 +573,30 @@ def build_audit(spark: SparkSession, sf_dir: str) -> str:
     every policy, and a second write of some requests.  Returns its path."""
     path = scratch(spark, "audit")
     value = F.floor(F.col("value"))
+    policy, injection = value % 2 + F.lit(0.25), value % 300 + F.lit(0.4)
     latency = F.struct(
-        (value % 2).cast("double").alias("policy"),
+        policy.cast("double").alias("policy"),
         F.lit(30.0).alias("guardrail"),
-        (value % 300).cast("double").alias("injection"),
-        (30 + value % 300 + value % 2).cast("double").alias("total"),
+        injection.cast("double").alias("injection"),
+        (30 + injection.cast("double") + policy.cast("double")).alias("total"),
     )
     verdicts = screen(WL.traffic(spark, sf_dir, spread=True)).withColumn("latency_ms", latency)
-    write_audit(audit_rows(verdicts), path, 0, gather=True)
-    originals = spark.read.schema(S.AUDIT_DDL + ", day date, write_seq long").parquet(path)
+    write_audit(audit_rows(verdicts), path, "log", 0, 0, gather=True)
+    originals = spark.read.schema(S.AUDIT_DDL + ", write_seq long").parquet(path)
     failed = WL.traffic(spark, sf_dir).where(F.col("event_type") == "error").select("request_id")
-    replays = RP.replay_all(originals.join(failed, "request_id", "left_semi"))
-    write_audit(RP.replay_audit_rows(replays), path, 1, gather=True)
+    replays = RP.replay_all(
+        originals.join(failed, "request_id", "left_semi"), run="errors", replayed_at=REPLAYED_AT
+    )
+    write_audit(RP.replay_audit_rows(replays), path, "replays", 0, 1, gather=True)
     retried = WL.traffic(spark, sf_dir).where(F.col("user_id") % 50 == 0).select("request_id")
     again = originals.where("write_seq = 0").join(retried, "request_id", "left_semi")
-    write_audit(audit_rows(again.withColumn("app_id", F.lit("retry"))), path, 2, gather=True)
+    # every second rewrite falls on another day than the first write
+    moved = F.when(
+        F.regexp_extract("request_id", "(\\d+)$", 1).cast("long") % 2 == 0,
+        F.col("ts") + F.expr("INTERVAL 1 DAY"),
+    ).otherwise(F.col("ts"))
+    again = again.withColumn("app_id", F.lit("retry")).withColumn("ts", moved)
+    write_audit(audit_rows(again), path, "log", 1, 2, gather=True)
     return path
 
 
@@ -695,6 +712,94 @@ def replay_requested(spark, d):
     )
 
 
+@_query
+def replay_outcomes(spark, d):
+    """Replay requests, some malformed, some for unknown records or policies."""
+    key = F.col("event_id")
+    requests = WL.traffic(spark, d).where(F.col("event_type") == "purchase").select(
+        F.when(key % 13 == 0, F.lit(None).cast("string"))
+        .when(key % 6 == 0, F.concat(F.lit("lost-"), key))
+        .otherwise(F.col("request_id")).alias("request_id"),
+        F.when(key % 17 == 0, "").when(key % 11 == 0, "ghost").otherwise("strict").alias("policy_id"),
+    )
+    return RP.replay_outcomes(
+        _audit(spark, d), requests, run="asked", replayed_at=REPLAYED_AT
+    ).select("request_id", "policy_id", "status", "title", "detail", "replay_id", "decision")
+
+
+@_query
+def verify_outcomes(spark, d):
+    """The whole request path: status, decision, and whether the audit table has the row."""
+    path = scratch(spark, "audit")
+    verdicts, refused = verify(WL.faulty_traffic(spark, d), WL.LIMITS)
+    write_audit(audit_rows(verdicts), path, "verify", 0, gather=True)
+    audited = read_audit(spark, path).select("request_id", "decision")
+    return refused.select(
+        "request_id", "status", "title", "detail", F.lit(None).cast("string").alias("decision"),
+    ).unionByName(
+        audited.select(
+            "request_id", F.lit(200).alias("status"), F.lit(V.TITLES[200]).alias("title"),
+            F.lit(None).cast("string").alias("detail"), "decision",
+        )
+    )
+
+
+@_query
+def stream_audit(spark, d):
+    """Two streams over the log, each in several micro-batches, write one audit table."""
+    path, source = scratch(spark, "audit"), scratch(spark, "log")
+    log = WL.traffic(spark, d)
+    log = log.withColumn("half", F.crc32("request_id") % 2)
+    log.repartitionByRange(4, "ts").write.partitionBy("half").parquet(source)
+    for half in (0, 1):
+        stream = read_stream(spark, f"{source}/half={half}", log.drop("half").schema.simpleString()[7:-1].replace(":", " "), 2)
+        _drain(audit_sink(screen_stream(stream), path, scratch(spark, "checkpoint")))
+    return read_audit(spark, path).select("request_id", "policy_id", "decision", "app_id")
+
+
+@_query
+def rl_disabled(spark, d):
+    """A limiter that is switched off denies nothing."""
+    off = dataclasses.replace(WL.LIMITS, enabled=False)
+    limited = R.rate_limit(WL.traffic(spark, d), off).select("allowed", "scope")
+    denied = R.denials(WL.traffic(spark, d), off).select(F.lit(False).alias("allowed"), "scope")
+    return limited.union(denied).groupBy("allowed", "scope").agg(_count().alias("n"))
+
+
+@_query
+def val_replay_issues(spark, d):
+    """Malformed replay requests by field."""
+    key = F.col("event_id")
+    requests = WL.texts(spark, d, "events").select(
+        F.when(key % 3 == 0, "").when(key % 7 != 0, F.concat(F.lit("ev-"), key)).alias("request_id"),
+        F.when(key % 5 == 0, "").when(key % 4 != 0, "strict").alias("policy_id"),
+    )
+    return (
+        requests.select(F.explode(V.replay_request_issues()).alias("i"))
+        .groupBy("i.path", "i.message")
+        .agg(_count().alias("n"))
+    )
+
+
+@_query
+def policy_document_issues(spark, d):
+    """Policy documents made of customers: those that break the contract, and how."""
+    key = F.col("c_custkey")
+    documents = spark.read.parquet(f"{d}/customer.parquet").select(
+        F.when(key % 19 != 0, F.concat(F.lit("p-"), key)).alias("id"),
+        F.col("c_name").alias("description"),
+        F.when(key % 7 == 0, "").otherwise(F.col("c_name")).alias("guardrailId"),
+        F.lit("1").alias("guardrailVersion"),
+        F.struct(
+            F.when(key % 5 == 0, "maybe").otherwise("flag").alias("mode"),
+            (key % 120 / 100).alias("threshold"),
+        ).alias("promptInjection"),
+        F.when(key % 11 == 0, F.lit(None)).otherwise("placeholder").alias("redactionStyle"),
+        F.array(F.lit("legal_advice")).alias("deniedTopics"),
+    )
+    return documents.select("id", "description", F.concat_ws(",", POL.policy_issues()).alias("issues"))
+
+
 @_query
 def replay_missing(spark, d):
     return A.unknown_ids(_replay_requests(spark, d), _audit(spark, d)).select("request_id", "detail")
@@ -774,9 +879,8 @@ def stream_screen(spark, d):
 def stream_decision_counts(spark, d):
     out, checkpoint = scratch(spark, "stream"), scratch(spark, "checkpoint")
     verdicts = screen_stream(WL.as_traffic(_events_stream(spark, d)))
-    counts = decision_counts_stream(verdicts).withColumn("window_start", _when(F.col("window_start")))
-    _drain(file_sink(counts, out, checkpoint))
-    return spark.read.parquet(out)
+    _drain(counts_sink(decision_counts_stream(verdicts), out, checkpoint))
+    return read_counts(spark, out).withColumn("window_start", _when(F.col("window_start")))
 
 
 @_query

@@ -338,18 +338,20 @@ def audit() -> str:
     columns += "injection_score, ts, app_id, value, user_id, replay_of"
     return f"""
 SELECT {columns} FROM (
-    SELECT * EXCLUDE (app_id), CASE WHEN user_id % 50 = 0 THEN 'retry' ELSE app_id END AS app_id,
+    SELECT * EXCLUDE (app_id, ts), CASE WHEN user_id % 50 = 0 THEN 'retry' ELSE app_id END AS app_id,
+        CASE WHEN user_id % 50 = 0 AND event_id % 2 = 0 THEN ts + INTERVAL 1 DAY
+            ELSE ts END AS ts,
         NULL::VARCHAR AS replay_of FROM ({verdicts}))
 UNION ALL
 SELECT {columns} FROM (
-    SELECT * EXCLUDE (request_id), request_id AS replay_of,
-        md5('replay:' || request_id || ':' || policy_id) AS request_id FROM ({replays}))"""
+    SELECT * EXCLUDE (request_id, ts), request_id AS replay_of, TIMESTAMP '2030-01-01' AS ts,
+        md5('replay:errors:' || request_id || ':' || policy_id) AS request_id FROM ({replays}))"""
 
 
 _LATENCY = """
 SELECT unnest(['policy', 'guardrail', 'injection', 'total']) AS leg,
-    unnest([floor(value)::BIGINT % 2, 30, floor(value)::BIGINT % 300,
-        30 + floor(value)::BIGINT % 300 + floor(value)::BIGINT % 2]) AS ms
+    unnest([floor(value)::BIGINT % 2 + 0.25::DOUBLE, 30::DOUBLE, floor(value)::BIGINT % 300 + 0.4::DOUBLE,
+        30 + (floor(value)::BIGINT % 300 + 0.4::DOUBLE) + (floor(value)::BIGINT % 2 + 0.25::DOUBLE)]) AS ms
 FROM a WHERE replay_of IS NULL"""
 
 # --- rate limits -----------------------------------------------------------------------
@@ -441,7 +443,7 @@ _ISSUES = (
             _issue("prompt", q(V.TOO_SHORT), "prompt = ''"),
             _issue("prompt", q(V.TOO_LONG), f"{units('prompt')} > {S.MAX_PROMPT_LENGTH}"),
             _issue("prompt", q(V.CONTROL), f"regexp_matches(prompt, {q(P.CONTROL_CHARS)})"),
-            _issue("policy_id", q(V.TOO_SHORT), "policy_id = ''"),
+            _issue("policyId", q(V.TOO_SHORT), "policy_id = ''"),
             _issue(
                 "context",
                 q(
@@ -452,7 +454,7 @@ _ISSUES = (
                 + " || context || ''''",
                 "context NOT IN ('user_input', 'system_message', 'rag_result')",
             ),
-            _issue("app_id", q(V.TOO_SHORT), "app_id = ''"),
+            _issue("appId", q(V.TOO_SHORT), "app_id = ''"),
         )
     )
     + "], lambda x: x IS NOT NULL)"
@@ -475,6 +477,9 @@ FROM (SELECT f.request_id, coalesce(f.policy_id, 'default') AS policy_id, d.scop
              WHEN event_id % 53 = 0 OR event_id % 50 = 7 THEN 503 ELSE 200 END::BIGINT AS status
       FROM ({FAULTY}) f LEFT JOIN ({denials(TRAFFIC)}) d ON f.request_id = d.request_id)"""
 
+#: The same without stored assessments: the engine's own detectors answer always.
+_VERIFIED = _OUTCOMES.replace("WHEN event_id % 53 = 0 OR event_id % 50 = 7 THEN 503 ", "")
+
 _REPLAY_REQUESTS = """
 SELECT CASE WHEN event_id % 6 = 0 THEN 'lost-' || event_id ELSE 'ev-' || event_id END AS request_id
 FROM events WHERE event_type = 'purchase'"""
@@ -696,11 +701,55 @@ def oracles() -> dict[str, str]:
                 count(*) AS n, from_decision <> decision AS changed FROM w GROUP BY ALL"""),
         "replay_requested": f"""WITH asked AS ({_REPLAY_REQUESTS}), o AS ({judged(TRAFFIC)}),
             n AS ({judged(f"SELECT * REPLACE ('strict' AS policy_id) FROM ({TRAFFIC})")})
-            SELECT md5('replay:' || o.request_id || ':strict') AS request_id, o.request_id AS replay_of,
+            SELECT md5('replay:all:' || o.request_id || ':strict') AS request_id, o.request_id AS replay_of,
                 'strict' AS policy_id, n.decision,
                 CASE WHEN o.user_id % 50 = 0 THEN 'retry' ELSE o.app_id END AS app_id, o.context,
                 o.decision <> n.decision AS changed
             FROM asked JOIN o USING (request_id) JOIN n USING (request_id)""",
+        "replay_outcomes": f"""WITH asked AS (
+                SELECT CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 6 = 0 THEN 'lost-' || event_id
+                        ELSE 'ev-' || event_id END AS request_id,
+                    CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 11 = 0 THEN 'ghost'
+                        ELSE 'strict' END AS policy_id
+                FROM events WHERE event_type = 'purchase'),
+            n AS (SELECT request_id, decision FROM
+                ({judged(f"SELECT * REPLACE ('strict' AS policy_id) FROM ({TRAFFIC})")})),
+            k AS (SELECT request_id FROM ({TRAFFIC}) WHERE coalesce(policy_id, 'default') <> 'ghost'),
+            s AS (SELECT a.*, k.request_id IS NULL AS missing,
+                    CASE WHEN a.request_id IS NULL OR a.policy_id = '' THEN 400
+                        WHEN k.request_id IS NULL OR a.policy_id <> 'strict' THEN 404 ELSE 200 END AS status
+                FROM asked a LEFT JOIN k ON a.request_id = k.request_id)
+            SELECT s.request_id, policy_id, status::BIGINT AS status, CASE status WHEN 200 THEN 'OK'
+                    WHEN 400 THEN 'Validation failed' ELSE 'Not Found' END AS title,
+                CASE WHEN status = 404 THEN CASE WHEN missing
+                    THEN 'Audit record not found: ''' || s.request_id || ''''
+                    ELSE 'Unknown policy: ''' || policy_id || '''' END END AS detail,
+                CASE WHEN status = 200 THEN md5('replay:asked:' || s.request_id || ':strict') END AS replay_id,
+                CASE WHEN status = 200 THEN n.decision END AS decision
+            FROM s LEFT JOIN n ON s.request_id = n.request_id""",
+        "verify_outcomes": f"""WITH o AS MATERIALIZED ({_VERIFIED}), v AS (SELECT request_id, decision FROM
+                ({judged(f"SELECT f.* FROM ({FAULTY}) f JOIN o USING (request_id) WHERE o.status = 200")}))
+            SELECT o.request_id, status, title, detail, v.decision
+            FROM o LEFT JOIN v ON o.request_id = v.request_id""",
+        "stream_audit": f"SELECT request_id, policy_id, decision, app_id FROM ({judged(TRAFFIC)})",
+        "rl_disabled": f"""SELECT true AS allowed, NULL::VARCHAR AS scope, count(*) AS n
+            FROM ({TRAFFIC})""",
+        "val_replay_issues": f"""WITH r AS (SELECT CASE WHEN event_id % 3 = 0 THEN ''
+                    WHEN event_id % 7 <> 0 THEN 'ev-' || event_id END AS r,
+                CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 4 <> 0 THEN 'strict' END AS p FROM events)
+            SELECT path, CASE WHEN v IS NULL THEN {q(V.REQUIRED)} ELSE {q(V.TOO_SHORT)} END AS message,
+                count(*) AS n
+            FROM (SELECT 'requestId' AS path, r AS v FROM r UNION ALL SELECT 'policyId', p FROM r)
+            WHERE v IS NULL OR v = '' GROUP BY 1, 2""",
+        "policy_document_issues": """SELECT
+                CASE WHEN c_custkey % 19 <> 0 THEN 'p-' || c_custkey END AS id, c_name AS description,
+                array_to_string(list_filter([
+                    CASE WHEN c_custkey % 19 = 0 THEN 'id' END,
+                    CASE WHEN c_custkey % 7 = 0 THEN 'guardrailId' END,
+                    CASE WHEN c_custkey % 5 = 0 THEN 'promptInjection.mode' END,
+                    CASE WHEN c_custkey % 120 > 100 THEN 'promptInjection.threshold' END,
+                    CASE WHEN c_custkey % 11 = 0 THEN 'redactionStyle' END],
+                    lambda x: x IS NOT NULL), ',') AS issues FROM customer""",
         "replay_missing": f"""SELECT request_id, 'Audit record not found: ''' || request_id || '''' AS detail
             FROM ({_REPLAY_REQUESTS}) WHERE request_id NOT IN (SELECT request_id FROM ({TRAFFIC})
                 WHERE coalesce(policy_id, 'default') <> 'ghost')""",
@@ -722,9 +771,7 @@ def oracles() -> dict[str, str]:
             redacted_prompt FROM ({judged(TRAFFIC)})""",
         "stream_decision_counts": f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S.%f')
                 AS window_start, policy_id, decision, count(*) AS n
-            FROM ({judged(TRAFFIC)})
-            WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <=
-                (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2, 3""",
+            FROM ({judged(TRAFFIC)}) GROUP BY 1, 2, 3""",
         "stream_rate_limit": f"""SELECT t.request_id, d.request_id IS NULL AS allowed, d.scope,
             d.retry_after_seconds, false AS late
             FROM ({TRAFFIC}) t LEFT JOIN ({denials(TRAFFIC)}) d ON t.request_id = d.request_id""",

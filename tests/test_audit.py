@@ -25,9 +25,11 @@ def prompts(spark, rows):
 def store(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("audit") / "table")
     rows = [("a", 0, TOPIC, "permissive"), ("b", 2, "My SSN is 123-45-6789", None), ("c", 2, "hi", "strict")]
-    write_audit(audit_rows(screen(prompts(spark, rows))), path, 0)
-    replays = replay_all(read_audit(spark, path).where("request_id = 'a'"))
-    write_audit(RP.replay_audit_rows(replays), path, 1)
+    write_audit(audit_rows(screen(prompts(spark, rows))), path, "log", 0, 0)
+    replays = replay_all(
+        read_audit(spark, path).where("request_id = 'a'"), replayed_at=datetime(2024, 1, 5, 12)
+    )
+    write_audit(RP.replay_audit_rows(replays), path, "replays", 0, 1)
     return path
 
 
@@ -47,13 +49,49 @@ def test_day_bounds_prune(spark, store):
 def test_last_write_wins_and_retry_replaces(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = audit_rows(screen(prompts(spark, [("a", 0, "hi", None), ("b", 0, "yo", None)])))
-    write_audit(rows, path, 0)
-    write_audit(rows, path, 0, gather=True)
+    write_audit(rows, path, "w", 0, 0)
+    write_audit(rows, path, "w", 0, 0, gather=True)
     assert spark.read.parquet(path).count() == 2
-    write_audit(rows.where("request_id = 'a'").withColumn("app_id", F.lit("later")), path, 1)
+    write_audit(rows.where("request_id = 'a'").withColumn("app_id", F.lit("later")), path, "w", 1, 1)
     assert {r.request_id: r.app_id for r in read_audit(spark, path).collect()} == {"a": "later", "b": "app"}
 
 
+def test_writers_keep_their_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one = audit_rows(screen(prompts(spark, [("a", 0, "hi", None)])))
+    two = audit_rows(screen(prompts(spark, [("b", 0, "yo", None)])))
+    write_audit(one, path, "one", 0)
+    write_audit(two, path, "two", 0)
+    assert {r.request_id for r in read_audit(spark, path).collect()} == {"a", "b"}
+
+
+def test_rewrite_on_another_day(spark, tmp_path):
+    """Day bounds and the feed show the last write only, wherever it falls."""
+    path = str(tmp_path / "t")
+    rows = audit_rows(screen(prompts(spark, [("a", 0, "hi", None), ("b", 0, "yo", None)])))
+    write_audit(rows, path, "w", 0, 0)
+    moved = rows.where("request_id = 'a'").withColumn("ts", F.col("ts") - F.expr("INTERVAL 3 DAYS"))
+    write_audit(moved.withColumn("app_id", F.lit("new")), path, "w", 1, 1)
+    day = read_audit(spark, path, first_day="2024-01-01")
+    assert [r.request_id for r in day.collect()] == ["b"]
+    assert [(r.request_id, r.app_id) for r in read_recent(spark, path, 5).collect()] == [("b", "app"), ("a", "new")]
+
+
+def test_runs_of_replays_keep_each_other(spark, store):
+    audit = read_audit(spark, store).where("request_id = 'a'")
+    ids = {run: {r.request_id for r in replay_all(audit, run=run).collect()} for run in ("one", "two")}
+    assert len(ids["one"] | ids["two"]) == 6
+    asked = spark.createDataFrame(
+        [("a", "strict"), ("a", "strict"), ("zzz", "ghost"), ("a", "ghost"), (None, "strict"), ("a", "")],
+        "request_id string, policy_id string",
+    )
+    got = RP.replay_outcomes(audit, asked).collect()
+    assert sorted((r.status, r.detail or "", r.decision or "") for r in got) == [
+        (200, "", "block"), (200, "", "block"), (400, "", ""), (400, "", ""),
+        (404, "Audit record not found: 'zzz'", ""), (404, "Unknown policy: 'ghost'", ""),
+    ]
+
+
 def test_replay_changes_the_decision(spark, store):
     df = read_audit(spark, store)
     pairs = A.replay_pairs(df).collect()
@@ -90,7 +128,9 @@ def test_record_with_replays(spark, store):
 def test_feed(spark, store):
     df = read_audit(spark, store)
     feed = A.feed(df).collect()
-    assert [r.request_id for r in feed[:2]] == ["c", "b"]
+    # replays are newer than what they replay
+    assert {r.policy_id for r in feed[:3]} == {"strict", "default", "permissive"}
+    assert [r.request_id for r in feed[3:5]] == ["c", "b"]
     assert [A.feed_limit(n) for n in (None, -5, 0, 1, 200, 900)] == [50, 1, 1, 1, 200, 200]
     assert len(A.recent(df, 2).collect()) == 2
     plan = A.recent(df, 2)._jdf.queryExecution().executedPlan().toString()
@@ -131,8 +171,8 @@ def test_metrics(spark):
 def test_recent_reads_only_the_newest_days(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = audit_rows(screen(prompts(spark, [(f"r{i:02d}", 24 * (i % 6), "hi", None) for i in range(30)])))
-    write_audit(rows, path, 0)
-    write_audit(rows, path, 1)  # every request twice
+    write_audit(rows, path, "w", 0, 0)
+    write_audit(rows, path, "w", 1, 1)  # every request twice
     full = [r.request_id for r in A.recent(read_audit(spark, path), 12).collect()]
     assert [r.request_id for r in read_recent(spark, path, 12).collect()] == full
     assert read_recent(spark, path, 200).count() == 30

@@ -28,14 +28,14 @@ def test_issues(spark):
     assert issues["empty"] == [("prompt", V.TOO_SHORT)]
     assert issues["none"] == [("prompt", V.REQUIRED)]
     assert issues["long"] == issues["wide long"] == [("prompt", V.TOO_LONG)]
-    assert [p for p, _ in issues["control"]] == ["prompt", "policy_id", "context", "app_id"]
+    assert [p for p, _ in issues["control"]] == ["prompt", "policyId", "context", "appId"]
     assert issues["control"][2][1].endswith("received 'email'")
 
 
 def test_replay_request_issues(spark):
     df = spark.createDataFrame([("a", "strict"), ("", None)], "request_id string, policy_id string")
     got = [[i.path for i in r.x] for r in df.select(V.replay_request_issues().alias("x")).collect()]
-    assert got == [[], ["request_id", "policy_id"]]
+    assert got == [[], ["requestId", "policyId"]]
 
 
 def test_outcome_order(spark):
