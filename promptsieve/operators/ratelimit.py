@@ -154,8 +154,10 @@ def _cut_minutes(
 ) -> DataFrame:
     """The minute in which each overrun counter reaches its limit: one row per counter.
 
-    `first_denied` is the rank, within that minute, of its first denied request;
+    `first_denied` is the rank, within that minute, of its first denied request.
     `hot` and `hot_minute` mark counters and minutes holding a large share of the log.
+    These have a row even where nothing is denied, with `first_denied` NULL, so that the
+    requests of a busy counter within its limit are dropped where they are read.
     """
     counts = _minute_counts(requests, limits, horizon)
     if used is not None:
@@ -176,17 +178,23 @@ def _cut_minutes(
             }
         )
         .withColumn("_before", F.col("_upto") - F.col("n"))
+        .withColumn("hot", F.col("_group") >= total * HOT_SHARE)
+        .withColumn("hot_minute", F.col("n") >= total * HOT_SHARE)
         # Before this minute the limit held, or a carried-over counter was past it.
-        .where(
+        .withColumn(
+            "_cut",
             (F.col("_upto") > F.col("limit"))
-            & ((F.col("_before") <= F.col("limit")) | F.col("_first"))
+            & ((F.col("_before") <= F.col("limit")) | F.col("_first")),
         )
+        .where(F.col("_cut") | F.col("hot_minute") | (F.col("hot") & F.col("_first")))
         .select(
             *COUNTER,
             "minute",
-            F.greatest(F.col("limit") - F.col("_before") + 1, F.lit(1)).alias("first_denied"),
-            (F.col("_group") >= total * HOT_SHARE).alias("hot"),
-            (F.col("n") >= total * HOT_SHARE).alias("hot_minute"),
+            F.when(
+                F.col("_cut"), F.greatest(F.col("limit") - F.col("_before") + 1, F.lit(1))
+            ).alias("first_denied"),
+            "hot",
+            "hot_minute",
         )
     )
 
@@ -203,7 +211,8 @@ def cutoffs(
     used: DataFrame | None = None,
     horizon: int | None = None,
 ) -> DataFrame:
-    """First denied request (ts, request_id) of every counter that runs over.
+    """First denied request (ts, request_id) of every counter that runs over; NULL for
+    busy counters that do not.
 
     `used` holds counts carried over from earlier batches, as `counters` returns them.
     Both steps are written out: they are small, and each is read several times.
@@ -222,14 +231,18 @@ def cutoffs(
         hot=F.col("hot_minute"),
         spread=["request_id"],
         how="inner",
-    )
+    ).where(F.col("first_denied").isNotNull())
     ranked = rank_up_to(in_cut_minute, COUNTER, ["ts", "request_id"], F.col("first_denied"))
-    return materialize(
-        ranked.where(F.col("rank") == F.col("first_denied")).select(
-            *COUNTER, "hot", F.struct(F.col("ts"), F.col("request_id")).alias("cut")
-        ),
-        "cutoffs",
+    found = ranked.where(F.col("rank") == F.col("first_denied")).select(
+        *COUNTER, "hot", F.struct(F.col("ts"), F.col("request_id")).alias("cut")
+    )
+    quiet = (
+        cut_minutes.groupBy(*COUNTER)
+        .agg(F.max("first_denied").alias("_denied"), F.max("hot").alias("hot"))
+        .where(F.col("_denied").isNull() & F.col("hot"))
+        .select(*COUNTER, "hot", F.lit(None).cast(found.schema["cut"].dataType).alias("cut"))
     )
+    return materialize(found.unionByName(quiet), "cutoffs")
 
 
 def tier_denials(

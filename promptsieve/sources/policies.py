@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators.skew import lookup_join
 
 DOCUMENT_DDL = (
     "id string, description string, guardrailId string, guardrailVersion string, "
@@ -151,13 +152,21 @@ def attach_policy(
     returns them.
     """
     wanted = df.withColumn("policy_id", F.coalesce("policy_id", F.lit("default")))
-    if isinstance(policies, DataFrame):
-        dim = policies
-    else:
-        dim = policy_frame(df.sparkSession, policies)
-        if len(policies) <= MAX_BROADCAST_POLICIES:
-            dim = F.broadcast(dim)
-    return wanted.join(dim.withColumnRenamed("id", "policy_id"), "policy_id", how)
+    if not isinstance(policies, DataFrame) and len(policies) <= MAX_BROADCAST_POLICIES:
+        dim = F.broadcast(policy_frame(df.sparkSession, policies))
+        return wanted.join(dim.withColumnRenamed("id", "policy_id"), "policy_id", how)
+    dim = policies if isinstance(policies, DataFrame) else policy_frame(df.sparkSession, policies)
+    # Rows that name no policy may be most of them: `default` goes by broadcast, and they
+    # are scattered in the shuffle for the rest.
+    spread = [c for c in wanted.columns if c != "policy_id"] or ["policy_id"]
+    found = lookup_join(
+        wanted,
+        dim.select(F.col("id").alias("policy_id"), "policy"),
+        ["policy_id"],
+        hot=F.col("policy_id") == "default",
+        spread=spread[:2],
+    )
+    return found.where(F.col("policy").isNotNull()) if how == "inner" else found
 
 
 def unknown_policy(df: DataFrame, policies: Sequence[Policy] | DataFrame) -> DataFrame:

@@ -115,3 +115,25 @@ def test_windows_and_identity(spark):
     ]
     assert {r.k for r in got} == {"u:c:h#100"} and {r.reset for r in got} == {101 * 3600}
     assert [r.retry for r in got] == [3595, 3590, 1, 3600]
+
+
+def test_busy_counter_within_its_limit_is_not_shuffled(spark):
+    """Every request shares the global counter; its rows end at the broadcast of busy keys."""
+    from promptsieve.operators.ratelimit import cutoffs, denials
+
+    rows = spark.createDataFrame(log(5, 300), DDL)
+    roomy = RateLimits(3, 10**9, 10**9, 10**9, 10**9)
+    table = cutoffs(rows, roomy)
+    assert table.where("hot and cut is null and tier = 4").count() >= 1
+    want = {r.request_id for r in denials(rows, roomy).collect()}
+    assert want and want == {r.request_id for r in rate_limit(rows, roomy).where("not allowed").collect()}
+
+
+def test_disabled_limiter_denies_nothing(spark):
+    from dataclasses import replace
+
+    from promptsieve.operators.ratelimit import denials
+
+    rows = spark.createDataFrame(log(5, 60), DDL)
+    assert denials(rows, LIMITS).count() > 0
+    assert denials(rows, replace(LIMITS, enabled=False)).count() == 0
