@@ -152,17 +152,24 @@ class Tree:
         """From counts of bytes: `at` is the depth of a row's context."""
         contexts, nodes, zeros, ones = [], [], [], []
         for d in range(depth + 1):
-            own = at == d
+            own = np.flatnonzero(at == d)
+            own = own[np.lexsort((byte[own], context[own]))]
             keys, number = np.unique(context[own], return_inverse=True)
             value, count = byte[own].astype(np.int64), n[own].astype(float)
-            node = np.concatenate([(number << 8) | (1 << j) | (value >> (8 - j)) for j in range(8)])
-            bit = np.concatenate([(value >> (7 - j)) & 1 for j in range(8)])
-            node, of = np.unique(node, return_inverse=True)
-            count = np.tile(count, 8)
+            parts = []
+            for j in range(8):  # in this order the rows of a decision stand together
+                node = (number << 8) | (1 << j) | (value >> (8 - j))
+                begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
+                bit = (value >> (7 - j)) & 1
+                if len(begin):
+                    sums = [np.add.reduceat(count * (bit == b), begin) for b in (0, 1)]
+                    parts.append((node[begin], *sums))
+            node, a, b = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+            order = np.argsort(node)
             contexts.append(keys)
-            nodes.append(node)
-            zeros.append(np.bincount(of, count * (1 - bit), len(node)))
-            ones.append(np.bincount(of, count * bit, len(node)))
+            nodes.append(node[order])
+            zeros.append(a[order].astype(float))
+            ones.append(b[order].astype(float))
         one = [(b + 0.5) / (a + b + 1) for a, b in zip(zeros, ones)]
         weight: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
         other: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
