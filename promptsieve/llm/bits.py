@@ -9,19 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 26
+BITS = 24
 
 
 @dataclass(frozen=True)
 class Bits:
-    """2^26 bits (8 MB) whatever the number of hashes, so it can go along with every task.
+    """2^24 bits (2 MB) whatever the number of hashes, so it can go along with every task.
     When it fills up it only lets more rows through to the exact join behind it."""
 
     field: np.ndarray
 
     @staticmethod
     def of(hashes: DataFrame, column: str) -> Bits:
-        """The words of the field come from an aggregate, so 2^20 rows arrive at most."""
+        """The words of the field come from an aggregate, so 2^18 rows arrive at most."""
         found = (
             hashes.select(
                 F.expr(f"shiftright(`{column}` & {(1 << BITS) - 1}L, 6)").alias("word"),
@@ -36,7 +36,7 @@ class Bits:
         return Bits(field.view(np.uint8))
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes.astype(np.int64) & ((1 << BITS) - 1)
+        place = hashes.astype(np.int64) & (8 * len(self.field) - 1)
         return (self.field[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
     def may_hold(self, hashes: Column) -> Column:
