@@ -14,6 +14,14 @@ VERDICT = (
     "advice", "escalated",
 )
 
+# Details of matches without a text of their own.
+DETAIL = {
+    "attack": "Guardrail PROMPT_ATTACK content filter",
+    "screener": "Injection screener fired",
+    "topic": "Denied topic (",
+    "content": "Content filter (",
+    "obfuscation": "Hidden or disguised characters",
+}
 # Reason and advice texts; {t} stands for the type of the match.
 REASON = {
     "secrets": "A secret was detected ({t}).",
@@ -108,7 +116,7 @@ def _stages() -> list[dict[str, Column]]:
                 "prompt_injection",
                 F.lit(S.PROMPT_ATTACK),
                 S.confidence_score(attack["confidence"]),
-                F.lit("Guardrail PROMPT_ATTACK content filter"),
+                F.lit(DETAIL["attack"]),
             ),
         ),
         _one_if(
@@ -117,7 +125,7 @@ def _stages() -> list[dict[str, Column]]:
                 "prompt_injection",
                 F.lit("injection_screener"),
                 active["confidence"],
-                _joined_or(active["indicators"], "Injection screener fired"),
+                _joined_or(active["indicators"], DETAIL["screener"]),
             ),
         ),
         F.transform(
@@ -126,7 +134,7 @@ def _stages() -> list[dict[str, Column]]:
                 "topic",
                 t["name"],
                 F.coalesce(F.try_element_at(active["topic_scores"], t["name"]), F.lit(1.0)),
-                F.concat(F.lit("Denied topic ("), t["action"], F.lit(")")),
+                F.concat(F.lit(DETAIL["topic"]), t["action"], F.lit(")")),
             ),
         ),
         F.transform(
@@ -135,7 +143,7 @@ def _stages() -> list[dict[str, Column]]:
                 "content",
                 c["type"],
                 S.confidence_score(c["confidence"]),
-                F.concat(F.lit("Content filter ("), c["confidence"], F.lit(")")),
+                F.concat(F.lit(DETAIL["content"]), c["confidence"], F.lit(")")),
             ),
         ),
         _one_if(
@@ -144,7 +152,7 @@ def _stages() -> list[dict[str, Column]]:
                 "obfuscation",
                 F.lit("unicode_obfuscation"),
                 F.lit(S.OBFUSCATION_CONFIDENCE),
-                _joined_or(F.col("obf_indicators"), "Hidden or disguised characters"),
+                _joined_or(F.col("obf_indicators"), DETAIL["obfuscation"]),
             ),
         ),
     )
@@ -188,8 +196,8 @@ def combine(df: DataFrame) -> DataFrame:
     """Add the verdict columns.
 
     Needs `policy`, `guardrail`, `injection` (NULL where the screener did not run),
-    `normalized`, `obfuscated` and `obf_indicators`.  The decision is the strongest
-    contribution of any evidence: block > redact > allow.
+    `normalized`, `obfuscated` and `obf_indicators`.  Any evidence that blocks
+    makes the row `block`; failing that, any that redacts makes it `redact`.
     """
     for stage in _stages():
         df = df.withColumns(stage)
@@ -205,7 +213,7 @@ def recommended_action(decision: Column) -> Column:
 
 
 def scores(guardrail: Column, active: Column, attack: Column) -> Column:
-    """Display scores; decisions are never taken from them."""
+    """Numbers for people to look at."""
     no_scores = F.create_map().cast("map<string,double>")
     graded = F.coalesce(active["topic_scores"], no_scores)
     # A topic only the guardrail found shows as 1; map_concat rejects a repeated key.

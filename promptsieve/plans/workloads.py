@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ratelimit import RateLimits, identity
 
+# The prompts of the acceptance gate and the decisions it expects.
 PHRASES = (
     "What's the weather in Dubai?",
     "My SSN is 123-45-6789, can you help?",
