@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -135,6 +136,33 @@ def test_context_tree_is_a_distribution():
     assert 0 < 0.5 * kt(bits) / (0.5 * kt(bits) + 0.5 * apart) < 1
 
 
+def test_rare_contexts_are_nodes(spark):
+    """A phrase met three times in a megabyte has nodes at all depths, and the scores are
+    those of one tree of all contexts met twice."""
+    texts = ["ab cd " * 4000] * 40 + ["zqxjvk wyq"] * 3 + ["zqxjvk wyq ab", "qq zqxjvk", "zqx", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.score for r in context_tree.score(docs, F.col("doc_id") < 43).collect()}
+
+    def grams(text):
+        data = b"\n" * 5 + " ".join(brute.words(text)).encode() + b"\n"
+        return [int.from_bytes(data[i : i + 6], "big") for i in range(len(data) - 5)]
+
+    counts = Counter(g for text in texts[:43] for g in grams(text))
+    keys, n = np.array(list(counts), np.uint64), np.array(list(counts.values()))
+    rows = []
+    for d in range(6):
+        context = keys >> np.uint64(8) & np.uint64((1 << 8 * d) - 1)
+        total = Counter()
+        for c, k in zip(context, n):
+            total[c] += k
+        rows += [(c, d, k & np.uint64(255), m) for c, k, m in zip(context, keys, n) if total[c] > 1 or not d]
+    context, at, byte, n = (np.array(x) for x in zip(*rows))
+    tree = context_tree.Tree.fit(5, context.astype(np.uint64), at, byte.astype(np.int64), n)
+    for k, text in enumerate(texts):
+        assert got[k] == pytest.approx(tree.log10(np.array(grams(text), np.uint64)).sum())
+    assert got[42] > -6
+
+
 ITEM = "A farmer named Tom has 5 red apples and gives Anna 3 kg of them, how many apples does Tom keep after 2 days?"
 
 
