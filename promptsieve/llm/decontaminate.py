@@ -2,8 +2,9 @@
 
 Numbers, names and units become typed placeholders, and windows of words are joined by
 hash: once as written (in lower case) and once as templates.  A template match counts only
-if the values in its slots are consistent: along one alignment of document and item, equal
-values of the item stand for equal values of the document and different for different.
+if the values in its slots are consistent: along one alignment of document and item, a value
+of the item stands for that value of the document it meets in most windows, and windows that
+say otherwise are left out, they alone.  Two values of an item may become equal by chance.
 So questions are found again after their names and numbers were exchanged.
 """
 
@@ -169,24 +170,30 @@ def find_items(docs: DataFrame, benchmark: DataFrame, params: Params = Params())
     matched = hits.join(item_windows, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
     matched = materialize(matched.drop("hash"), "hits")
     line = ["name", "mark", "item_id", "shift"]
+    typed = matched.where("size(slots) > 0").select(*line, "item_at", "item_slots", "slots").distinct()
     pairs = (
-        matched.where("size(slots) > 0 and size(slots) = size(item_slots)")
-        .select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
-        .select(*line, "p.*")
-        .distinct()
+        typed.where("size(slots) = size(item_slots)")
+        .select(*line, "item_at", F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
+        .select(*line, "item_at", F.col("p.item_slots").alias("value"), F.col("p.slots").alias("met"))
+    )
+    usual = (
+        pairs.groupBy(*line, "value", "met")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*line, "value")
+        .agg(F.max(F.struct("n", "met")).alias("most"), F.count(F.lit(1)).alias("kinds"))
+        .where("kinds > 1")
+        .select(*line, "value", F.col("most.met").alias("usual"))
     )
+    same = "x.name <=> o.name and x.mark = o.mark and x.item_id <=> o.item_id and x.shift = o.shift"
     odd = (
-        pairs.groupBy(*line)
-        .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("item_slots").alias("x"), F.count_distinct("slots").alias("y"))
-        .where("n > x or n > y")
-        .select(*line, F.lit(True).alias("odd"))
+        pairs.alias("x")
+        .join(usual.alias("o"), F.expr(f"{same} and x.value = o.value and x.met != o.usual"), "left_semi")
+        .select(*line, "item_at")
+        .distinct()
     )
     plain = matched.where("size(slots) = 0").select(*line, "item_at")
-    typed = matched.where("size(slots) > 0").select(*line, "item_at")
-    joined = typed.alias("t").join(
-        odd.alias("o"),
-        F.expr("t.name <=> o.name and t.mark = o.mark and t.item_id <=> o.item_id and t.shift = o.shift"),
-        "left_anti",
+    joined = typed.select(*line, "item_at").alias("x").join(
+        odd.alias("o"), F.expr(f"{same} and x.item_at = o.item_at"), "left_anti"
     )
     # Words put in or left out move the alignment, so an item's windows are counted over all
     # of its alignments in the document.

@@ -191,6 +191,26 @@ def test_decontamination(spark, text, found):
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("item", "text"),
+    [
+        (  # new numbers that coincide
+            "Tom sold 5 red apples to Anna for 3 dollars then 7 green pears to Bill for 9 euros",
+            "Jim sold 4 red apples to Sue for 4 pounds then 8 green pears to Carl for 4 euros",
+        ),
+        (  # one number for two quantities
+            "Tom counted 2 boys near the old river bridge while Anna watched 3 girls under a tall tree for 2 days before Bill left 4 dogs behind",
+            "Jim counted 3 boys near the old river bridge while Sue watched 6 girls under a tall tree for 5 days before Carl left 7 dogs behind",
+        ),
+    ],
+)
+def test_coincidences_are_no_contradiction(spark, item, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert [(r.doc_id, r.item_ids) for r in got] == [(1, [7])] and got[0].coverage > 0.8
+
+
 def _spoken(rows: list[tuple]) -> dict:
     out: dict = {}
     for conv, _, role, text in rows:
