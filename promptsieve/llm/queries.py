@@ -18,6 +18,7 @@ from . import (
     quality,
     substring_dedup,
     toxicity,
+    whitening,
 )
 from .tables import materialize
 from .text import LOWER, UPPER
@@ -247,3 +248,10 @@ def op9_context_tree(spark, sf_dir):
     held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
     return context_tree.score(docs, ~F.col("held_out"))
+
+
+@_query
+def op12_qdwh_whitening(spark, sf_dir):
+    """All `embeddings` as whole numbers, whitened: up to 32 components of each."""
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
