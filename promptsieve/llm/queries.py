@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat,
+    collocations,
     context_tree,
     decontaminate,
     embedding_dedup,
@@ -255,3 +256,56 @@ def op12_qdwh_whitening(spark, sf_dir):
     """All `embeddings` as whole numbers, whitened: up to 32 components of each."""
     found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+@_query
+def op13_collocations(spark, sf_dir):
+    """Phrases of two to five words in `documents` that hold together, 2000 a language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_collocations"] = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), listed AS (
+    SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), placed AS (
+    SELECT lang, id, generate_subscripts(w, 1) AS i, unnest(w) AS w1 FROM listed
+), runs AS (
+    SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3,
+           lead(w1, 3) OVER p AS w4, lead(w1, 4) OVER p AS w5
+    FROM placed WINDOW p AS (PARTITION BY id ORDER BY i)
+), spelt AS (
+    SELECT lang, 1 AS k, w1 AS phrase FROM runs
+    UNION ALL SELECT lang, 2, concat_ws(' ', w1, w2) FROM runs WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, 3, concat_ws(' ', w1, w2, w3) FROM runs WHERE w3 IS NOT NULL
+    UNION ALL SELECT lang, 4, concat_ws(' ', w1, w2, w3, w4) FROM runs WHERE w4 IS NOT NULL
+    UNION ALL SELECT lang, 5, concat_ws(' ', w1, w2, w3, w4, w5) FROM runs WHERE w5 IS NOT NULL
+), counted AS (
+    SELECT lang, k, phrase, count(*) AS a FROM spelt GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang
+), many AS (
+    SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND a >= 100
+), cuts AS (
+    SELECT m.lang, m.phrase, m.a, x.a AS l, y.a AS r, n, j,
+           ((1000::HUGEINT * m.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+    FROM (SELECT m.*, j FROM many m, range(1, 5) t(j) WHERE j < m.k) m
+    JOIN counted x ON x.lang = m.lang AND x.k = j AND x.phrase = array_to_string(m.w[1 : j], ' ')
+    JOIN counted y ON y.lang = m.lang AND y.k = m.k - j AND y.phrase = array_to_string(m.w[j + 1 :], ' ')
+    JOIN totals t ON t.lang = m.lang
+), best AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), held AS (
+    SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS longer
+    FROM many, range(2, 5) t(s), range(1, 5) u(i) WHERE s < k AND i + s - 1 <= k GROUP BY ALL
+), kept AS (
+    SELECT b.* FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase
+    WHERE h.longer IS NULL OR 100 * h.longer < 100 * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""

@@ -74,9 +74,12 @@ def fold(data: np.ndarray) -> np.ndarray:
     return _FOLD[data]
 
 
-def words(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and how many words each row has."""
-    solid = ~_BLANK[data]
+def words(
+    data: np.ndarray, rows: np.ndarray, blank: np.ndarray = _BLANK
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and how many words each row has; `blank` marks the bytes
+    between words."""
+    solid = ~blank[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
