@@ -16,6 +16,7 @@ from . import (
     line_dedup,
     minmax_dedup,
     mixing,
+    passage_dedup,
     quality,
     substring_dedup,
     toxicity,
@@ -309,3 +310,35 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
        phrase, a, l, r, n, score
 FROM kept QUALIFY rank <= 2000
 """
+
+
+@_query
+def op11_automaton_dedup(spark, sf_dir):
+    """`documents` without the words of 20-word windows that stand earlier as well."""
+    found = passage_dedup.remove_passages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op11_automaton_dedup"] = """
+WITH listed AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), placed AS (
+    SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM listed
+), windows AS (
+    SELECT doc_id, i, word, count(*) OVER p AS many, string_agg(word, ' ') OVER p AS run
+    FROM placed
+    WINDOW p AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), late AS (
+    SELECT *, many = 20 AND row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 AS starts
+    FROM windows
+), covered AS (
+    SELECT *, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS 19 PRECEDING) AS gone FROM late
+), kept AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+           string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS rest
+    FROM covered GROUP BY doc_id
+)
+SELECT l.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(rest, '')) AS kept_sha256
+FROM listed l LEFT JOIN kept k ON k.doc_id = l.doc_id
+"""

@@ -108,13 +108,18 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hashes, from which `span_hash` reads that of any span."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * _power("up", _BASE, len(data)), out=total[1:])
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Running polynomial hashes of 64-bit values, from which `span_hash` reads any span's."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power("up", _BASE, len(values)), out=total[1:])
     return total
 
 
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """The same of bytes."""
+    return prefix_sums(_CODES[data])
+
+
 def span_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans [begin, end): equal for equal bytes wherever they stand."""
     down = _power("down", _INVERSE, len(prefix))

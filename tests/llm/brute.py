@@ -97,3 +97,46 @@ def lines(texts: dict, least: int) -> dict:
     gone = {key for key, ks in docs.items() if len(key) >= 1 and len(ks) >= least}
     kept = {k: [x for x in ls if lower(x.strip(edge)) not in gone] for k, ls in split.items()}
     return {k: (len(ls), len(ls) - len(kept[k]), sha("\n".join(kept[k]))) for k, ls in split.items()}
+
+
+def passages(texts: dict, width: int) -> dict:
+    """(words, words removed, rest) of each text; keys in their order, None first."""
+    split = {k: re.findall(r"[^\x20\x09-\x0D]+", texts[k] or "") for k in sorted(texts, key=lambda k: (k is not None, k))}
+    seen, out = set(), {}
+    for k, w in split.items():
+        gone = [False] * len(w)
+        for i in range(len(w) - width + 1):
+            window = tuple(w[i : i + width])
+            if window in seen:
+                gone[i : i + width] = [True] * width
+            seen.add(window)
+        out[k] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
+    return out
+
+
+def collocations(rows: list, least: int, top: int) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score)."""
+    found: dict = defaultdict(Counter)
+    n: Counter = Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lower(text)):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            for k in range(1, 6):
+                found[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, count in found.items():
+        many = {p: a for p, a in count.items() if len(p) > 1 and a >= least}
+        best = []
+        for p, a in many.items():
+            inside = any(
+                len(q) > len(p) and 100 * b >= 100 * a and any(q[i : i + len(p)] == p for i in range(len(q)))
+                for q, b in many.items()
+            )
+            if not inside:
+                score, k = min((1000 * a * n[lang] // (count[p[:k]] * count[p[k:]]), k) for k in range(1, len(p)))
+                best.append((-score, -a, " ".join(p).encode(), count[p[:k]], count[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(best)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n[lang], -score))
+    return sorted(out)
