@@ -32,6 +32,7 @@ class RateLimits:
     enabled: bool = True
     throttle_seconds: int = 60
     throttle_limit: int = 60
+    enforced: tuple[int, ...] = (0, 1, 2, 3, 4)  # tiers, in order of precedence
 
 
 COUNTER = ("tier", "counter", "bucket")
@@ -62,6 +63,11 @@ def _tier_values(limits: RateLimits) -> list[tuple[str, int, int]]:
     ]
 
 
+def scope_of(tier: Column, limits: RateLimits = RateLimits()) -> Column:
+    """Name of a tier; NULL for none."""
+    return F.get(F.array(*[F.lit(scope) for scope, _, _ in _tier_values(limits)]), tier)
+
+
 def tiers(client_id: Column, ip: Column, limits: RateLimits) -> Column:
     """array<struct<tier, scope, counter, window, limit>> in order of precedence."""
     user = lambda unit: F.concat(F.lit("u:"), client_id, F.lit(unit))
@@ -77,6 +83,7 @@ def tiers(client_id: Column, ip: Column, limits: RateLimits) -> Column:
                 F.lit(limit).alias("limit"),
             )
             for rank, (counter, (scope, window, limit)) in enumerate(zip(keys, _tier_values(limits)))
+            if rank in limits.enforced
         ]
     )
 
@@ -167,8 +174,8 @@ def _cut_minutes(
     # At most window / SLICE_SECONDS rows per counter: a day has 1440 minutes.
     by_minute = W.partitionBy(*COUNTER).orderBy("minute")
     running = by_minute.rowsBetween(W.unboundedPreceding, 0)
-    # Every request counts once in the global tier.
-    total = counts.agg(F.sum(F.when(F.col("tier") == GLOBAL_TIER, F.col("n")))).scalar()
+    # Every request counts once in each tier.
+    total = counts.agg(F.sum("n")).scalar() / max(1, len(limits.enforced))
     return (
         counts.withColumns(
             {

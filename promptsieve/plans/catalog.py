@@ -23,8 +23,8 @@ from ..operators.injection import escalation, with_ingested_injection, with_inje
 from ..operators.verdict import combine
 from ..sources import ingest, policies as POL
 from ..sources.audit_store import read_audit, read_recent, write_audit
-from ..sources.scratch import scratch
-from ..streaming.ratelimit import rate_limit_stream
+from ..sources.scratch import materialize, scratch
+from ..streaming.ratelimit import rate_limit_keyed_stream, rate_limit_stream
 from ..streaming.screening import (
     audit_sink,
     counts_sink,
@@ -891,3 +891,43 @@ def stream_rate_limit(spark, d):
     return spark.read.parquet(out).select(
         "request_id", "allowed", "scope", "retry_after_seconds", "late"
     )
+
+
+REQUEST_DDL = "request_id string, ts timestamp, client_id string, ip string"
+
+
+@_query
+def stream_rate_limit_batches(spark, d):
+    """The log in five deliveries, some of it late; user and address counters as keyed state,
+    which each run of the stream takes up where the last one left."""
+    log, out, state, checkpoint = (
+        scratch(spark, p) for p in ("deliveries", "stream", "counters", "checkpoint")
+    )
+    requests = materialize(WL.arrivals(spark, d), "arrivals")
+    for slot in range(WL.ARRIVALS):
+        requests.where(F.col("slot") == slot).drop("slot").write.mode("append").parquet(log)
+        stream = read_stream(spark, log, REQUEST_DDL)
+        _drain(rate_limit_keyed_stream(stream, out, state, checkpoint, WL.LIMITS))
+    return spark.read.schema(f"{REQUEST_DDL}, {_LIMITED}").parquet(out).select(
+        "request_id", "allowed", "scope", "retry_after_seconds", "late"
+    )
+
+
+_LIMITED = "allowed boolean, scope string, retry_after_seconds bigint, late boolean"
+SHARED_STREAMS = 3
+
+
+@_query
+def stream_rate_limit_shared(spark, d):
+    """Three streams, each with a third of the log, that share their counters."""
+    out, state = scratch(spark, "stream"), scratch(spark, "counters")
+    requests = WL.as_traffic(_events_stream(spark, d)).select("event_id", *REQUEST_COLUMNS)
+    for n in range(SHARED_STREAMS):
+        mine = requests.where(F.col("event_id") % SHARED_STREAMS == n).select(*REQUEST_COLUMNS)
+        _drain(rate_limit_stream(mine, out, state, scratch(spark, "checkpoint"), WL.LIMITS))
+    return spark.read.schema(f"{REQUEST_DDL}, {_LIMITED}").parquet(out).select(
+        "request_id", "allowed", "scope", "retry_after_seconds", "late"
+    )
+
+
+REQUEST_COLUMNS = ("request_id", "ts", "client_id", "ip")

@@ -386,6 +386,41 @@ FROM (SELECT *, row_number() OVER (PARTITION BY counter, bucket ORDER BY ts, req
 WHERE n > lim GROUP BY request_id"""
 
 
+_ARRIVALS = f"""
+WITH span AS (
+    SELECT min(epoch_us(ts) // 1000000) AS lo, max(epoch_us(ts) // 1000000) AS hi FROM ({TRAFFIC})
+), cut AS (
+    SELECT t.*, (epoch_us(ts) // 1000000 - lo) * {WL.ARRIVALS - 1} AS past, hi - lo + 1 AS span
+    FROM ({TRAFFIC}) t, span
+), slotted AS (
+    SELECT *, past // span + (event_id % {WL.LATE_KEYS[0]} = {WL.LATE_KEYS[1]}
+        OR event_id % 3 = 0 AND (past // span + 1) * span - past < {WL.LATE_SECONDS * (WL.ARRIVALS - 1)})::INT AS slot
+    FROM cut
+), newest AS (
+    SELECT slot, max(max(epoch_us(ts) // 1000000)) OVER (
+        ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS horizon
+    FROM slotted GROUP BY slot
+)
+SELECT s.*, n.horizon FROM slotted s JOIN newest n USING (slot)"""
+
+
+def delivered(requests: str) -> str:
+    """Limits over deliveries (slot) in order; windows over at `horizon` do not count."""
+    return f"""
+WITH r AS MATERIALIZED ({requests}), t AS (
+    SELECT t.*, r.slot, coalesce((t.bucket + 1) * t.win <= r.horizon, false) AS late
+    FROM ({tiers("r")}) t JOIN r ON r.request_id = t.request_id
+), d AS (
+    SELECT request_id, arg_min(scope, tier) AS scope,
+        arg_min(greatest(1, (bucket + 1) * win - sec), tier) AS retry_after_seconds
+    FROM (SELECT *, row_number() OVER (PARTITION BY counter, bucket ORDER BY slot, ts, request_id) AS n
+          FROM t WHERE NOT late)
+    WHERE n > lim GROUP BY request_id
+), l AS (SELECT request_id, bool_or(late) AS late FROM t GROUP BY request_id)
+SELECT l.request_id, d.scope IS NULL AS allowed, d.scope, d.retry_after_seconds, l.late
+FROM l LEFT JOIN d ON d.request_id = l.request_id"""
+
+
 # --- ingested answers --------------------------------------------------------------------
 
 _EVENT_ACTION = """CASE event_type WHEN 'error' THEN 'BLOCKED' WHEN 'click' THEN 'ANONYMIZED'
@@ -775,6 +810,9 @@ def oracles() -> dict[str, str]:
         "stream_rate_limit": f"""SELECT t.request_id, d.request_id IS NULL AS allowed, d.scope,
             d.retry_after_seconds, false AS late
             FROM ({TRAFFIC}) t LEFT JOIN ({denials(TRAFFIC)}) d ON t.request_id = d.request_id""",
+        "stream_rate_limit_batches": delivered(_ARRIVALS),
+        "stream_rate_limit_shared": f"""SELECT request_id, scope IS NULL AS allowed, scope,
+            retry_after_seconds, false AS late FROM ({delivered(f"SELECT *, event_id % 3 AS slot, NULL::BIGINT AS horizon FROM ({TRAFFIC})")})""",
     }
 
 

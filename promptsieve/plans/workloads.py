@@ -345,3 +345,26 @@ def tenant_policies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
         ).alias("s")
     ).select("s.key", "s.value")
     return policies, settings
+
+
+ARRIVALS = 5
+LATE_KEYS, LATE_SECONDS = (40, 3), 3 * 3_600
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request log with `slot`: which of ARRIVALS deliveries brings a request.
+
+    The time span is cut into equal parts, delivered in order.  Every fortieth request comes
+    one delivery late, and so does every third of the last three hours before a cut: some of
+    their windows are over by then, some not.
+    """
+    second = F.unix_seconds("ts")
+    requests = traffic(spark, sf_dir).select("event_id", "request_id", "ts", "client_id", "ip")
+    lo, hi = requests.agg(F.min(second), F.max(second)).first() or (0, 0)
+    parts, span = ARRIVALS - 1, (hi or 0) - (lo or 0) + 1
+    past = (second - F.lit(lo or 0)) * parts
+    slot = F.floor(past / span)
+    key = F.col("event_id")
+    soon = (slot + 1) * span - past < LATE_SECONDS * parts
+    late = (key % LATE_KEYS[0] == LATE_KEYS[1]) | ((key % 3 == 0) & soon)
+    return requests.withColumn("slot", (slot + late.cast("int")).cast("int")).drop("event_id")

@@ -27,3 +27,29 @@ def folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     where, files = _hadoop(spark, path)
     files.delete(where, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole: it appears under its name only once it is complete."""
+    part, files = _hadoop(spark, f"{path}.part")
+    out = files.create(part, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    where, _ = _hadoop(spark, path)
+    files.delete(where, False)
+    if not files.rename(part, where):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file as text; None if it is absent."""
+    where, files = _hadoop(spark, path)
+    if not files.exists(where):
+        return None
+    source = files.open(where)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()

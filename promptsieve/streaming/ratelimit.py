@@ -1,104 +1,39 @@
-"""Streaming rate limiter with counters that expire with their window.
+"""Streaming rate limiters whose counters expire with their window.
 
-The counters are a table, one version per micro-batch, rather than keyed Python
-state: the global counter is one key, and keyed state would send every request of
-the stream through the one task that owns it.  Here a micro-batch is limited by the
-distributed batch operator, started from the counters left by the batch before.
+Two of them.  `rate_limit_stream` keeps all counters in a table that several streams share;
+each micro-batch is limited by the distributed batch operator.  `rate_limit_keyed_stream`
+keeps the counters of users and addresses as keyed state with event-time timers, which one
+stream owns; only the global counter, a single key that keyed state would send through one
+task, stays in the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from dataclasses import replace
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ratelimit import (
-    COUNTER,
     DAY,
+    GLOBAL_TIER,
     HOUR,
     RateLimits,
     bucket_of,
-    counters,
     rate_limit,
+    scope_of,
+    tier_denials,
     window_reset,
 )
-from ..sources.files import delete, exists, folders
+from .counters import CounterStore
 from .screening import stream_id
 
-_COUNTER_DDL = "tier int, counter string, bucket bigint, used bigint, expires_at bigint"
-
-
-class CounterTable:
-    """Versioned counters of one stream below a shared folder.
-
-    Version n is written while batch n runs and read by batch n + 1.  A retried batch
-    starts from the same version and overwrites its own, so it counts nothing twice.  A
-    stream with a new checkpoint starts from what all other streams on the folder have
-    left, so losing a checkpoint does not reset the limits.  Versions that no batch can
-    ask for any more are deleted.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, stream: str):
-        self.spark, self.folder, self.stream = spark, folder.rstrip("/"), stream
-
-    def _version(self, batch_id: int, stream: str | None = None) -> str:
-        return f"{self.folder}/stream={stream or self.stream}/version={batch_id}"
-
-    def _versions(self, stream: str) -> list[int]:
-        """Complete versions: the horizon is written last."""
-        found = folders(self.spark, f"{self.folder}/stream={stream}", "version=")
-        return sorted(
-            int(v) for v in found if exists(self.spark, f"{self._version(int(v), stream)}/horizon/_SUCCESS")
-        )
-
-    def before(self, batch_id: int) -> tuple[DataFrame | None, int | None]:
-        """(counters, horizon): the newest second seen before this batch."""
-        if batch_id:
-            paths = [self._version(batch_id - 1)]
-        else:
-            others = [s for s in folders(self.spark, self.folder, "stream=") if s != self.stream]
-            paths = [self._version(v[-1], s) for s in others if (v := self._versions(s))]
-        if not paths:
-            return None, None
-        used = self.spark.read.schema(_COUNTER_DDL).parquet(*[f"{p}/counters" for p in paths])
-        horizon = (
-            self.spark.read.schema("horizon bigint")
-            .parquet(*[f"{p}/horizon" for p in paths])
-            .agg(F.max("horizon"))
-            .first()[0]
-        )
-        if len(paths) > 1:
-            used = used.groupBy(*COUNTER, "expires_at").agg(F.sum("used").alias("used"))
-        return used.select(*COUNTER, "used", "expires_at"), horizon
-
-    def write(
-        self, batch_id: int, batch: DataFrame, limits: RateLimits,
-        used: DataFrame | None, horizon: int | None,
-    ) -> None:
-        path = self._version(batch_id)
-        columns = [*COUNTER, "used", "expires_at"]
-        fresh = counters(batch, limits, horizon).select(*columns)
-        if used is not None:
-            fresh = (
-                fresh.unionByName(used)
-                .groupBy(*COUNTER, "expires_at")
-                .agg(F.sum("used").alias("used"))
-                .select(*columns)
-            )
-        newest = batch.agg(F.max(F.unix_seconds("ts")).alias("s")).first()["s"]
-        ends = [v for v in (newest, horizon) if v is not None]
-        reached = max(ends) if ends else None
-        if reached is not None:
-            fresh = fresh.where(F.col("expires_at") > reached)
-        fresh.write.mode("overwrite").parquet(f"{path}/counters")
-        (
-            self.spark.range(1)
-            .select(F.lit(reached).cast("bigint").alias("horizon"))
-            .write.mode("overwrite")
-            .parquet(f"{path}/horizon")
-        )
-        for old in self._versions(self.stream):
-            if old < batch_id - 1:
-                delete(self.spark, self._version(old))
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def limited_batch(
@@ -119,6 +54,10 @@ def limited_batch(
     return out.withColumn("late", over[0] | over[1])
 
 
+def _results(out: str, stream: str, batch_id: int) -> str:
+    return f"{out.rstrip('/')}/stream={stream}/batch={batch_id}"
+
+
 def rate_limit_stream(
     requests: DataFrame,
     out: str,
@@ -130,19 +69,19 @@ def rate_limit_stream(
     """Start the limiter over a stream of (request_id, ts, client_id, ip).
 
     Order within a micro-batch is (ts, request_id).  Results land in `out`, one folder
-    per stream and micro-batch.
+    per stream and micro-batch.  Streams with one `state` folder share their counters.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         stream = stream_id(batch)
-        table = CounterTable(batch.sparkSession, state, stream)
-        used, horizon = table.before(batch_id)
+        store = CounterStore(batch.sparkSession, state, stream)
+        counts = store.before(batch_id)
         batch = batch.persist()  # read by several passes; recomputed from the source if lost
         try:
-            limited_batch(batch, limits, used, horizon).write.mode("overwrite").parquet(
-                f"{out.rstrip('/')}/stream={stream}/batch={batch_id}"
-            )
-            table.write(batch_id, batch, limits, used, horizon)
+            limited_batch(batch, limits, counts.used, counts.horizon).write.mode(
+                "overwrite"
+            ).parquet(_results(out, stream, batch_id))
+            store.add(batch_id, batch, limits, counts.horizon)
         finally:
             batch.unpersist()
 
@@ -152,3 +91,202 @@ def rate_limit_stream(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+# --- keyed state --------------------------------------------------------------------------
+
+USER, ADDRESS = 0, 1
+_COUNTED = (
+    "request_id string, ts timestamp, client_id string, ip string, kind int, tier int, "
+    "late boolean, retry_after_seconds bigint"
+)
+_HOURS = DAY // HOUR
+
+
+class DayCounter(StatefulProcessor):
+    """What one user or address has asked for on one day: the day's count and those of its
+    hours.  A timer drops them when the day is over.
+
+    Within a batch the first requests by (ts, request_id) that a limit leaves room for are
+    allowed.  Rows that can no longer be among them are told at once, so a key with very
+    many requests needs memory for about `most` rows.
+    """
+
+    def __init__(self, limits: RateLimits, most: int = 10_000):
+        self.most = most
+        self.limits = {
+            USER: (limits.user_per_hour, limits.user_per_day),
+            ADDRESS: (limits.ip_per_hour, limits.ip_per_day),
+        }
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.used = handle.getValueState("used", "used array<bigint>")  # hours, then the day
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kind, _, day = key
+        newest = timerValues.getCurrentWatermarkInMs() // 1000
+        resets = np.append(day * DAY + HOUR * np.arange(1, _HOURS + 1), (day + 1) * DAY)
+        over = resets <= newest
+        known = self.used.get() if not over[-1] else None
+        used = np.array(known[0] if known else [0] * (_HOURS + 1), np.int64)
+        limits = np.append(np.full(_HOURS, self.limits[kind][0]), self.limits[kind][1])
+        free = np.where(over, np.iinfo(np.int64).max, np.maximum(limits - used, 0))
+        held, seen = None, np.zeros(_HOURS + 1, np.int64)
+        for part in rows:
+            hour = part["second"].to_numpy() % DAY // HOUR
+            seen += np.append(np.bincount(hour, minlength=_HOURS), len(part))
+            held = part if held is None else pd.concat([held, part])
+            if len(held) > self.most:
+                held, denied = self._ranked(held, free)
+                gone = denied.all(axis=0)
+                yield from self._told(kind, held[gone], denied[:, gone], over, resets)
+                held = held[~gone]
+        if held is not None:
+            held, denied = self._ranked(held, free)
+            yield from self._told(kind, held, denied, over, resets)
+        if over[-1]:
+            return
+        if not known:
+            self.handle.registerTimer(int(resets[-1]) * 1000)
+        self.used.update(((used + np.where(over, 0, seen)).tolist(),))
+
+    @staticmethod
+    def _ranked(rows: pd.DataFrame, free: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+        """Rows in order, and whether their hour and their day have no room for them."""
+        if len(rows) > 1:
+            rows = rows.sort_values(["ts", "request_id"], kind="stable")
+        hour = rows["second"].to_numpy() % DAY // HOUR
+        rank = np.arange(len(rows))
+        by_hour = np.argsort(hour, kind="stable")
+        size = np.bincount(hour, minlength=_HOURS)
+        in_hour = np.empty(len(rows), np.int64)
+        in_hour[by_hour] = rank - np.repeat(np.cumsum(size) - size, size)
+        return rows, np.stack([in_hour >= free[hour], rank >= free[-1]])
+
+    @staticmethod
+    def _told(kind, rows: pd.DataFrame, denied, over, resets) -> Iterator[pd.DataFrame]:
+        """Of users all rows, of addresses those denied; `tier` is the first that denies."""
+        if kind == ADDRESS:
+            some = denied.any(axis=0)
+            rows, denied = rows[some], denied[:, some]
+        if not len(rows):
+            return
+        second = rows["second"].to_numpy()
+        hour = second % DAY // HOUR
+        reset = np.where(denied[0], resets[hour], resets[-1])
+        tier = pd.array(np.where(denied[0], 2 * kind, 2 * kind + 1), dtype="Int32")
+        tier[~denied.any(axis=0)] = pd.NA
+        yield pd.DataFrame(
+            {
+                "request_id": rows["request_id"].to_numpy(), "ts": rows["ts"].array,
+                "client_id": rows["client_id"].to_numpy(), "ip": rows["ip"].to_numpy(),
+                "kind": np.int32(kind), "tier": tier, "late": over[hour] | over[-1],
+                "retry_after_seconds": np.maximum(1, reset - second),
+            }
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.used.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def count_keyed(requests: DataFrame, limits: RateLimits = RateLimits()) -> DataFrame:
+    """The user and address tiers of a stream of requests, by keyed state.
+
+    The watermark is the newest instant of earlier batches.  It is not a column of what the
+    state sees, so requests older than it are not dropped: they count as long as their
+    window is open, and come out as `late` after.
+    """
+    second = F.unix_seconds("ts")
+    who = F.inline(
+        F.array(
+            F.struct(F.lit(USER).alias("kind"), F.col("client_id").alias("who")),
+            F.struct(F.lit(ADDRESS).alias("kind"), F.col("ip").alias("who")),
+        )
+    )
+    rows = (
+        requests.select("request_id", "ts", "client_id", "ip")
+        .withWatermark("ts", "0 seconds")
+        .select(
+            "request_id", F.unix_micros("ts").alias("at"), second.alias("second"), "client_id", "ip",
+            bucket_of(second, F.lit(DAY)).alias("day"), who,
+        )
+        .withColumn("ts", F.timestamp_micros("at"))
+        .drop("at")
+    )
+    return rows.groupBy("kind", "who", "day").transformWithStateInPandas(
+        DayCounter(limits), _COUNTED, "append", "EventTime"
+    )
+
+
+def _joined(counted: DataFrame, limits: RateLimits, used: DataFrame | None, horizon: int | None) -> DataFrame:
+    """One row per request out of the keyed tiers and the global one."""
+    requests = counted.where(F.col("kind") == USER)
+    overall = replace(limits, enforced=(GLOBAL_TIER,))
+    denied = (
+        counted.where("tier is not null")
+        .select("request_id", "tier", "retry_after_seconds")
+        .unionByName(
+            tier_denials(requests, overall, used, horizon).select(
+                "request_id", "tier", "retry_after_seconds"
+            )
+        )
+    )
+    if not limits.enabled:
+        denied = denied.limit(0)
+    first = denied.groupBy("request_id").agg(F.min(F.struct("tier", "retry_after_seconds")).alias("first"))
+    return requests.select("request_id", "ts", "client_id", "ip", "late").join(
+        first, "request_id", "left"
+    ).select(
+        "request_id", "ts", "client_id", "ip",
+        F.col("first").isNull().alias("allowed"),
+        scope_of(F.col("first.tier")).alias("scope"), "first.retry_after_seconds", "late",
+    )
+
+
+def rate_limit_keyed_stream(
+    requests: DataFrame,
+    out: str,
+    state: str,
+    checkpoint: str,
+    limits: RateLimits = RateLimits(),
+    **trigger,
+):
+    """The limiter of `rate_limit_stream` with its user and address counters as keyed state
+    in the checkpoint; the global counter is in `state`, shared with other streams there."""
+    overall = replace(limits, enforced=(GLOBAL_TIER,))
+
+    def process(counted: DataFrame, batch_id: int) -> None:
+        counted = counted.persist()  # the state must be read once
+        try:
+            if counted.isEmpty():  # a batch in which only timers ran
+                return
+            stream = stream_id(counted)
+            store = CounterStore(counted.sparkSession, state, stream)
+            counts = store.before(batch_id)
+            _joined(counted, limits, counts.used, counts.horizon).write.mode("overwrite").parquet(
+                _results(out, stream, batch_id)
+            )
+            own = counted.where(F.col("kind") == USER)
+            store.add(batch_id, own, overall, counts.horizon)
+        finally:
+            counted.unpersist()
+
+    spark = requests.sparkSession
+    before = spark.conf.get(_STATE_STORE, None)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)  # the only store with timers; fixed when a query starts
+    try:
+        return (
+            count_keyed(requests, limits)
+            .writeStream.foreachBatch(process)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+    finally:
+        spark.conf.unset(_STATE_STORE) if before is None else spark.conf.set(_STATE_STORE, before)

@@ -1,10 +1,15 @@
 import os
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from promptsieve import RateLimits, rate_limit, read_audit, screen, screen_stream
-from promptsieve.streaming.ratelimit import rate_limit_stream
+from promptsieve.operators.ratelimit import counters
+from promptsieve.streaming.counters import CounterStore, Segment
+from promptsieve.streaming.ratelimit import DayCounter, rate_limit_keyed_stream, rate_limit_stream
 from promptsieve.streaming.screening import (
     audit_sink,
     counts_sink,
@@ -59,10 +64,9 @@ def test_late_requests_fail_open_and_counters_expire(spark, tmp_path):
     got = {r.request_id: (r.allowed, r.late) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": (True, False), "b": (False, False), "c": (True, False), "d": (True, True), "e": (False, False)}
     [stream] = os.listdir(state)
-    assert {v for v in os.listdir(f"{state}/{stream}") if v[0] != "."} == {"version=1", "version=2"}
-    kept = spark.read.parquet(f"{state}/{stream}/version=1/counters")
-    hour = kept.where("counter = 'u:u:h'").collect()
-    assert [r.used for r in hour] == [1] and hour[0].expires_at == int(start.timestamp()) + 3 * 3600
+    kept = spark.read.parquet(f"{state}/{stream}/segment=2-2/counters")
+    assert {(r.counter, r.used) for r in kept.collect()} == {
+        (c, 1) for c in ("u:u:h", "ip:i:h")} | {(c, 2) for c in ("u:u:d", "ip:i:d", "g:all:d")}
 
 
 def test_screening_stream_equals_batch_and_audits_once(spark, tmp_path):
@@ -102,3 +106,142 @@ def test_streams_with_new_checkpoints(spark, tmp_path):
             read_stream(spark, folder, DDL, 1), out, state, str(tmp_path / f"cp{n}"), limits))
     got = {r.request_id: r.allowed for r in spark.read.parquet(out).collect()}
     assert got == {"00": True, "01": True, "10": False, "11": False}
+
+
+@pytest.mark.parametrize(("parts", "denied"), [((4, 3, 3), 0), ((3, 3, 3, 3), 2)])
+def test_counts_of_many_streams_add_up_once(spark, tmp_path, parts, denied):
+    """Each stream starts from what the others have counted, and from nothing else."""
+    start = datetime(2024, 3, 9, 10, 0, tzinfo=timezone.utc)
+    limits = RateLimits(100, 100, 100, 100, 10)
+    out, state, n = str(tmp_path / "out"), str(tmp_path / "state"), 0
+    for k, size in enumerate(parts):
+        rows = [(f"r{n + i:02d}", start + timedelta(minutes=n + i), f"u{n + i}", f"i{n + i}") for i in range(size)]
+        n += size
+        spark.createDataFrame(rows, DDL).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        drained(rate_limit_stream(
+            read_stream(spark, str(tmp_path / f"in{k}"), DDL, 1), out, state, str(tmp_path / f"cp{k}"), limits))
+    got = {r.request_id: r.allowed for r in spark.read.parquet(out).collect()}
+    assert got == {f"r{i:02d}": i < n - denied for i in range(n)}
+
+
+def _requests(spark, rows):
+    start = datetime(2024, 3, 9, 10, 0, tzinfo=timezone.utc)
+    return spark.createDataFrame([(f"r{k}", start + timedelta(minutes=m), u, "i") for k, m, u in rows], DDL)
+
+
+def test_a_retried_batch_starts_from_what_it_used_before(spark, tmp_path):
+    limits = RateLimits()
+    one, two = (CounterStore(spark, str(tmp_path), s) for s in ("one", "two"))
+    two.add(0, _requests(spark, [(0, 0, "u")]), limits, None)
+    total = lambda c: 0 if c.used is None else c.used.where("tier = 4").agg(F.sum("used")).first()[0]
+    assert total(one.before(0)) == 1
+    one.add(0, _requests(spark, [(1, 1, "u"), (2, 2, "v")]), limits, None)
+    two.add(1, _requests(spark, [(3, 3, "u")]), limits, None)
+    assert total(one.before(0)) == 1  # the same batch again
+    one.add(0, _requests(spark, [(1, 1, "u"), (2, 2, "v")]), limits, None)
+    assert total(one.before(1)) == 4 and one.before(1).horizon == two.before(2).horizon - 60
+    assert total(two.before(2)) == 4
+    # an incomplete segment does not count
+    os.remove(tmp_path / "stream=two" / "segment=1-1" / "newest")
+    assert total(CounterStore(spark, str(tmp_path), "three").before(0)) == 3
+
+
+def test_segments_are_folded_and_idle_counters_are_not_written(spark, tmp_path):
+    limits = RateLimits(enforced=(1, 4))
+    store = CounterStore(spark, str(tmp_path), "s", fold=3, grace=2)
+    idle = _requests(spark, [(f"idle{i}", 0, f"idle{i}") for i in range(40)])
+    horizon = None
+    for n in range(11):
+        batch = idle if n == 0 else _requests(spark, [(n, 60 * n, "busy")])
+        horizon = store.before(n).horizon
+        store.add(n, batch, limits, horizon)
+        if n:
+            own = spark.read.parquet(f"{tmp_path}/stream=s/segment={n}-{n}/counters")
+            assert {r.counter for r in own.collect()} == {"u:busy:d", "g:all:d"}
+    assert store.segments("s") == [Segment("s", 0, 8), Segment("s", 9, 9), Segment("s", 10, 10)]
+    assert len(os.listdir(tmp_path / "stream=s")) < 12  # those folded are gone, but for the last
+    used = {r.counter: r.used for r in store.before(11).used.collect()}
+    assert used == {"u:busy:d": 10, "g:all:d": 50} | {f"u:idle{i}:d": 1 for i in range(40)}
+    late = _requests(spark, [("next", 60 * 24, "busy")])
+    store.add(11, late, limits, horizon)
+    assert {r.counter: r.used for r in store.before(12).used.collect()} == {"u:busy:d": 1, "g:all:d": 1}
+
+
+def test_keyed_stream_equals_batch(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = log(12, 300)
+    write_in_order(spark, rows, folder, 3)
+    query = rate_limit_keyed_stream(
+        read_stream(spark, folder, DDL, 1), out, str(tmp_path / "state"), str(tmp_path / "cp"), LIMITS)
+    drained(query)
+    got = {r.request_id: (r.allowed, r.scope, r.retry_after_seconds) for r in spark.read.parquet(out).collect()}
+    want = {r.request_id: (r.allowed, r.scope, r.retry_after_seconds)
+            for r in rate_limit(spark.createDataFrame(rows, DDL), LIMITS).collect()}
+    assert got == want
+
+
+def test_keyed_state_goes_with_its_day(spark, tmp_path):
+    """Late requests fail open, hour by hour and day by day; state of past days is dropped."""
+    start = datetime(2024, 3, 9, 10, 0, tzinfo=timezone.utc)
+    limits = RateLimits(1, 3, 100, 100, 100)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    at = lambda **k: start + timedelta(**k)
+    batches = [
+        [("a", at(), "u", "i"), ("b", at(minutes=1), "u", "i")],
+        [("c", at(hours=2), "u", "i")],
+        [("d", at(minutes=2), "u", "i"), ("e", at(hours=2, minutes=1), "u", "i")],
+        [("f", at(days=3), "v", "j")],
+        [("g", at(minutes=3), "u", "i"), ("h", at(days=3, minutes=1), "v", "j")],
+    ]
+    removed, total = 0, []
+    for batch in batches:
+        spark.createDataFrame(batch, DDL).coalesce(1).write.mode("append").parquet(folder)
+        query = rate_limit_keyed_stream(
+            read_stream(spark, folder, DDL, 1), out, str(tmp_path / "state"), str(tmp_path / "cp"), limits)
+        drained(query)
+        removed += sum(s.numRowsRemoved for p in query.recentProgress for s in p.stateOperators)
+        total.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    got = {r.request_id: (r.scope, r.late) for r in spark.read.parquet(out).collect()}
+    assert got == {
+        "a": (None, False), "b": ("user/hour", False), "c": (None, False),
+        # late for its hour, but the day still counts it
+        "d": ("user/day", True), "e": ("user/hour", False),
+        "f": (None, False), "g": (None, True), "h": ("user/hour", False),
+    }
+    assert total[-1] == total[0] and removed == total[0]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_hot_key_is_ranked_in_bounded_memory():
+    """The same denials whatever the size of the parts and of what is held."""
+
+    class Value:
+        now = None
+        def get(self): return self.now  # noqa: E704
+        def update(self, value): self.now = value  # noqa: E704
+
+    class Handle:
+        def getValueState(self, *_): return Value()  # noqa: E704
+        def registerTimer(self, _): pass  # noqa: E704
+
+    class Timer:
+        def getCurrentWatermarkInMs(self): return 0  # noqa: E704
+
+    draw = np.random.default_rng(1)
+    second = draw.integers(0, 86_400, 3_000)
+    second[:900] = 5_000
+    rows = pd.DataFrame({"request_id": [f"r{i:04d}" for i in range(3_000)], "second": second, "client_id": "u", "ip": "i"})
+    rows["ts"] = pd.to_datetime(rows["second"], unit="s")
+    results = []
+    for size, most in ((3_000, 10_000), (100, 150), (7, 1)):
+        counter = DayCounter(RateLimits(user_per_hour=30, user_per_day=400), most)
+        counter.init(Handle())
+        told = [t for k in range(2) for t in counter.handleInputRows(
+            (0, "u", 0), iter([rows[k * 1500:(k + 1) * 1500].iloc[i:i + size] for i in range(0, 1500, size)]), Timer())]
+        results.append(pd.concat(told).sort_values("request_id")[["request_id", "tier"]].astype(str).values.tolist())
+    assert results[0] == results[1] == results[2] and len(results[0]) == 3_000
+
+
+def test_counters_of_some_tiers(spark):
+    rows = spark.createDataFrame(log(3, 50), DDL)
+    assert {r.tier for r in counters(rows, RateLimits(enforced=(0, 4))).collect()} == {0, 4}
