@@ -27,7 +27,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,6 +116,9 @@ def _shared_runs(bits: Bits, params: Params):
     return find
 
 
+_ASKED = ("gram", "whole", "doc_id", "mark", "start", "hot", "size")
+
+
 def _cut(params: Params):
     """The words of the runs asked for, out of their documents."""
 
@@ -130,13 +133,17 @@ def _cut(params: Params):
             raw = data.tobytes()
             texts = [raw[a:b] for a, b in zip(begin[first].tolist(), end[last].tolist())]
             yield pa.record_batch(
-                [asked.field("gram"), asked.field("whole"), pa.array(texts, pa.binary())],
-                ["gram", "whole", "data"],
+                [*[asked.field(c) for c in _ASKED], pa.array(texts, pa.binary())], [*_ASKED, "data"]
             )
 
     return cut
 
 
+def _key() -> Column:
+    """One value for doc_id, null or not, and mark."""
+    return F.concat_ws(":", F.col("mark").cast("string"), F.col("doc_id").cast("string"))
+
+
 # --- reference shards ---------------------------------------------------------------------
 
 _PLACE = ("doc_id", "mark", "start")
@@ -374,20 +381,16 @@ def remove_passages(docs: DataFrame, params: Params = Params()) -> DataFrame:
         ),
         "kinds",
     )
-    asked = wanted.groupBy("doc_id", "mark").agg(
-        F.collect_list(F.struct("gram", "whole", "start", "many")).alias("runs")
-    )
+    asked = wanted.groupBy(_key().alias("key")).agg(F.collect_list(F.struct(*_ASKED, "many")).alias("runs"))
     cut = (
         texts.where(Bits.of(wanted, "mark").may_hold(F.col("mark")))
-        .dropDuplicates(["doc_id", "mark"])
-        .alias("d")
-        .join(asked.alias("w"), F.expr("d.doc_id <=> w.doc_id and d.mark = w.mark"))
+        .select(_key().alias("key"), "text")
+        .dropDuplicates(["key"])
+        .join(asked, "key")
         .select("text", "runs")
-        .mapInArrow(_cut(params), "gram long, whole long, data binary")
-    )
-    cut = materialize(
-        cut.join(wanted, ["gram", "whole"]).select("gram", "whole", *_PLACE, "hot", "size", "data"), "cut"
+        .mapInArrow(_cut(params), wanted.select(*_ASKED).schema.add("data", "binary"))
     )
+    cut = materialize(cut, "cut")
     words_in_all = wanted.agg(F.sum(length)).first()[0] or 0
     shards = max(1, -(-int(words_in_all) // params.shard))
     place = T.StructType().add("doc_id", id_type).add("mark", "long").add("start", "integer")
@@ -425,16 +428,18 @@ def remove_passages(docs: DataFrame, params: Params = Params()) -> DataFrame:
             ).alias("span"),
         )
     )
-    spans = materialize(spans.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans")), "spans")
+    spans = spans.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans"))
+    spans = materialize(spans.select(_key().alias("key"), "mark", "spans"), "spans")
 
     new = ("text", "n_words", "n_removed")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("row")
     held = docs.select(
         row, F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.col("text").cast("string").alias("text")
     ).withColumn("may", Bits.of(spans, "mark").may_hold(F.col("mark")))
-    joined = held.where("may").alias("d").join(
-        spans.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.mark = s.mark"), "left"
-    ).select("row", "d.doc_id", "d.mark", "text", "spans")
+    joined = (
+        held.where("may").withColumn("key", _key()).join(spans.select("key", "spans"), "key", "left")
+        .select("row", "doc_id", "mark", "text", "spans")
+    )
     joined = joined.unionByName(held.where("not may").drop("may"), allowMissingColumns=True)
     schema = joined.select("row").schema.add("text", "string").add("n_words", "long").add("n_removed", "long")
     out = joined.mapInArrow(_remove(hot_shard), schema)
