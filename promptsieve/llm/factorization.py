@@ -2,6 +2,11 @@
 
 The score of a row with active features A is  b + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2),
 sums over i in A: linear in |A|, though it counts every pair.  Features are present or not.
+
+All hashed features of the sample take part in training.  What keeps noise out is a penalty
+inside it, on weights and on factors, in units of the noise of each feature's own gradient:
+a weight stays only if the data pull at it harder than chance does.  For factors the penalty
+starts low, so that pairs without any effect of their single terms can grow, and rises.
 """
 
 from __future__ import annotations
@@ -26,50 +31,66 @@ STATS = (
 
 @dataclass(frozen=True)
 class Params:
-    """Training uses `sample` labelled rows at most (smallest seeded hashes), `terms` word
-    hashes whose presence differs most between the classes (z of `least_z` or more in the
-    log odds), and rank `rank`.  `structure` adds binned structure statistics, `stems` the first
-    so many bytes of longer words."""
+    """Training uses `sample` labelled rows at most (smallest seeded hashes; if labelled ids
+    repeat in the documents, so many of their rows) and factors of rank `rank`.  `structure`
+    adds binned structure statistics, `stems` the first so many bytes of longer words.
+
+    Steps of `batch` rows: `alone` of them on weights only, then up to `steps` with factors,
+    then `free` ones without the penalties, for what is not zero by then.  `strict` is the
+    least pull on a weight, in standard deviations; that on factors rises from `loose` to
+    `tight`.  `decay` is the precision of a normal prior."""
 
     sample: int = 20_000
     hash_bits: int = 18
-    terms: int = 512
-    least_z: float = 4.0
-    rank: int = 6
+    rank: int = 4
     bins: int = 12
     structure: bool = True
     stems: tuple[int, ...] = ()
+    batch: int = 2_048
+    alone: int = 60
     steps: int = 300
+    free: int = 80
+    strict: float = 3.0
+    loose: float = 0.5
+    tight: float = 4.0
     rate: float = 0.05
-    decay: float = 2e-4
+    decay: float = 1.0
     seed: int = 5
 
 
 @dataclass
 class Model:
-    """Fixed size whatever the data: 2^hash_bits feature numbers and the factors."""
+    """Fixed size whatever the data: a weight and factors of each bucket, then of each bin."""
 
     params: Params
-    slot: np.ndarray
     edges: np.ndarray
     bias: float
     w: np.ndarray = field(repr=False)
     v: np.ndarray = field(repr=False)
 
+    def __post_init__(self) -> None:
+        self.active = (self.w != 0) | (self.v != 0).any(axis=1)
+
+    def bins_of(self, stats: np.ndarray) -> np.ndarray:
+        """Feature of each row and statistic; missing values have a bin of their own."""
+        first, width = 1 << self.params.hash_bits, self.params.bins + 1
+        found = np.zeros((len(stats), len(self.edges)), np.int64)
+        for j, edge in enumerate(self.edges):
+            value = stats[:, j]
+            found[:, j] = first + j * width + np.where(
+                np.isnan(value), self.params.bins, np.searchsorted(edge, value)
+            )
+        return found
+
     def features(self, buckets: np.ndarray, counts: np.ndarray, stats: np.ndarray):
-        """(row, feature) of everything active."""
+        """(row, feature) of what is present and is not zero."""
         row = np.repeat(np.arange(len(counts)), counts)
-        known = self.slot[buckets]
-        keep = known >= 0
+        keep = self.active[buckets]
         size = len(self.w)
-        pairs = np.unique(row[keep] * size + known[keep])
+        pairs = np.unique(row[keep] * size + buckets[keep])
         if self.params.structure:
-            first = size - self.edges.shape[0] * (self.params.bins + 1)
-            for j, edge in enumerate(self.edges):
-                value = stats[:, j]
-                bin_ = np.where(np.isnan(value), self.params.bins, np.searchsorted(edge, value))
-                more = np.arange(len(counts)) * size + first + j * (self.params.bins + 1) + bin_
-                pairs = np.concatenate([pairs, more])
+            more = np.arange(len(counts))[:, None] * size + self.bins_of(stats)
+            pairs = np.concatenate([pairs, more.ravel()])
         return pairs // size, pairs % size
 
     def score(self, row: np.ndarray, feature: np.ndarray, rows: int) -> np.ndarray:
@@ -148,9 +169,9 @@ def _inputs(docs: DataFrame, *more: Column) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, params: Params) -> Model:
     """`labels`: doc_id, label (0 or 1; other values and nulls are left out).
 
-    Rows are joined on doc_id.  Without rows of both classes the model knows the share only.
+    Rows are joined on doc_id; other columns of the documents may have any name.  Without
+    rows of both classes the model knows the share only.
     """
-    spark = docs.sparkSession
     chosen = labels.where("label in (0, 1) and doc_id is not null").select(
         F.col("doc_id").cast("long").alias("key"), F.col("label").cast("int").alias("label")
     )
@@ -170,89 +191,139 @@ def train(docs: DataFrame, labels: DataFrame, params: Params) -> Model:
                 ["label", "buckets", "stats"],
             )
 
-    # The sample has a bounded number of narrow rows, so it may be broadcast.
-    joined = _inputs(
-        docs.withColumn("_key", F.col("doc_id").cast("long")).join(
-            F.broadcast(chosen.select(F.col("key").alias("_key"), F.col("label").alias("_label"))), "_key"
-        ),
-        F.col("_label").alias("label"),
-    )
+    # The labels have a bounded number of narrow rows, so they may be broadcast.
+    keyed = _inputs(docs, F.col("doc_id").cast("long").alias("key"))
+    joined = keyed.join(F.broadcast(chosen), "key").select("label", "text", "n_chars")
     sample = materialize(
         joined.mapInArrow(spread, "label int, buckets array<int>, stats array<double>"), "sample"
     )
-    n0, n1 = sample.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
-    positive = F.col("n1") + 0.5, F.lit(n1) - F.col("n1") + 0.5
-    negative = F.col("n0") + 0.5, F.lit(n0) - F.col("n0") + 0.5
-    z = F.abs(F.log(positive[0] / positive[1]) - F.log(negative[0] / negative[1])) / F.sqrt(
-        1 / positive[0] + 1 / positive[1] + 1 / negative[0] + 1 / negative[1]
-    )
-    best = (
-        sample.select("label", F.explode("buckets").alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
-        .withColumn("z", z)
-        .where(F.col("z") >= params.least_z)
-        .orderBy(F.desc("z"), "bucket")
-        .limit(params.terms)
-        .select("bucket")
-    )
-    best = [r.bucket for r in best.collect()]  # at most `terms`
-    slot = np.full(1 << params.hash_bits, -1, np.int32)
-    slot[best] = np.arange(len(best))
-    narrow = sample.select(
-        "label", F.array_intersect("buckets", F.array(*[F.lit(int(b)) for b in best]).cast("array<int>")).alias("buckets"), "stats"
-    ).toPandas()
-    narrow = narrow.iloc[np.lexsort((narrow["stats"].map(tuple).map(hash), narrow["label"]))]
-    stats = np.stack(narrow["stats"]) if len(narrow) else np.zeros((0, len(STATS)))
+    if sample.count() > params.sample:
+        sample = sample.orderBy(F.xxhash64(F.lit(params.seed), *sample.columns)).limit(params.sample)
+    found = sample.orderBy("label", F.xxhash64("buckets", "stats")).toArrow().combine_chunks()
+    label = found.column("label").to_numpy().astype(np.float32)
+    stats = np.array(found.column("stats").to_pylist()) if len(label) else np.zeros((0, len(STATS)))
+    lists = found.column("buckets").combine_chunks() if len(label) else pa.array([], pa.list_(pa.int32()))
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    buckets = lists.flatten().to_numpy(zero_copy_only=False)
     marks = np.linspace(0, 1, params.bins + 1)[1:-1]
-    edges = np.stack(
-        [
-            np.quantile(column[~np.isnan(column)], marks) if (~np.isnan(column)).any() else np.zeros(len(marks))
-            for column in stats.T
-        ]
-    )
-    size = len(best) + (len(STATS) * (params.bins + 1) if params.structure else 0)
-    bias = float(np.log((n1 + 0.5) / (n0 + 0.5)))
-    model = Model(params, slot, edges, bias, np.zeros(size), np.zeros((size, params.rank)))
-    if not (n0 and n1 and size):
+    edges = [
+        np.quantile(c[~np.isnan(c)], marks) if (~np.isnan(c)).any() else np.zeros(len(marks))
+        for c in stats.T
+    ]
+    n1 = int(label.sum())
+    bias = float(np.log((n1 + 0.5) / (len(label) - n1 + 0.5)))
+    size = (1 << params.hash_bits) + (len(STATS) * (params.bins + 1) if params.structure else 0)
+    edges = np.array(edges) if params.structure else np.zeros((0, len(marks)))
+    model = Model(params, edges, bias, np.zeros(size, np.float32), np.zeros((size, params.rank), np.float32))
+    if not 0 < n1 < len(label):
         return model
-    lists = narrow["buckets"]
-    counts = np.array([len(x) for x in lists])
-    buckets = np.concatenate([*lists, np.zeros(0)]).astype(np.int64)
-    row, feature = model.features(buckets, counts, stats)
-    x = np.zeros((len(narrow), size), np.float32)
-    x[row, feature] = 1
-    _fit(model, x, narrow["label"].to_numpy(np.float32))
-    return model
-
-
-def _fit(model: Model, x: np.ndarray, y: np.ndarray) -> None:
-    """Logistic loss, all rows a step, Adam."""
-    p = model.params
+    if params.structure:
+        bins = model.bins_of(stats).astype(np.int32)
+        ends = np.cumsum(counts)
+        buckets = np.insert(buckets, np.repeat(ends, bins.shape[1]), bins.ravel())
+        counts = counts + bins.shape[1]
+    bias, w, v = fit(buckets, counts, label, size, params)
+    return Model(params, edges, bias, w, v)
+
+
+class _Batch:
+    """Some rows of the sample, both by row and by feature."""
+
+    def __init__(self, feature: np.ndarray, counts: np.ndarray, label: np.ndarray):
+        self.feature, self.label = feature, label
+        self.some = np.flatnonzero(counts)
+        self.begin = (np.cumsum(counts) - counts)[self.some]
+        order = np.argsort(feature, kind="stable")
+        self.row = np.repeat(np.arange(len(counts)), counts)[order].astype(np.int32)
+        ordered = feature[order]
+        self.first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))[: len(ordered)]
+        self.held = ordered[self.first]
+
+    def by_row(self, values: np.ndarray) -> np.ndarray:
+        """Sums of one value per active feature, by row."""
+        total = np.zeros((len(self.label), *values.shape[1:]), np.float32)
+        if len(self.some):
+            total[self.some] = np.add.reduceat(values, self.begin, axis=0)
+        return total
+
+    def by_feature(self, values: np.ndarray) -> np.ndarray:
+        """Sums of one value per row, by feature held."""
+        if not len(self.held):
+            return np.zeros((0, *values.shape[1:]), np.float32)
+        return np.add.reduceat(values[self.row], self.first, axis=0)
+
+
+def fit(
+    buckets: np.ndarray, counts: np.ndarray, label: np.ndarray, size: int, p: Params
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors for rows of `counts` features each, none twice in a row.
+
+    Logistic loss; Adam steps, each followed by the proximal step of the penalties: weights
+    are moved towards zero, and so are the lengths of the factors.
+    """
+    n = len(label)
+    share = np.bincount(buckets, minlength=size)
+    seen = np.flatnonzero(share)
+    share = share[seen] / n
+    place = np.zeros(size, np.int32)
+    place[seen] = np.arange(len(seen))
+    feature = place[buckets]
+    odds = (label.sum() + 0.5) / (n + 1)
+    noise = np.sqrt((share * (1 - share) + 0.25 / n) * odds * (1 - odds) / n).astype(np.float32)
+    draw = np.random.default_rng(p.seed)
+    start = np.cumsum(counts) - counts
+    batches = []
+    for rows in np.array_split(draw.permutation(n), max(1, -(-n // p.batch))):
+        own = counts[rows]
+        at = np.repeat(start[rows] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        batches.append(_Batch(feature[at], own, label[rows]))
     theta = [
-        np.array([model.bias], np.float32),
-        np.zeros(x.shape[1], np.float32),
-        np.random.default_rng(p.seed).normal(0, 0.02, (x.shape[1], p.rank)).astype(np.float32),
+        np.array([np.log(odds / (1 - odds))], np.float32),
+        np.zeros(len(seen), np.float32),
+        draw.normal(0, 0.05, (len(seen), p.rank)).astype(np.float32),
     ]
     mean = [np.zeros_like(t) for t in theta]
     square = [np.zeros_like(t) for t in theta]
-    for step in range(1, p.steps + 1):
+    reach = 0.0  # typical length of a row's summed factors: factors' gradients grow with it
+    for step in range(1, p.steps + p.free + 1):
+        batch, alone, free = batches[(step - 1) % len(batches)], step <= p.alone, step > p.steps
         b, w, v = theta
-        sums = x @ v
-        raw = b + x @ w + 0.5 * ((sums * sums).sum(1) - x @ (v * v).sum(1))
-        g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / len(y)
-        down = x.T @ g
-        grads = [
-            np.array([g.sum()], np.float32),
-            down + p.decay * w,
-            x.T @ (g[:, None] * sums) - v * down[:, None] + p.decay * v,
-        ]
-        for t, grad, m, s in zip(theta, grads, mean, square):
-            m += 0.1 * (grad - m)
-            s += 0.001 * (grad * grad - s)
-            t -= p.rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    model.bias = float(theta[0][0])
-    model.w, model.v = theta[1].astype(float), theta[2].astype(float)
+        if step == p.steps + 1:
+            held = None, (w != 0).astype(np.float32), v.any(axis=1).astype(np.float32)[:, None]
+            for k in (1, 2):
+                mean[k] *= held[k]
+        own = v[batch.feature] * np.float32(not alone)
+        sums = batch.by_row(own)
+        raw = b + batch.by_row(w[batch.feature]) + 0.5 * (
+            (sums * sums).sum(1) - batch.by_row((own * own).sum(1))
+        )
+        rms = float(np.sqrt((sums * sums).sum(1).mean()))
+        reach = 0.9 * reach + 0.1 * rms if reach else rms
+        g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - batch.label) / len(batch.label)
+        g = g.astype(np.float32)
+        down = batch.by_feature(g)
+        grads = [np.array([g.sum()], np.float32), p.decay / n * w, p.decay / n * v]
+        grads[1][batch.held] += down
+        if not alone:
+            grads[2][batch.held] += batch.by_feature(g[:, None] * sums) - v[batch.held] * down[:, None]
+        rate = p.rate * min(1, 2 * (1 - step / (p.steps + p.free * free + 1)))
+        for k in range(2 if alone else 3):
+            t, m, s, age = theta[k], mean[k], square[k], step - p.alone * (k == 2)
+            m += 0.1 * (grads[k] - m)
+            s += 0.001 * (grads[k] * grads[k] - s)
+            scale = rate / (np.sqrt(s / (1 - 0.999**age)) + 1e-8)
+            t -= scale * (m / (1 - 0.9**age))
+            if free and k:
+                t *= held[k]
+            elif k == 1:
+                t[:] = np.sign(t) * np.maximum(np.abs(t) - scale * p.strict * noise, 0)
+            elif k == 2:
+                ripe = min(1.0, (step - p.alone) / (0.7 * (p.steps - p.alone)))
+                least = scale.mean(1) * reach * (p.loose + (p.tight - p.loose) * ripe) * noise
+                t *= np.maximum(0, 1 - least / np.maximum(np.sqrt((t * t).sum(1)), 1e-9))[:, None]
+    w, v = np.zeros(size, np.float32), np.zeros((size, p.rank), np.float32)
+    w[seen], v[seen] = theta[1], theta[2]
+    return float(theta[0][0]), w, v
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

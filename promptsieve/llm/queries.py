@@ -166,7 +166,8 @@ SELECT doc_id, size, source_size, target, 0 FROM placed WHERE size = 0
 
 def _classified(spark, sf_dir, operator, label: str, folds: int, held: int, limit: float) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    fold = F.crc32(F.col("doc_id").cast("string")) % folds
+    # a row without doc_id is in no fold, so it is not held out
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(-1))
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
     model = operator.train(docs, labels.where(fold != held))
     return operator.score(docs, model).select(

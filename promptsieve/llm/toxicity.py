@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from . import factorization as fm
 
-PARAMS = fm.Params(structure=False, stems=(4, 5), terms=768, decay=5e-4)
+PARAMS = fm.Params(structure=False, stems=(4, 5))
 
 
 def train(docs: DataFrame, labels: DataFrame, params: fm.Params = PARAMS) -> fm.Model:

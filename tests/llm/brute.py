@@ -7,6 +7,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 UPPER = re.compile("[A-Z]")
 
 
@@ -140,3 +142,47 @@ def collocations(rows: list, least: int, top: int) -> list[tuple]:
         for rank, (score, a, phrase, left, right) in enumerate(sorted(best)[:top], 1):
             out.append((lang, rank, phrase.decode(), -a, left, right, n[lang], -score))
     return sorted(out)
+
+
+def machine(x, y, p) -> tuple:
+    """A factorisation machine trained on a dense matrix: bias, weights, factors of the
+    columns that occur."""
+    x = x[:, x.any(axis=0)]
+    n, share, odds = len(y), x.mean(0), (y.sum() + 0.5) / (len(y) + 1)
+    noise = np.sqrt((share * (1 - share) + 0.25 / n) * odds * (1 - odds) / n)
+    draw = np.random.default_rng(p.seed)
+    batches = np.array_split(draw.permutation(n), max(1, -(-n // p.batch)))
+    theta = [np.array([np.log(odds / (1 - odds))]), np.zeros(x.shape[1]), draw.normal(0, 0.05, (x.shape[1], p.rank))]
+    mean, square, reach = [0 * t for t in theta], [0 * t for t in theta], 0.0
+    for step in range(1, p.steps + p.free + 1):
+        rows = batches[(step - 1) % len(batches)]
+        a, alone, free = x[rows], step <= p.alone, step > p.steps
+        if step == p.steps + 1:
+            held = [None, theta[1] != 0, (theta[2] != 0).any(1)[:, None]]
+            mean[1], mean[2] = mean[1] * held[1], mean[2] * held[2]
+        v = theta[2] * (not alone)
+        pairs = np.triu(v @ v.T, 1)
+        raw = theta[0] + a @ theta[1] + np.einsum("ri,ij,rj->r", a, pairs, a)
+        rms = np.sqrt(((a @ v) ** 2).sum(1).mean())
+        reach = 0.9 * reach + 0.1 * rms if reach else rms
+        g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]) / len(rows)
+        both = (a * g[:, None]).T @ a
+        np.fill_diagonal(both, 0)
+        grads = [np.array([g.sum()]), a.T @ g + p.decay / n * theta[1], both @ v + p.decay / n * theta[2]]
+        rate = p.rate * min(1, 2 * (1 - step / (p.steps + p.free * free + 1)))
+        for k in range(2 if alone else 3):
+            age = step - p.alone * (k == 2)
+            mean[k] = 0.9 * mean[k] + 0.1 * grads[k]
+            square[k] = 0.999 * square[k] + 0.001 * grads[k] ** 2
+            scale = rate / (np.sqrt(square[k] / (1 - 0.999**age)) + 1e-8)
+            t = theta[k] - scale * mean[k] / (1 - 0.9**age)
+            if free and k:
+                t = t * held[k]
+            elif k == 1:
+                t = np.sign(t) * np.maximum(np.abs(t) - scale * p.strict * noise, 0)
+            elif k == 2:
+                ripe = min(1.0, (step - p.alone) / (0.7 * (p.steps - p.alone)))
+                least = scale.mean(1) * reach * (p.loose + (p.tight - p.loose) * ripe) * noise
+                t = t * np.maximum(0, 1 - least / np.maximum(np.linalg.norm(t, axis=1), 1e-9))[:, None]
+            theta[k] = t
+    return float(theta[0][0]), theta[1], theta[2]
