@@ -22,7 +22,7 @@ from ..operators.evidence import evidence
 from ..operators.injection import escalation, with_ingested_injection, with_injection
 from ..operators.verdict import combine
 from ..sources import ingest, policies as POL
-from ..sources.audit_store import read_audit, read_recent, write_audit
+from ..sources.audit_store import read_audit, read_recent, read_writes, write_audit
 from ..sources.scratch import materialize, scratch
 from ..streaming.ratelimit import rate_limit_keyed_stream, rate_limit_stream
 from ..streaming.screening import (
@@ -582,7 +582,7 @@ def build_audit(spark: SparkSession, sf_dir: str) -> str:
     )
     verdicts = screen(WL.traffic(spark, sf_dir, spread=True)).withColumn("latency_ms", latency)
     write_audit(audit_rows(verdicts), path, "log", 0, 0, gather=True)
-    originals = spark.read.schema(S.AUDIT_DDL + ", write_seq long").parquet(path)
+    originals = read_writes(spark, path)
     failed = WL.traffic(spark, sf_dir).where(F.col("event_type") == "error").select("request_id")
     replays = RP.replay_all(
         originals.join(failed, "request_id", "left_semi"), run="errors", replayed_at=REPLAYED_AT
@@ -630,7 +630,8 @@ def audit_recent(spark, d):
 
 @_query
 def audit_by_id(spark, d):
-    return A.by_id(_audit(spark, d), "ev-50").select(
+    written = read_audit(spark, _audit_path(spark, d), fixed=F.col("request_id") == "ev-50")
+    return A.by_id(written, "ev-50").select(
         "request_id", "policy_id", "app_id", "context", "prompt", "decision",
         "recommended_action", "reason", "advice", "replay_of", _when(F.col("ts")).alias("ts"),
     )

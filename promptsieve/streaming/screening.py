@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.injection import Scorer
 from ..plans.screening import audit_rows, screen
-from ..sources.audit_store import write_audit
+from ..sources.audit_store import FAN, compact, vacuum, write_audit
 from ..sources.policies import Policy
 
 
@@ -40,10 +40,15 @@ def stream_id(batch: DataFrame) -> str:
 
 def audit_sink(verdicts: DataFrame, path: str, checkpoint: str, **trigger):
     """Write verdicts to the audit table; a replayed micro-batch replaces itself, and
-    streams with checkpoints of their own never touch each other's rows."""
+    streams with checkpoints of their own never touch each other's rows.  Small segments
+    are merged every FAN micro-batches."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_audit(audit_rows(batch), path, stream_id(batch), batch_id)
+        stream = stream_id(batch)
+        write_audit(audit_rows(batch), path, stream, batch_id)
+        if batch_id % FAN == FAN - 1:
+            compact(batch.sparkSession, path, stream)
+            vacuum(batch.sparkSession, path)
 
     return (
         verdicts.writeStream.foreachBatch(write)

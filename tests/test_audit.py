@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +9,8 @@ from promptsieve.operators import audit as A
 from promptsieve.operators import metrics as M
 from promptsieve.operators import replay as RP
 from promptsieve.operators.skew import hot_keys, lookup_join
-from promptsieve.sources.audit_store import read_recent
+from promptsieve.sources import audit_store
+from promptsieve.sources.audit_store import compact, read_recent, read_writes, vacuum
 
 TOPIC = "Do I have diabetes based on these symptoms?"
 
@@ -43,7 +45,7 @@ def test_contract_columns_and_raw_prompt(spark, store):
 def test_day_bounds_prune(spark, store):
     day = read_audit(spark, store, first_day="2024-01-02", last_day="2024-01-02")
     assert {r.request_id for r in day.collect()} == {"b", "c"}
-    assert "day" in day._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+    assert day.inputFiles() and all("/day=2024-01-02/" in f for f in day.inputFiles())
 
 
 def test_last_write_wins_and_retry_replaces(spark, tmp_path):
@@ -51,7 +53,7 @@ def test_last_write_wins_and_retry_replaces(spark, tmp_path):
     rows = audit_rows(screen(prompts(spark, [("a", 0, "hi", None), ("b", 0, "yo", None)])))
     write_audit(rows, path, "w", 0, 0)
     write_audit(rows, path, "w", 0, 0, gather=True)
-    assert spark.read.parquet(path).count() == 2
+    assert read_writes(spark, path).count() == 2
     write_audit(rows.where("request_id = 'a'").withColumn("app_id", F.lit("later")), path, "w", 1, 1)
     assert {r.request_id: r.app_id for r in read_audit(spark, path).collect()} == {"a": "later", "b": "app"}
 
@@ -176,8 +178,86 @@ def test_recent_reads_only_the_newest_days(spark, tmp_path):
     full = [r.request_id for r in A.recent(read_audit(spark, path), 12).collect()]
     assert [r.request_id for r in read_recent(spark, path, 12).collect()] == full
     assert read_recent(spark, path, 200).count() == 30
-    plan = read_recent(spark, path, 4)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def _opened(monkeypatch) -> list:
+    """(segment, day) of every scan from now on."""
+    seen, scan = [], audit_store._scan
+    monkeypatch.setattr(audit_store, "_scan", lambda s, p, pairs: (seen.extend(pairs), scan(s, p, pairs))[1])
+    return seen
+
+
+def test_the_feed_opens_no_older_days(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    for day in range(8):
+        rows = [(f"d{day}-{i}", 24 * day + i % 2 * 0.5, "hi", None) for i in range(5)]
+        write_audit(audit_rows(screen(prompts(spark, rows))), path, "w", day, day)
+    seen = _opened(monkeypatch)
+    assert [r.request_id[:2] for r in read_recent(spark, path, 4).collect()] == ["d7"] * 4
+    assert {day for _, day in seen} == {"2024-01-08"}
+    # a later write that moved a request away is not missed
+    away = read_writes(spark, path).where("request_id = 'd7-1'").withColumn("ts", F.lit(datetime(2024, 1, 2)))
+    write_audit(away, path, "w", 8, 99)
+    assert "d7-1" not in {r.request_id for r in read_recent(spark, path, 5).collect()}
+
+
+def _files(path) -> int:
+    return sum(f.endswith(".parquet") for _, _, names in os.walk(path) for f in names)
+
+
+def test_many_batches_leave_few_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = audit_rows(screen(prompts(spark, [("a", 0, "hi", None)]))).coalesce(1).cache()
+    during = []
+    for batch in range(40):
+        write_audit(rows.withColumn("request_id", F.lit(f"r{batch}")), path, "w", batch, batch)
+        if batch % 4 == 3:
+            before = read_audit(spark, path)
+            compact(spark, path, "w", fan=4)
+            during.append((before.count(), read_audit(spark, path).count()))
+            vacuum(spark, path, grace=-1)
+    assert during == [(n, n) for n in range(4, 41, 4)]  # also for a reader that began before
+    assert _files(path) <= 12 and len(os.listdir(f"{path}/_commits")) < 16
+    assert {r.request_id for r in read_audit(spark, path).collect()} == {f"r{i}" for i in range(40)}
+    # the newest batch is written again after it was merged
+    write_audit(rows.withColumns({"request_id": F.lit("r39"), "app_id": F.lit("x")}), path, "w", 39, 40)
+    assert [r.app_id for r in read_audit(spark, path).where("request_id = 'r39'").collect()] == ["x"]
+    assert read_audit(spark, path).count() == 40
+
+
+def test_only_committed_segments_are_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = audit_rows(screen(prompts(spark, [("a", 0, "hi", None)])))
+    assert read_audit(spark, path).count() == 0
+    write_audit(rows, path, "w", 0, 0)
+    [name] = os.listdir(f"{path}/_commits") if len(os.listdir(f"{path}/_commits")) == 1 else [
+        n for n in os.listdir(f"{path}/_commits") if not n.startswith(".")]
+    os.rename(f"{path}/_commits/{name}", f"{tmp_path}/aside")
+    assert read_audit(spark, path).count() == 0  # written, not committed
+    os.rename(f"{tmp_path}/aside", f"{path}/_commits/{name}")
+    assert read_audit(spark, path).count() == 1
+    write_audit(rows, path, "w", 0, 1)
+    assert _files(path) == 2 and read_writes(spark, path).count() == 1
+    vacuum(spark, path, grace=-1)
+    assert _files(path) == 1
+
+
+@pytest.mark.parametrize("broadcast", [1 << 16, 0])
+def test_rewrites_are_found_by_address(spark, tmp_path, monkeypatch, broadcast):
+    """Equal ids in one batch, across batches and days; few by broadcast, many by shuffle."""
+    monkeypatch.setattr(audit_store, "MAX_BROADCAST", broadcast)
+    path = str(tmp_path / "t")
+    rows = audit_rows(screen(prompts(spark, [(f"r{i}", 12 * i, "hi", None) for i in range(12)])))
+    write_audit(rows.unionByName(rows), path, "w", 0, 0)
+    later = rows.where("request_id < 'r5'").withColumns({"app_id": F.lit("new"), "ts": F.col("ts") - F.expr("INTERVAL 2 DAYS")})
+    write_audit(later, path, "v", 0, 3)
+    found = read_audit(spark, path)
+    got = {r.request_id: r.app_id for r in found.collect()}
+    assert found.count() == 12 and got == {f"r{i}": "new" if f"r{i}" < "r5" else "app" for i in range(12)}
+    if broadcast:
+        joined = found.select("prompt", "matches", "decision")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
 def test_stored_evidence_decides_the_same(spark, tmp_path):
