@@ -80,20 +80,22 @@ def _cheap_tier() -> Column:
 def scorer_udf(scorer: Scorer):
     """Arrow UDF around a batch scorer.
 
-    Rows that are not escalated arrive as NULL and never reach the scorer.  A failing
-    batch is retried row by row, so that only the failing rows fail open.
+    A NULL prompt never reaches the scorer.  A failing batch is halved until the rows that
+    fail stand alone, so that only these fail open, at a few more calls.
     """
 
     def safe(prompts: pd.Series, topics: pd.Series) -> pd.DataFrame:
         try:
             return scorer(prompts, topics).set_axis(prompts.index, axis=0)
-        except Exception:  # fail open
-            if len(prompts) > 1:
-                return pd.concat(
-                    [safe(prompts.iloc[[i]], topics.iloc[[i]]) for i in range(len(prompts))]
-                )
-            logging.getLogger(__name__).warning("scorer failed open", exc_info=True)
-            return pd.DataFrame(index=prompts.index)
+        except Exception as error:
+            failed = error
+        if len(prompts) > 1:
+            half = len(prompts) // 2
+            return pd.concat(
+                [safe(prompts.iloc[part], topics.iloc[part]) for part in (slice(half), slice(half, None))]
+            )
+        logging.getLogger(__name__).warning("scorer failed open: %r", failed)
+        return pd.DataFrame(index=prompts.index)
 
     @F.pandas_udf(_ANSWER)
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -116,30 +118,26 @@ def with_injection(df: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     """Add `injection` to rows holding evidence and a `policy` struct.
 
     Without a scorer the escalated tier re-runs the same heuristics, so the result is
-    a plain expression.  With one, only escalated rows are handed to it; a missing or
-    out-of-contract answer falls back to the skipped result.
+    a plain expression.  With one, the rows are split by tier and put together again: only
+    escalated rows go through Python, the cheap tier stays a plain expression.  A missing
+    or out-of-contract answer falls back to the skipped result.
     """
-    policy = F.col("policy")
+    mode_on = F.col("policy")["mode"] != "off"
     df = df.withColumn(
         "_tier", escalation(F.col("inj_confidence"), F.col("obfuscated"))["escalate"]
     )
-    cheap = _cheap_tier()
     if scorer is None:
-        result = cheap
-    else:
-        ask = F.col("_tier") & (policy["mode"] != "off")
-        df = df.withColumn(
-            "_answer",
-            scorer_udf(scorer)(F.when(ask, F.col("normalized")), policy["denied_topics"]),
-        )
-        result = (
-            F.when(~F.col("_tier"), cheap)
-            .when(valid_answer(F.col("_answer")), answered_injection(F.col("_answer"), F.lit(True)))
-            .otherwise(skipped_injection())
-        )
-    return df.withColumn("injection", F.when(policy["mode"] != "off", result)).drop(
-        "_tier", "_answer"
+        return df.withColumn("injection", F.when(mode_on, _cheap_tier())).drop("_tier")
+    ask = F.coalesce(F.col("_tier") & mode_on, F.lit(False))
+    settled = df.where(~ask).withColumn("injection", F.when(mode_on, _cheap_tier()))
+    answer = scorer_udf(scorer)(F.col("normalized"), F.col("policy")["denied_topics"])
+    asked = df.where(ask).withColumn("_answer", answer).withColumn(
+        "injection",
+        F.when(
+            valid_answer(F.col("_answer")), answered_injection(F.col("_answer"), F.lit(True))
+        ).otherwise(skipped_injection()),
     )
+    return settled.drop("_tier").unionByName(asked.drop("_tier", "_answer"))
 
 
 def valid_answer(answer: Column) -> Column:

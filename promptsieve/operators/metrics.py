@@ -15,6 +15,22 @@ def decision_counts(verdicts: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def decision_rollup(verdicts: DataFrame, *by: str) -> DataFrame:
+    """Decision counts at every level of `by`: of all rows, by the first column, by the first
+    two, and so on, in one pass (Expand).  `level` is the number of columns that count."""
+    return (
+        verdicts.rollup(*by)
+        .agg(
+            F.grouping_id().alias("_id"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("decision") == "block").alias("blocked"),
+            F.count_if(F.col("decision") == "redact").alias("redacted"),
+        )
+        .withColumn("level", F.lit(len(by)) - F.bit_count("_id"))
+        .drop("_id")
+    )
+
+
 def exploded_matches(verdicts: DataFrame, *columns: str) -> DataFrame:
     """One row per match with its position.  The outer form keeps the optimizer from
     adding a size filter that would evaluate the detectors a second time."""

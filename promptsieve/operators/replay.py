@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..plans.screening import audit_rows, screen, screen_all
 from ..sources.policies import Policy, bundled_policies
 from .validate import replay_request_issues, title_of
@@ -146,3 +147,21 @@ def transitions(pairs: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("changed", F.col("from_decision") != F.col("to_decision"))
     )
+
+
+def transition_matrix(pairs: DataFrame, decisions: Sequence[str] = S.DECISIONS) -> DataFrame:
+    """One row per policies and decision before, one column per decision after: a pivot, so
+    the counts are combined before the shuffle like any sum."""
+    before, after = F.col("original"), F.col("replay")
+    return (
+        pairs.select(
+            before["policy_id"].alias("from_policy"),
+            after["policy_id"].alias("to_policy"),
+            before["decision"].alias("from_decision"),
+            after["decision"].alias("to_decision"),
+        )
+        .groupBy("from_policy", "to_policy", "from_decision")
+        .pivot("to_decision", list(decisions))
+        .agg(F.count(F.lit(1)))
+        .fillna(0, list(decisions))
+    )

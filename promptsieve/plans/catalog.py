@@ -467,6 +467,17 @@ def inj_fail_open(spark, d):
     )
 
 
+@_query
+def inj_scorer(spark, d):
+    """Escalated requests scored in batches by a model that fails for some of them."""
+    asked = POL.attach_policy(WL.traffic(spark, d, spread=True), POL.bundled_policies())
+    i = F.col("injection")
+    return with_injection(evidence(asked), WL.scored_by_length).select(
+        "request_id", i["skipped"].alias("skipped"), i["escalated"].alias("escalated"),
+        i["detected"].alias("detected"), i["confidence"].alias("confidence"),
+    )
+
+
 @_query
 def guardrail_fail_closed(spark, d):
     """Verdicts from stored assessments; without one there is a 503 and no verdict."""
@@ -533,6 +544,12 @@ def decisions_by_policy(spark, d):
     return M.decision_counts(screen(WL.corpus(spark, d)), "policy_id", "context")
 
 
+@_query
+def decisions_rollup(spark, d):
+    """Decisions by policy, context and application at every level of detail."""
+    return M.decision_rollup(screen(WL.corpus(spark, d)), "policy_id", "context", "app_id")
+
+
 @_query
 def policy_matrix(spark, d):
     """Every prompt under every policy: the flagship what-if."""
@@ -683,6 +700,11 @@ def replay_transitions(spark, d):
     return RP.transitions(A.replay_pairs(_audit(spark, d), ("policy_id", "decision")))
 
 
+@_query
+def replay_transition_matrix(spark, d):
+    return RP.transition_matrix(A.replay_pairs(_audit(spark, d), ("policy_id", "decision")))
+
+
 @_query
 def replay_whatif(spark, d):
     """The whole audit table under every policy, compared without a join."""
@@ -728,11 +750,9 @@ def replay_outcomes(spark, d):
     ).select("request_id", "policy_id", "status", "title", "detail", "replay_id", "decision")
 
 
-@_query
-def verify_outcomes(spark, d):
-    """The whole request path: status, decision, and whether the audit table has the row."""
+def _verified(spark: SparkSession, d: str, assessments: DataFrame | None) -> DataFrame:
     path = scratch(spark, "audit")
-    verdicts, refused = verify(WL.faulty_traffic(spark, d), WL.LIMITS)
+    verdicts, refused = verify(WL.faulty_traffic(spark, d), WL.LIMITS, assessments=assessments)
     write_audit(audit_rows(verdicts), path, "verify", 0, gather=True)
     audited = read_audit(spark, path).select("request_id", "decision")
     return refused.select(
@@ -745,6 +765,18 @@ def verify_outcomes(spark, d):
     )
 
 
+@_query
+def verify_outcomes(spark, d):
+    """The whole request path: status, decision, and whether the audit table has the row."""
+    return _verified(spark, d, None)
+
+
+@_query
+def verify_assessed(spark, d):
+    """The same with stored guardrail answers: requests without a readable one get 503."""
+    return _verified(spark, d, ingest.flatten_assessments(WL.raw_assessments(spark, d)))
+
+
 @_query
 def stream_audit(spark, d):
     """Two streams over the log, each in several micro-batches, write one audit table."""

@@ -679,7 +679,12 @@ def oracles() -> dict[str, str]:
                 CASE WHEN NOT v.escalated THEN v.conf > 0 ELSE coalesce(m.detected, false) END AS detected,
                 CASE WHEN NOT v.escalated THEN v.conf ELSE coalesce(m.confidence, 0) END AS confidence
             FROM ({judged(TRAFFIC)}) v LEFT JOIN m ON v.request_id = m.request_id""",
-        "guardrail_fail_closed": _fail_closed(),
+        "inj_scorer": f"""SELECT request_id, escalated AND bad AS skipped, escalated AND NOT bad AS escalated,
+                CASE WHEN NOT escalated THEN conf > 0 ELSE NOT bad AND size % 2 = 0 END AS detected,
+                CASE WHEN NOT escalated THEN conf WHEN bad THEN 0 ELSE (size % 101)::DOUBLE / 100 END AS confidence
+            FROM (SELECT *, length(normalized) AS size,
+                length(normalized) % 7 = 0 OR length(normalized) % 13 = 0 AS bad FROM ({judged(TRAFFIC)}))""",
+        "guardrail_fail_closed": _fail_closed(TRAFFIC),
         "verdict_matches": _exploded_matches(own, "request_id, policy_id").replace(", m.s, m.e ", " "),
         "verdict_spans": f"""SELECT request_id, pos, s AS span_start, e AS span_end
             FROM ({_exploded_matches(own, "request_id")}) WHERE s IS NOT NULL""",
@@ -695,6 +700,11 @@ def oracles() -> dict[str, str]:
             length(redacted_prompt) AS chars FROM ({wide})""",
         "decisions_by_policy": f"""SELECT policy_id, context, decision, recommended_action, count(*) AS n,
             sum(injection_score::DECIMAL(18,2)) AS sum_injection FROM ({own}) GROUP BY ALL""",
+        "decisions_rollup": f"""SELECT policy_id, context, app_id, count(*) AS n,
+            count(*) FILTER (WHERE decision = 'block') AS blocked,
+            count(*) FILTER (WHERE decision = 'redact') AS redacted,
+            (3 - bit_count(grouping_id(policy_id, context, app_id)))::BIGINT AS level
+            FROM ({own}) GROUP BY ROLLUP (policy_id, context, app_id)""",
         "policy_matrix": f"SELECT request_id, policy_id, context, decision, escalated FROM ({matrix})",
         "match_counts": f"""SELECT policy_id, category, type, count(*) AS n
             FROM ({_exploded_matches(matrix, "policy_id")}) GROUP BY ALL""",
@@ -729,6 +739,10 @@ def oracles() -> dict[str, str]:
             (ri::DECIMAL(5,2) - oi::DECIMAL(5,2))::DECIMAL(5,2) AS delta_injection FROM p""",
         "replay_transitions": f"""{pairs} SELECT from_policy, to_policy, from_decision, to_decision,
             count(*) AS n, from_decision <> to_decision AS changed FROM p GROUP BY ALL""",
+        "replay_transition_matrix": f"""{pairs} SELECT from_policy, to_policy, from_decision,
+            count(*) FILTER (WHERE to_decision = 'allow') AS allow,
+            count(*) FILTER (WHERE to_decision = 'redact') AS redact,
+            count(*) FILTER (WHERE to_decision = 'block') AS block FROM p GROUP BY 1, 2, 3""",
         "replay_whatif": _with("a", audit(), f""", w AS ({judged(
             "SELECT request_id AS rid, prompt, NULL::VARCHAR AS policy_id, policy_id AS from_policy, "
             "decision AS from_decision FROM a", every_policy=True)})
@@ -766,6 +780,10 @@ def oracles() -> dict[str, str]:
                 ({judged(f"SELECT f.* FROM ({FAULTY}) f JOIN o USING (request_id) WHERE o.status = 200")}))
             SELECT o.request_id, status, title, detail, v.decision
             FROM o LEFT JOIN v ON o.request_id = v.request_id""",
+        "verify_assessed": f"""WITH o AS MATERIALIZED ({_OUTCOMES}), v AS (SELECT request_id, decision FROM
+                ({_fail_closed(f"SELECT f.* FROM ({FAULTY}) f JOIN o USING (request_id) WHERE o.status = 200")}))
+            SELECT o.request_id, status, title, detail, v.decision
+            FROM o LEFT JOIN v ON o.request_id = v.request_id""",
         "stream_audit": f"SELECT request_id, policy_id, decision, app_id FROM ({judged(TRAFFIC)})",
         "rl_disabled": f"""SELECT true AS allowed, NULL::VARCHAR AS scope, count(*) AS n
             FROM ({TRAFFIC})""",
@@ -816,7 +834,7 @@ def oracles() -> dict[str, str]:
     }
 
 
-def _fail_closed() -> str:
+def _fail_closed(requests: str) -> str:
     """Verdicts from the stored assessments; requests without one are refused."""
     sec = "list_filter(list_concat(managed_secrets, custom_secrets), lambda x: x.detected)"
     pii = "list_filter(g_pii, lambda x: x.detected)"
@@ -838,7 +856,7 @@ def _fail_closed() -> str:
         )
     )
     return f"""
-WITH g AS ({ASSESSED}), v AS ({judged(TRAFFIC)}),
+WITH g AS ({ASSESSED}), v AS ({judged(requests)}),
 j AS (SELECT v.*, g.event_id IS NOT NULL AS assessed, {sec} AS sec, {pii} AS hits, {topics} AS tops,
         {content} AS cont, {attack} AS atk, {ends(sec)} + {ends(pii)} AS span_ends
       FROM (SELECT event_id, request_id, normalized, conf, obf, mode, fired FROM v) v

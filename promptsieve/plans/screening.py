@@ -13,7 +13,7 @@ from ..operators.injection import Scorer, with_injection
 from ..operators.verdict import combine
 from ..sources.policies import Policy, attach_policy, bundled_policies, under_all_policies
 
-_WORK = EVIDENCE + ("guardrail", "injection", "policy")
+WORK = EVIDENCE + ("guardrail", "injection", "policy")
 
 
 def decide(found: DataFrame, scorer: Scorer | None = None, keep_evidence: bool = False) -> DataFrame:
@@ -21,7 +21,7 @@ def decide(found: DataFrame, scorer: Scorer | None = None, keep_evidence: bool =
     judged = combine(
         with_injection(found, scorer).withColumn("guardrail", guardrail_evidence())
     )
-    return judged if keep_evidence else judged.drop(*_WORK)
+    return judged if keep_evidence else judged.drop(*WORK)
 
 
 def screen(

@@ -6,6 +6,7 @@ appended to the text.  Every row of a table is used, with its whole text.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -368,3 +369,19 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     soon = (slot + 1) * span - past < LATE_SECONDS * parts
     late = (key % LATE_KEYS[0] == LATE_KEYS[1]) | ((key % 3 == 0) & soon)
     return requests.withColumn("slot", (slot + late.cast("int")).cast("int")).drop("event_id")
+
+
+def scored_by_length(prompts: pd.Series, topics: pd.Series) -> pd.DataFrame:
+    """A stand-in for a model: answers by the length of the prompt, fails for some lengths
+    and breaks its contract for others."""
+    size = prompts.str.len()
+    if (size % 7 == 0).any():
+        raise ValueError("model unavailable")
+    return pd.DataFrame(
+        {
+            "detected": size % 2 == 0,
+            "confidence": (size % 101 / 100).where(size % 13 != 0, 1.5),
+            "indicators": [["length"]] * len(size),
+            "topic_scores": [{}] * len(size),
+        }
+    )

@@ -4,7 +4,7 @@ import pandas as pd
 
 from promptsieve import bundled_policies, evidence, screen
 from promptsieve.operators.injection import (
-    first_valid_answers, with_ingested_injection, with_injection,
+    first_valid_answers, scorer_udf, with_ingested_injection, with_injection,
 )
 from promptsieve.operators.verdict import combine
 from promptsieve.sources import ingest
@@ -139,3 +139,19 @@ def test_scorer_sees_only_escalated_rows_and_fails_open(spark):
         assert got[name].injection.skipped is True and got[name].escalated is False
     assert got["off"].injection is None and got["off"].escalated is None
     assert got["plain"].decision == "allow"
+
+
+def test_a_failing_batch_is_halved():
+    """One bad row among 64 costs a few calls, not one per row."""
+    calls = []
+
+    def scorer(texts: pd.Series, topics: pd.Series) -> pd.DataFrame:
+        calls.append(len(texts))
+        if "bad" in set(texts):
+            raise RuntimeError
+        return pd.DataFrame({"detected": True, "confidence": 1.0, "indicators": [[]] * len(texts)}, index=texts.index)
+
+    texts = pd.Series([None] + ["ok"] * 40 + ["bad"] + ["ok"] * 23)
+    [out] = scorer_udf(scorer).func(iter([(texts, pd.Series([[]] * 65))]))
+    assert [i for i, v in enumerate(out["detected"]) if v is None] == [0, 41]
+    assert len(calls) <= 2 * 7 and calls[0] == 64

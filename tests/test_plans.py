@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from promptsieve import screen, screen_all
+from promptsieve import RateLimits, screen, screen_all
 from promptsieve.operators.metrics import match_counts
 from promptsieve.plans.catalog import QUERIES
 from promptsieve.plans.oracle import oracles
+from promptsieve.plans.verify import classify, route
 
 
 def plan(df):
@@ -45,5 +46,35 @@ def test_counting_matches_detects_once(prompts):
     assert text.count("AKIA[0-9A-Z]{16}") == 1
 
 
+def test_the_cheap_tier_stays_out_of_python(prompts):
+    """Rows are split by tier; only the escalated branch has a Python node."""
+    text = plan(screen(prompts, scorer=lambda texts, topics: None))
+    assert text.count("ArrowEvalPython") == 1
+    settled, asked = text.index("Union"), text.index("ArrowEvalPython")
+    assert "Filter" in text[asked:] and settled < asked
+    assert "Exchange hashpartitioning" not in text
+
+
+def test_requests_are_classified_once(prompts):
+    """Accepted and refused requests are read from what one write has routed."""
+    rows = prompts.withColumns(
+        {"ts": F.lit("2024-01-01").cast("timestamp"), "client_id": F.lit("c"), "ip": F.lit("i"),
+         "context": F.lit("user_input"), "app_id": F.lit("a")}
+    )
+    assessments = rows.where("request_id < '15'").select(
+        "request_id", F.struct(F.lit(1).alias("x")).alias("guardrail")
+    )
+    limits = RateLimits(global_per_day=8)
+    for given, want in ((None, {200: 8, 429: 12}), (assessments, None)):
+        accepted, refused = route(classify(rows, limits, assessments=given))
+        text = plan(accepted) + plan(refused)
+        assert text.count("FileScan") == 2 and "Join" not in text and "Window" not in text
+        counts = {r.status: r["count"] for r in accepted.unionByName(refused).groupBy("status").count().collect()}
+        if want:
+            assert counts == want
+        else:
+            assert set(counts) == {200, 429, 503} and counts[429] == 12 and sum(counts.values()) == 20
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(oracles())
