@@ -15,11 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from .skew import HOT_SHARE, lookup_join, rank_up_to
+from .skew import HOT_SHARE, first_k, kth, lookup_join
 
 HOUR = 3_600
 DAY = 86_400
 SLICE_SECONDS = 60  # divides both windows
+THROTTLE_PARTS = 64  # of a throttle window
 
 
 @dataclass(frozen=True)
@@ -239,8 +240,7 @@ def cutoffs(
         spread=["request_id"],
         how="inner",
     ).where(F.col("first_denied").isNotNull())
-    ranked = rank_up_to(in_cut_minute, COUNTER, ["ts", "request_id"], F.col("first_denied"))
-    found = ranked.where(F.col("rank") == F.col("first_denied")).select(
+    found = kth(in_cut_minute, COUNTER, ["ts", "request_id"], F.col("first_denied")).select(
         *COUNTER, "hot", F.struct(F.col("ts"), F.col("request_id")).alias("cut")
     )
     quiet = (
@@ -334,7 +334,8 @@ def sliding_throttle(requests: DataFrame, limits: RateLimits = RateLimits()) ->
     requests, itself included, in the `throttle_seconds` up to it.
 
     Counted per instant first.  An instant looks back into at most the previous slice,
-    so an address is cut into slices of one window length instead of sorted whole.
+    so an address is cut into slices of one window length, and these into parts, instead of
+    sorted whole.
     """
     limit = F.lit(limits.throttle_limit)
     span = limits.throttle_seconds * 1_000_000
@@ -362,10 +363,18 @@ def sliding_throttle(requests: DataFrame, limits: RateLimits = RateLimits()) ->
             )
         ),
     )
-    upto = W.partitionBy("ip", "slice").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    # Two levels of prefix sums: a slice is cut into parts, whose sums are few, so that one
+    # busy address in one window is dealt to many tasks.
+    part = ("ip", "slice", "part")
+    events = events.withColumn("part", F.floor(F.col("at") / (span / THROTTLE_PARTS)))
+    sums = events.groupBy(*part).agg(F.sum("delta").alias("delta"))
+    earlier = W.partitionBy("ip", "slice").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select(*part, F.coalesce(F.sum("delta").over(earlier), F.lit(0)).alias("base"))
+    upto = W.partitionBy(*part).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
     total = instants.agg(F.sum("n")).scalar()
     over = (
-        events.withColumn("before", F.sum("delta").over(upto) - F.col("n"))
+        events.join(base, [*part])
+        .withColumn("before", F.col("base") + F.sum("delta").over(upto) - F.col("n"))
         .where((F.col("kind") == counted) & (F.col("before") + F.col("n") > limit))
         .select(
             "ip",
@@ -384,7 +393,6 @@ def sliding_throttle(requests: DataFrame, limits: RateLimits = RateLimits()) ->
     ).drop("hot")
     # Only an instant that straddles the limit needs its requests ranked.
     straddles = F.col("still_allowed") > 0
-    within = rank_up_to(
-        hits.where(straddles), ["ip", "at"], ["request_id"], F.col("still_allowed")
-    ).select("request_id")
+    within = first_k(hits.where(straddles), ["ip", "at"], ["request_id"], F.col("still_allowed"))
+    within = within.select("request_id")
     return hits.join(within, "request_id", "left_anti").drop("still_allowed", "at")

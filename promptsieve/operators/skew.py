@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 # A key is hot once it holds at least this share of the rows.  At most 1 / HOT_SHARE
 # keys can be hot, so a table of hot keys is small however large the data is.
 HOT_SHARE = 1 / 1000
 MAX_HOT_KEYS = int(1 / HOT_SHARE)
-RANK_SALTS = 32
+#: Rows that one task sorts where ranks are cut.
+ROWS_PER_TASK = 1 << 17
 
 
 def hot_keys(df: DataFrame, key: str) -> list:
@@ -86,24 +89,65 @@ def lookup_join(
     )
 
 
-def rank_up_to(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: Column
-) -> DataFrame:
-    """Rank rows within `keys` by `order`, keeping exactly ranks 1..`limit`.
+def _in_parts(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: Column, size: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt by (keys, order) into parts of about `size` rows, `_part`; and per group and
+    part `_limit`, the rows there (`_in`) and those of the group in earlier parts (`_before`).
 
-    `limit` is constant within a group.  Ranking first inside salted parts leaves at
-    most RANK_SALTS * limit rows of a group for the final ranking, so a huge group is
-    ranked by many tasks.  `order` must be unique within a group.
+    `order` is unique within a group, so a part has a bounded number of rows however they
+    are spread over the groups: a group larger than that goes over several parts.  Written
+    out, because the borders of a range come from a sample.
     """
     keys = list(keys)
-    salt = F.pmod(F.xxhash64(*order), F.lit(RANK_SALTS)).cast("int")
-    part = W.partitionBy(*keys, "_salt").orderBy(*order)
-    whole = W.partitionBy(*keys).orderBy(*order)
-    return (
-        rows.withColumn("_salt", salt)
-        .withColumn("_part_rank", F.row_number().over(part))
-        .where(F.col("_part_rank") <= limit)
-        .withColumn("rank", F.row_number().over(whole))
-        .where(F.col("rank") <= limit)
-        .drop("_salt", "_part_rank")
+    stored = materialize(rows.withColumn("_limit", limit), "rows")
+    parts = max(1, -(-stored.count() // size))
+    if parts > 1:
+        stored = stored.repartitionByRange(parts, *keys, *order)
+        stored = materialize(stored.withColumn("_part", F.spark_partition_id()), "parts")
+    else:
+        stored = stored.withColumn("_part", F.lit(0))
+    counts = stored.groupBy(*keys, "_part").agg(
+        F.count(F.lit(1)).alias("_in"), F.max("_limit").alias("_limit")
     )
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
+    return stored.drop("_limit"), counts
+
+
+_OWN = ("_part", "_in", "_before", "_limit", "_rank")
+
+
+def _ranked(rows: DataFrame, cut: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`_rank` within the group, for the rows of some groups and parts."""
+    part = W.partitionBy(*keys, "_part").orderBy(*order)
+    return rows.join(cut, [*keys, "_part"]).withColumn(
+        "_rank", F.col("_before") + F.row_number().over(part)
+    )
+
+
+def kth(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], k: Column, size: int = ROWS_PER_TASK
+) -> DataFrame:
+    """The row at rank `k` of each group, by `order`; none where the group is smaller.
+
+    `k` is constant within a group.  Only the part that holds the rank is sorted.
+    """
+    stored, counts = _in_parts(rows, keys, order, k, size)
+    cut = counts.where((F.col("_before") < F.col("_limit")) & (F.col("_limit") <= F.col("_before") + F.col("_in")))
+    return _ranked(stored, cut, keys, order).where(F.col("_rank") == F.col("_limit")).drop(*_OWN)
+
+
+def first_k(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], k: Column, size: int = ROWS_PER_TASK
+) -> DataFrame:
+    """The first `k` rows of each group, by `order`.
+
+    Parts that lie within the limit are taken whole; only the one it cuts is sorted.
+    """
+    stored, counts = _in_parts(rows, keys, order, k, size)
+    ends = F.col("_before") + F.col("_in")
+    whole = stored.join(counts.where(ends <= F.col("_limit")), [*keys, "_part"])
+    cut = counts.where((F.col("_before") < F.col("_limit")) & (F.col("_limit") < ends))
+    some = _ranked(stored, cut, keys, order).where(F.col("_rank") <= F.col("_limit"))
+    return whole.drop(*_OWN).unionByName(some.drop(*_OWN))

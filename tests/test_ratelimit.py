@@ -137,3 +137,48 @@ def test_disabled_limiter_denies_nothing(spark):
     rows = spark.createDataFrame(log(5, 60), DDL)
     assert denials(rows, LIMITS).count() > 0
     assert denials(rows, replace(LIMITS, enabled=False)).count() == 0
+
+
+@pytest.mark.parametrize("size", [40, 10**6])
+def test_ranks_are_cut_in_parts_of_bounded_size(spark, monkeypatch, size):
+    """One group holds nearly all rows, most at one instant; ranks up to its end are cut."""
+    from promptsieve.operators import skew
+
+    rng = random.Random(2)
+    rows = [("hot", 5 if rng.random() < 0.8 else rng.randint(0, 9), f"r{i:04d}", 700) for i in range(900)]
+    rows += [(f"k{i}", rng.randint(0, 3), f"s{i:04d}", 1 + i % 3) for i in range(60)]
+    frame = spark.createDataFrame(rows, "key string, at int, id string, n int").repartition(4)
+    tasks = []
+    ranked = skew._ranked
+    monkeypatch.setattr(skew, "_ranked", lambda rows, cut, *a: (tasks.append((rows, cut)), ranked(rows, cut, *a))[1])
+    for limit in (700, 900, 901, 1):
+        k = F.when(F.col("key") == "hot", F.lit(limit)).otherwise(F.col("n"))
+        groups = defaultdict(list)
+        for key, at, id_, n in rows:
+            groups[key].append((at, id_, limit if key == "hot" else n))
+        want = {key: sorted(g) for key, g in groups.items()}
+        first = skew.first_k(frame, ["key"], ["at", "id"], k, size)
+        assert first.columns == frame.columns
+        assert sorted(r.id for r in first.collect()) == sorted(x[1] for g in want.values() for x in g[: g[0][2]])
+        at = skew.kth(frame, ["key"], ["at", "id"], k, size).collect()
+        assert {r.key: r.id for r in at} == {key: g[g[0][2] - 1][1] for key, g in want.items() if g[0][2] <= len(g)}
+    for stored, cut in tasks:
+        most = stored.join(cut, ["key", "_part"], "left_semi").groupBy("key", "_part").count().agg(F.max("count")).first()[0]
+        assert most is None or most <= (3 * size if size < 900 else 900)
+
+
+def test_one_address_holds_nearly_all_requests(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(1500):
+        at = START + timedelta(milliseconds=rng.choice([0, 500, rng.randint(0, 150_000)]))
+        rows.append((f"r{i:05d}", at, "c", "10.0.0.1" if rng.random() < 0.9 else f"10.0.1.{i % 5}"))
+    limits = RateLimits(throttle_seconds=60, throttle_limit=200)
+    arrived, want = defaultdict(list), set()
+    for request_id, ts, _, ip in sorted(rows, key=lambda r: (r[1], r[0])):
+        arrived[ip].append(ts)
+        if sum(ts - t <= timedelta(seconds=60) for t in arrived[ip]) > 200:
+            want.add(request_id)
+    found = sliding_throttle(spark.createDataFrame(rows, DDL).repartition(3), limits)
+    got = [r.request_id for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
