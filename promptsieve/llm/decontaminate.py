@@ -1,7 +1,7 @@
 """Benchmark decontamination with canonical templates.
 
-Numbers, names and units become typed placeholders, and windows of words are joined by
-hash: once as written (in lower case) and once as templates.  A template match counts only
+Numbers, names and units become typed placeholders, one for a number with or without its
+unit, one for a number or a name of several words, and windows of words are joined by hash: once as written (in lower case) and once as templates.  A template match counts only
 if the values in its slots are consistent: along one alignment of document and item, a value
 of the item stands for that value of the document it meets in most windows, and windows that
 say otherwise are left out, they alone.  Two values of an item may become equal by chance.
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bits import Bits
@@ -39,10 +40,12 @@ UNITS = (
 @dataclass(frozen=True)
 class Params:
     """Windows of `width` words; an item is found in a document that holds `coverage` of its
-    windows.  Items of fewer words are too short to tell from other text and are left out."""
+    windows, or `run` of them, as written, in one piece.  Shorter items are found where they
+    are a whole line."""
 
     width: int = 5
     coverage: float = 0.5
+    run: int = 6
 
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -56,6 +59,7 @@ def _listed(values: list[str]) -> np.ndarray:
     return np.sort(span_hash(prefix_hash(data), rows[:-1], rows[1:]))
 
 
+_NUMBER, _UNIT, _NAME = 1, 2, 3
 _NUMBERS, _MEASURES = _listed(NUMBER_WORDS), _listed(UNITS)
 
 
@@ -63,27 +67,48 @@ def _member(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
 
 
-def _canonical(raw: np.ndarray, rows: np.ndarray):
-    """Per word its hash, its template hash, whether it is a slot; and words per row."""
+@dataclass(frozen=True)
+class Words:
+    """Words of some rows, and the tokens of their templates: a word, or several that fill
+    one slot (a number with its unit, a number of several words, a run of name words)."""
+
+    word: np.ndarray  # hash of each word in lower case
+    counts: np.ndarray  # words per row
+    token: np.ndarray  # token of each word
+    value: np.ndarray  # hash of each token's words
+    template: np.ndarray  # its type if it is a slot, else its value
+    slot: np.ndarray
+    tokens: np.ndarray  # tokens per row
+    opens: np.ndarray  # whether a line begins with the word,
+    closes: np.ndarray  # and ends with it
+
+
+def _canonical(raw: np.ndarray, rows: np.ndarray) -> Words:
     data = fold(raw)
     n = len(data)
     # capital letters with accents, two bytes each
     accent = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
     data[1:][accent] += 32
     begin, end, counts = words(data, rows)
+    row = np.repeat(np.arange(len(counts)), counts)
+    lines = np.append(0, np.cumsum(data == 10))
+    apart = np.ones(len(begin) + 1, bool)  # a line or row begins with the word
+    apart[1:-1] = (row[1:] != row[:-1]) | (lines[begin[1:]] > lines[end[:-1]])
     # Punctuation at the edges goes, unless nothing else is there.
     solid = ~_PUNCTUATION[data]
     after = np.minimum.accumulate(np.where(solid, np.arange(n), n)[::-1])[::-1] if n else begin
     before = np.maximum.accumulate(np.where(solid, np.arange(n), -1))
     low, high = after[begin], before[end - 1] + 1
     some = low < high
+    bare = np.where(some, low, begin) == begin, np.where(some, high, end) == end
     begin, end = np.where(some, low, begin), np.where(some, high, end)
     prefix = prefix_hash(data)
     word = span_hash(prefix, begin, end)
     sums = lambda mask: np.append(0, np.cumsum(mask))
     digits, numeric = sums((data >= 48) & (data <= 57)), sums(_NUMERIC[data])
     number = (digits[end] > digits[begin]) & (numeric[end] - numeric[begin] == end - begin)
-    number |= _member(word, _NUMBERS)
+    spelt = _member(word, _NUMBERS)
+    number |= spelt
     unit = _member(word, _MEASURES)
     # A number written together with its unit is one slot.
     lead = np.append(_NUMERIC[data], False)
@@ -94,9 +119,22 @@ def _canonical(raw: np.ndarray, rows: np.ndarray):
     first = raw[begin] if n else raw
     second = raw[np.minimum(begin + 1, n - 1)] if n else raw
     name = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    kind = np.select([number, unit, glued, name], [1, 2, 3, 4], 0)
-    template = np.where(kind > 0, mix(kind.astype(np.uint64)), word)
-    return word, template, kind > 0, counts
+    kind = np.select([number, unit, glued, name], [_NUMBER, _UNIT, _NUMBER, _NAME], 0)
+    # Neighbours without punctuation between them that fill one slot.
+    joins = np.zeros(len(begin), bool)
+    tight = (row[1:] == row[:-1]) & bare[1][:-1] & bare[0][1:]
+    joins[1:] = tight & (
+        (kind[1:] == _NAME) & (kind[:-1] == _NAME)
+        | number[:-1] & (unit[1:] | number[1:] & (spelt[1:] | spelt[:-1]))
+    )
+    token = np.cumsum(~joins) - 1
+    head = np.flatnonzero(~joins)
+    turn = mix((np.arange(len(begin)) - head[token]).astype(np.uint64) + np.uint64(77)) | np.uint64(1)
+    value = np.add.reduceat(np.where(joins, word * turn, word), head) if len(head) else word
+    kind = kind[head]
+    tokens = np.bincount(row[head], minlength=len(counts))
+    template = np.where(kind > 0, mix(kind.astype(np.uint64)), value)
+    return Words(word, counts, token, value, template, kind > 0, tokens, apart[:-1], apart[1:])
 
 
 def _windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -106,41 +144,60 @@ def _windows(values: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
-_HIT = "name string, mark long, hash long, at int, slots array<long>"
+_HIT = "name string, mark long, hash long, at int, word int, slots array<long>"
+
+
+def _places(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and place in it of each position, and whether a window fits from there."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return row, place, place <= counts[row] - width
 
 
-def _finder(width: int, bits: Bits | None):
-    """Windows of every text, plain and as templates; with `bits`, only possible matches."""
+def _found(w: Words, width: int, short: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, hash, token place, word place, first token if it has slots) of all windows."""
+    row, place, fits = _places(w.counts, width)
+    own, spot, typed = _places(w.tokens, width)
+    # where the token of a word stands in its row; no later than a template window can begin
+    stand = np.minimum(spot[w.token], np.maximum(w.tokens[row] - width, 0))
+    at = np.flatnonzero(fits)
+    yield row[at], _windows(w.word, width)[at], stand[at], place[at], np.full(len(at), -1)
+    slots = np.append(0, np.cumsum(w.slot))
+    n = max(len(w.value) - width + 1, 0)
+    at = np.flatnonzero(typed[:n] & (slots[width : width + n] > slots[:n]))
+    yield own[at], _windows(w.template, width)[at] ^ np.uint64(0x2545F4914F6CDD1D), spot[at], np.full(len(at), -1), at
+    for size in range(1, width if short else 1):
+        _, _, fits = _places(w.counts, size)
+        at = np.flatnonzero(fits)
+        at = at[w.opens[at] & w.closes[at + size - 1]]
+        yield row[at], _windows(w.word, size)[at] ^ mix(np.array([size], np.uint64)), stand[at], np.full(len(at), -1), np.full(len(at), -1)
+
+
+def _finder(width: int, bits: Bits | None, short: bool):
+    """Windows of every text, plain and as templates, and short lines; with `bits`, only
+    possible matches."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            word, template, slot, counts = _canonical(*flat(part.column("text")))
-            row = np.repeat(np.arange(part.num_rows), counts)
-            place = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
-            n = max(len(word) - width + 1, 0)
-            inside = place[:n] <= np.repeat(counts, counts)[:n] - width
-            slots = np.append(0, np.cumsum(slot))
-            plain = _windows(word, width)
-            mixed = _windows(template, width) ^ np.uint64(0x2545F4914F6CDD1D)
-            # a template without slots would only repeat the plain window
-            usable = inside & (slots[width : width + n] > slots[:n])
-            found = []
-            for hashes, valid, typed in ((plain, inside, False), (mixed, usable, True)):
-                at = np.flatnonzero(valid & bits.has(hashes.view(np.int64)) if bits else valid)
-                for i in at:
-                    seen = np.flatnonzero(slot[i : i + width]) + i if typed else ()
-                    found.append((row[i], hashes[i].view(np.int64), place[i], [int(word[k].view(np.int64)) for k in seen]))
-            of = pa.array([f[0] for f in found], pa.int64())
-            yield pa.record_batch(
-                [
-                    part.column("name").take(of),
-                    part.column("mark").take(of),
-                    pa.array([f[1] for f in found], pa.int64()),
-                    pa.array([f[2] for f in found], pa.int32()),
-                    pa.array([f[3] for f in found], pa.list_(pa.int64())),
-                ],
-                ["name", "mark", "hash", "at", "slots"],
-            )
+            w = _canonical(*flat(part.column("text")))
+            for row, hashes, at, word, first in _found(w, width, short):
+                hashes = hashes.view(np.int64)
+                keep = np.flatnonzero(bits.has(hashes)) if bits else np.arange(len(hashes))
+                of = pa.array(row[keep])
+                seen = first[keep][:, None] + np.arange(width)
+                inside = np.zeros(seen.shape, bool)
+                typed = first[keep] >= 0
+                inside[typed] = w.slot[seen[typed]]
+                many = np.append(0, np.cumsum(inside.sum(1))).astype(np.int32)
+                values = w.value[seen[inside]].view(np.int64)
+                yield pa.record_batch(
+                    [
+                        part.column("name").take(of), part.column("mark").take(of), pa.array(hashes[keep]),
+                        pa.array(at[keep].astype(np.int32)), pa.array(word[keep].astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(many), pa.array(values)),
+                    ],
+                    ["name", "mark", "hash", "at", "word", "slots"],
+                )
 
     return find
 
@@ -156,16 +213,20 @@ def find_items(docs: DataFrame, benchmark: DataFrame, params: Params = Params())
     items = benchmark.where("text is not null").groupBy("text").agg(
         F.min(F.col("item_id").cast("long")).alias("item_id")
     )
-    # Items are found in documents through the windows they consist of.
+    # Items are found in documents through the windows they consist of; an item too short
+    # for one is a window of its own.
+    windows = _named(items, "item_id").mapInArrow(_finder(params.width, None, True), _HIT)
+    whole = F.max(F.col("word") >= 0).over(W.partitionBy("name"))
     item_windows = materialize(
-        _named(items, "item_id").mapInArrow(_finder(params.width, None), _HIT), "items"
+        windows.withColumn("long", whole).where("word >= 0 or size(slots) > 0 or not long"), "items"
     )
     item_windows = item_windows.select(
-        F.col("name").cast("long").alias("item_id"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")
-    )
+        F.col("name").cast("long").alias("item_id"), "hash", F.col("at").alias("item_at"),
+        F.col("word").alias("item_word"), F.col("slots").alias("item_slots"),
+    )
     sizes = item_windows.groupBy("item_id").agg(F.count_distinct("item_at").alias("size"))
     bits = Bits.of(item_windows.select("hash").distinct(), "hash")
-    hits = materialize(_named(docs, "doc_id").mapInArrow(_finder(params.width, bits), _HIT), "hits")
+    hits = materialize(_named(docs, "doc_id").mapInArrow(_finder(params.width, bits, True), _HIT), "hits")
     # hits of one hash may be a third of all: the adaptive join splits them
     matched = hits.join(item_windows, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
     matched = materialize(matched.drop("hash"), "hits")
@@ -195,6 +256,18 @@ def find_items(docs: DataFrame, benchmark: DataFrame, params: Params = Params())
     joined = typed.select(*line, "item_at").alias("x").join(
         odd.alias("o"), F.expr(f"{same} and x.item_at = o.item_at"), "left_anti"
     )
+    # Windows as written that follow each other in both texts.
+    line_of_words = ["name", "mark", "item_id", "gap"]
+    runs = (
+        matched.where("size(slots) = 0 and word >= 0 and item_word >= 0")
+        .select("name", "mark", "item_id", (F.col("word") - F.col("item_word")).alias("gap"), "item_word")
+        .distinct()
+        .withColumn("n", F.row_number().over(W.partitionBy(*line_of_words).orderBy("item_word")))
+        .groupBy(*line_of_words, F.col("item_word") - F.col("n"))
+        .agg(F.count(F.lit(1)).alias("run"))
+        .groupBy("name", "mark", "item_id")
+        .agg(F.max("run").alias("run"))
+    )
     # Words put in or left out move the alignment, so an item's windows are counted over all
     # of its alignments in the document.
     best = (
@@ -205,7 +278,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, params: Params = Params())
         .agg(F.count(F.lit(1)).alias("found"))
         .join(sizes, "item_id")
         .withColumn("coverage", F.col("found") / F.col("size"))
-        .where(F.col("coverage") >= params.coverage)
+        .alias("b")
+        .join(runs.alias("r"), F.expr("b.name <=> r.name and b.mark = r.mark and b.item_id = r.item_id"), "left")
+        .where((F.col("coverage") >= params.coverage) | (F.col("run") >= params.run))
+        .select("b.*")
     )
     return best.select("name", "mark", "item_id", "coverage")
 
@@ -214,8 +290,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     """The documents that hold benchmark items, one row per distinct (doc_id, text): doc_id,
     item_ids (ascending), n_items, coverage (the largest).
 
-    Null and empty texts hold nothing, on either side; items of fewer than `width` words are
-    left out.  Repeated documents are one row here.  Other columns are ignored.
+    Null and empty texts hold nothing, on either side.  An item of fewer than `width` words
+    must be a whole line.  Repeated documents are one row here.  Other columns are ignored.
     """
     found = find_items(docs, benchmark, params)
     return found.groupBy("name", "mark").agg(
@@ -227,13 +303,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns and repeats."""
-    found = find_items(docs, benchmark, params).select("name", "mark").distinct()
+    """The documents that hold no benchmark item, with all their columns and repeats.
+
+    Null and empty texts hold none.  Only documents that may be found are shuffled.
+    """
+    found = materialize(find_items(docs, benchmark, params).select("name", "mark").distinct(), "found")
     held = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("doc_id").cast("string").alias("name"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
     )
-    return held.alias("d").join(
+    held = held.withColumn("may", Bits.of(found, "mark").may_hold(F.col("mark")))
+    rest = held.where("may").alias("d").join(
         found.alias("f"), F.expr("d.name <=> f.name and d.mark = f.mark"), "left_anti"
-    ).select("row.*")
+    )
+    return held.where("not may").select("row.*").unionByName(rest.select("row.*"))

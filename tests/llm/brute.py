@@ -186,3 +186,94 @@ def machine(x, y, p) -> tuple:
                 t = t * np.maximum(0, 1 - least / np.maximum(np.linalg.norm(t, axis=1), 1e-9))[:, None]
             theta[k] = t
     return float(theta[0][0]), theta[1], theta[2]
+
+
+_EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "$%")
+
+
+def _typed(text: str | None) -> tuple[list, list, list]:
+    """Words, the tokens (type or "", words) with their first word, and the lines' bounds."""
+    from promptsieve.llm.decontaminate import NUMBER_WORDS, UNITS
+
+    out, tokens, lines, before = [], [], [], None
+    for line in (text or "").split("\n"):
+        found = re.findall(r"[^\x20\x09-\x0D]+", line)
+        lines.append((len(out), len(out) + len(found)))
+        for w in found:
+            left, right = len(w) - len(w.lstrip(_EDGE)), len(w) - len(w.rstrip(_EDGE))
+            bare = w.strip(_EDGE) or w
+            if bare == w:
+                left = right = 0
+            low = bare.lower()
+            number = bool(re.fullmatch(r"[0-9.,:/+\-%$]*[0-9][0-9.,:/+\-%$]*", low))
+            spelt = low in NUMBER_WORDS
+            glued = re.fullmatch(r"([0-9.,:/+\-%$]*[0-9][0-9.,:/+\-%$]*)(\D.*)", low)
+            kind = "number" if number or spelt else "unit" if low in UNITS else ""
+            pure = bool(kind == "number")
+            if not kind and glued and glued[2] in UNITS:
+                kind = "number"
+            if not kind and re.match("[A-ZÀ-ÖØ-Þ]", bare):
+                kind = "name"
+            joins = before is not None and not before["right"] and not left and (
+                kind == before["kind"] == "name"
+                or before["pure"] and (kind == "unit" or pure and (spelt or before["spelt"]))
+            )
+            if joins:
+                tokens[-1][1].append(low)
+            else:
+                tokens.append((kind, [low], len(out)))
+            before = {"kind": kind, "pure": pure, "spelt": spelt, "right": right}
+            out.append(low)
+    return out, tokens, lines
+
+
+def benchmark_items(texts: dict, items: dict, width: int = 5, least: float = 0.5, run: int = 6) -> dict:
+    """(document, item): coverage of those found."""
+    smallest: dict = {}
+    for k in sorted(items):
+        smallest.setdefault(items[k], k)
+    out = {}
+    docs = {k: _typed(t) for k, t in texts.items()}
+    for text, item in smallest.items():
+        w, tokens, _ = _typed(text)
+        if not w:
+            continue
+        of = [i for i, t in enumerate(tokens) for _ in t[1]]
+        last = max(len(tokens) - width, 0)
+        shape = lambda ts: tuple(t[0] or " ".join(t[1]) for t in ts)
+        for k, (d, marks, lines) in docs.items():
+            if len(w) < width:
+                if any(d[a:b] == w for a, b in lines):
+                    out[k, item] = 1.0
+                continue
+            size = {min(of[i], last) for i in range(len(w) - width + 1)} | {
+                i for i in range(len(tokens) - width + 1) if any(t[0] for t in tokens[i : i + width])
+            }
+            same = [(i, j) for i in range(len(w) - width + 1) for j in range(len(d) - width + 1) if w[i : i + width] == d[j : j + width]]
+            held = {min(of[i], last) for i, _ in same}
+            aligned = defaultdict(lambda: defaultdict(list))
+            for i in range(len(tokens) - width + 1):
+                if not any(t[0] for t in tokens[i : i + width]):
+                    continue
+                for j in range(len(marks) - width + 1):
+                    if shape(tokens[i : i + width]) == shape(marks[j : j + width]):
+                        pairs = [(tuple(a[1]), tuple(b[1])) for a, b in zip(tokens[i : i + width], marks[j : j + width]) if a[0]]
+                        aligned[j - i][i] = pairs
+            for windows in aligned.values():
+                votes = defaultdict(Counter)
+                for pairs in windows.values():
+                    for a, b in pairs:
+                        votes[a][b] += 1
+                clear = {i for i, pairs in windows.items() if all(votes[a][b] == max(votes[a].values()) for a, b in pairs)}
+                doubt = {i for i, pairs in windows.items() if any(list(votes[a].values()).count(max(votes[a].values())) > 1 for a, _ in pairs)}
+                held |= clear - doubt
+            longest, at = 0, set(same)
+            for i, j in at:
+                if (i - 1, j - 1) not in at:
+                    n = 0
+                    while (i + n, j + n) in at:
+                        n += 1
+                    longest = max(longest, n)
+            if held and (len(held) / len(size) >= least or longest >= run):
+                out[k, item] = len(held) / len(size)
+    return out

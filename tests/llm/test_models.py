@@ -234,6 +234,61 @@ def test_decontamination(spark, text, found):
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
 
 
+QUESTION = (
+    "Maria Lopez drove 12 km from Boston to Salem in 3 hours with her sister Anna , then she bought "
+    "forty two apples for 5 dollars and gave 7 of them to Peter Smith before the long trip home"
+)
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "coverage"),
+    [
+        (QUESTION, QUESTION.lower(), 1.0),
+        (QUESTION, QUESTION.replace("12 km", "15km").replace("3 hours", "4h"), 1.0),
+        (QUESTION, QUESTION.replace("Maria Lopez", "Ben").replace("Peter Smith", "Karl Otto Braun"), 1.0),
+        (QUESTION, QUESTION.replace("forty two", "sixteen").replace("12 km", "two hundred miles"), 1.0),
+        (QUESTION, QUESTION.replace("7 of", "eight of").replace("5 dollars", "9"), 1.0),
+        (QUESTION, "so " + " ".join(QUESTION.split()[4:15]) + " indeed", 0.2),  # eleven words of it
+        (QUESTION, "so " + " ".join(QUESTION.split()[4:12]) + " indeed", None),
+        ("What is 2+2?", "Quiz\nWhat is 2+2?\nfour", 1.0),
+        ("What is 2+2?", "I know what is 2+2? yes", None),
+        ("What is 2+2?", "What is 3+3?", None),
+    ],
+)
+def test_templates(spark, item, text, coverage):
+    docs = spark.createDataFrame([(1, "some words before\n" + text + "\nand some after")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, "another question about nothing at all")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    if coverage is None:
+        assert not got
+    else:
+        assert [r.item_ids for r in got] == [[7]]
+        assert got[0].coverage == 1 if coverage == 1 else got[0].coverage >= coverage
+
+
+def test_decontamination_against_brute_force(spark):
+    draw = random.Random(12)
+    plain = "the old river stone bridge under tall green trees near market people often walk slowly".split()
+    def token():
+        return draw.choice([draw.choice(plain)] * 4 + ["7", "forty", "two", "km", "5kg", "hours", "Anna", "Bo", "Éva", "end.", "(so", "%"])
+    items = {k: " ".join(token() for _ in range(draw.choice([2, 4, 6, 12, 25]))) for k in range(25)}
+    texts: dict = {0: None, 1: "", 2: " \n"}
+    for k in range(3, 90):
+        own = [token() for _ in range(draw.randint(0, 25))]
+        if k % 3:
+            part = items[draw.randrange(25)].split()
+            low = draw.randint(0, len(part) // 3)
+            part = [draw.choice(["9", "Carl"]) if w in ("7", "Anna") and draw.random() < 0.5 else w for w in part[low:]]
+            own += [draw.choice(["", "", "\n"]) + part[0], *part[1:]] if part else []
+        texts[k] = " ".join(own) + draw.choice(["", "\n tail"])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = decontaminate.find_items(docs, bench).collect()
+    want = brute.benchmark_items(texts, items)
+    assert {(int(r.name), r.item_id): round(r.coverage, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert len(want) > 30
+
+
 @pytest.mark.parametrize(
     ("item", "text"),
     [
