@@ -24,6 +24,7 @@ from ..operators.verdict import combine
 from ..sources import ingest, policies as POL
 from ..sources.audit_store import read_audit, read_recent, read_writes, write_audit
 from ..sources.scratch import materialize, scratch
+from ..streaming.counts import count_decisions, read_window_counts, with_source
 from ..streaming.ratelimit import rate_limit_keyed_stream, rate_limit_stream
 from ..streaming.screening import (
     audit_sink,
@@ -964,3 +965,23 @@ def stream_rate_limit_shared(spark, d):
 
 
 REQUEST_COLUMNS = ("request_id", "ts", "client_id", "ip")
+
+
+LATE_SECONDS = 86_400
+
+
+@_query
+def stream_late_counts(spark, d):
+    """Decisions per hour over five deliveries, those a day late on the side; the whole input
+    is read a second time under a new checkpoint, which changes nothing."""
+    log, out = scratch(spark, "deliveries"), scratch(spark, "stream")
+    requests = materialize(WL.arrivals(spark, d, ("request_id", "ts", "prompt", "policy_id")), "arrivals")
+    ddl = "request_id string, ts timestamp, prompt string, policy_id string, slot int"
+    checkpoint = scratch(spark, "checkpoint")
+    for slot in range(WL.ARRIVALS):
+        requests.where(F.col("slot") == slot).write.mode("append").partitionBy("slot").parquet(log)
+        again = scratch(spark, "checkpoint")
+        for place in (checkpoint, again) if slot == WL.ARRIVALS - 1 else (checkpoint,):
+            verdicts = screen_stream(with_source(read_stream(spark, log, ddl)))
+            _drain(count_decisions(verdicts, out, place, "slot", lateness=LATE_SECONDS))
+    return read_window_counts(spark, out).withColumn("window_start", _when(F.col("window_start")))

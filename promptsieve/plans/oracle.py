@@ -828,6 +828,14 @@ def oracles() -> dict[str, str]:
         "stream_rate_limit": f"""SELECT t.request_id, d.request_id IS NULL AS allowed, d.scope,
             d.retry_after_seconds, false AS late
             FROM ({TRAFFIC}) t LEFT JOIN ({denials(TRAFFIC)}) d ON t.request_id = d.request_id""",
+        "stream_late_counts": f"""WITH a AS MATERIALIZED ({_ARRIVALS}), m AS (
+                SELECT slot, max(max(epoch_us(ts))) OVER (
+                    ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+                FROM a GROUP BY slot), v AS (SELECT request_id AS id, decision, policy_id AS policy FROM ({judged(TRAFFIC)}))
+            SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+                v.policy AS policy_id, decision, coalesce(((epoch_us(ts) // 3600000000 + 1) * 3600 + 86400) * 1000000
+                    <= m.newest, false) AS late, count(*) AS n
+            FROM a JOIN m USING (slot) JOIN v ON v.id = a.request_id GROUP BY ALL""",
         "stream_rate_limit_batches": delivered(_ARRIVALS),
         "stream_rate_limit_shared": f"""SELECT request_id, scope IS NULL AS allowed, scope,
             retry_after_seconds, false AS late FROM ({delivered(f"SELECT *, event_id % 3 AS slot, NULL::BIGINT AS horizon FROM ({TRAFFIC})")})""",

@@ -352,7 +352,9 @@ ARRIVALS = 5
 LATE_KEYS, LATE_SECONDS = (40, 3), 3 * 3_600
 
 
-def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def arrivals(
+    spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("request_id", "ts", "client_id", "ip")
+) -> DataFrame:
     """The request log with `slot`: which of ARRIVALS deliveries brings a request.
 
     The time span is cut into equal parts, delivered in order.  Every fortieth request comes
@@ -360,7 +362,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     their windows are over by then, some not.
     """
     second = F.unix_seconds("ts")
-    requests = traffic(spark, sf_dir).select("event_id", "request_id", "ts", "client_id", "ip")
+    requests = traffic(spark, sf_dir)
     lo, hi = requests.agg(F.min(second), F.max(second)).first() or (0, 0)
     parts, span = ARRIVALS - 1, (hi or 0) - (lo or 0) + 1
     past = (second - F.lit(lo or 0)) * parts
@@ -368,7 +370,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id")
     soon = (slot + 1) * span - past < LATE_SECONDS * parts
     late = (key % LATE_KEYS[0] == LATE_KEYS[1]) | ((key % 3 == 0) & soon)
-    return requests.withColumn("slot", (slot + late.cast("int")).cast("int")).drop("event_id")
+    return requests.select(*columns, (slot + late.cast("int")).cast("int").alias("slot"))
 
 
 def scored_by_length(prompts: pd.Series, topics: pd.Series) -> pd.DataFrame:

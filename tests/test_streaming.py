@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from promptsieve import RateLimits, rate_limit, read_audit, screen, screen_stream
 from promptsieve.operators.ratelimit import counters
+from promptsieve.streaming.counts import count_decisions, read_window_counts, with_source
 from promptsieve.streaming.counters import CounterStore, Segment
 from promptsieve.streaming.ratelimit import DayCounter, rate_limit_keyed_stream, rate_limit_stream
 from promptsieve.streaming.screening import (
@@ -245,3 +246,25 @@ def test_hot_key_is_ranked_in_bounded_memory():
 def test_counters_of_some_tiers(spark):
     rows = spark.createDataFrame(log(3, 50), DDL)
     assert {r.tier for r in counters(rows, RateLimits(enforced=(0, 4))).collect()} == {0, 4}
+
+
+def test_counts_do_not_depend_on_batches_or_checkpoints(spark, tmp_path):
+    start = datetime(2024, 3, 9, 10, 0)
+    ddl = "request_id string, ts timestamp, policy_id string, decision string"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "counts")
+    hours = [[0, 0, 1], [3, 1], [9, 2, 0, 0], [], [9, 3, 6, 8]]
+    for k, rows in enumerate(hours):
+        chunk = spark.createDataFrame([(f"{k}-{i}", start + timedelta(hours=h), "p", "allow") for i, h in enumerate(rows)], ddl)
+        chunk.coalesce(1).write.mode("append").parquet(folder)
+    # late by the newest hour of earlier files: window over two hours or more ago
+    late = [(k, h) for k, rows in enumerate(hours) for h in rows
+            if max([x for r in hours[:k] for x in r], default=-9) >= h + 3]
+    found = []
+    for name, files in (("one", 1), ("all", None), ("two", 2)):
+        stream = with_source(read_stream(spark, folder, ddl, files))
+        drained(count_decisions(stream, out, str(tmp_path / name), lateness=7200))
+        found.append({(r.window_start, r.late): r.n for r in read_window_counts(spark, out).collect()})
+    assert found[0] == found[1] == found[2]
+    assert sum(found[0].values()) == sum(map(len, hours))
+    assert sum(n for (_, is_late), n in found[0].items() if is_late) == len(late) == 4
+    assert read_window_counts(spark, str(tmp_path / "none")).count() == 0
