@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+from .skew import at_ranks
+
 _TWO_PLACES = "decimal(18,2)"
 
 
@@ -86,11 +89,14 @@ def percent(score: Column) -> Column:
     return F.concat(F.floor(score * 100 + 0.5).cast("string"), F.lit("%"))
 
 
+PERCENTILES = (0.5, 0.95, 0.99)
+
+
 def latency_percentiles(audit: DataFrame) -> DataFrame:
-    """Exact P50/P95/P99 per leg.
+    """Exact P50/P95/P99 per leg, between ranks in proportion.
 
-    Equal values are counted first, so a clock's resolution bounds the rows per leg that
-    meet for the percentile.
+    Equal values are counted first.  Counts are dealt by value into ranges, whose sums tell
+    which range holds a rank; only these are sorted, so no task sees all values of a leg.
     """
     legs = [
         F.struct(F.lit(leg).alias("leg"), F.col(f"latency_ms.{leg}").alias("ms"))
@@ -102,12 +108,24 @@ def latency_percentiles(audit: DataFrame) -> DataFrame:
         .groupBy("leg", "ms")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return counted.groupBy("leg").agg(
-        F.sum("n").alias("n"),
-        *[
-            F.percentile("ms", p, F.col("n")).alias(f"p{int(p * 100)}")
-            for p in (0.5, 0.95, 0.99)
-        ],
+    counted = materialize(counted, "latencies")
+    totals = counted.groupBy("leg").agg(F.sum("n").alias("n"))
+    place = F.col("p") * (F.col("n") - 1)
+    wanted = totals.select("leg", "n", F.explode(F.array(*[F.lit(p) for p in PERCENTILES])).alias("p")).select(
+        "leg", "n", "p", place.alias("place"),
+        (F.floor(place) + 1).alias("low"), (F.ceil(place) + 1).alias("high"),
+    )
+    ranks = wanted.select("leg", F.explode(F.array("low", "high")).alias("rank")).distinct()
+    found = at_ranks(counted, ["leg"], "ms", "n", ranks)
+    low, high = (found.select("leg", F.col("rank").alias(c), F.col("ms").alias(f"{c}_ms")) for c in ("low", "high"))
+    value = F.when(F.col("low") == F.col("high"), F.col("low_ms")).otherwise(
+        (F.col("high") - 1 - F.col("place")) * F.col("low_ms")
+        + (F.col("place") - F.col("low") + 1) * F.col("high_ms")
+    )
+    named = wanted.join(low, ["leg", "low"]).join(high, ["leg", "high"]).withColumn("value", value)
+    return named.groupBy("leg").agg(
+        F.max("n").alias("n"),
+        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in PERCENTILES],
     )
 
 

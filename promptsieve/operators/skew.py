@@ -90,10 +90,12 @@ def lookup_join(
 
 
 def _in_parts(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: Column, size: int
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: Column, size: int,
+    weight: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows dealt by (keys, order) into parts of about `size` rows, `_part`; and per group and
-    part `_limit`, the rows there (`_in`) and those of the group in earlier parts (`_before`).
+    part `_limit`, the rows there (`_in`) and those of the group in earlier parts (`_before`);
+    with `weight`, a row counts as so many.
 
     `order` is unique within a group, so a part has a bounded number of rows however they
     are spread over the groups: a group larger than that goes over several parts.  Written
@@ -108,7 +110,8 @@ def _in_parts(
     else:
         stored = stored.withColumn("_part", F.lit(0))
     counts = stored.groupBy(*keys, "_part").agg(
-        F.count(F.lit(1)).alias("_in"), F.max("_limit").alias("_limit")
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_in"),
+        F.max("_limit").alias("_limit"),
     )
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
@@ -151,3 +154,29 @@ def first_k(
     cut = counts.where((F.col("_before") < F.col("_limit")) & (F.col("_limit") < ends))
     some = _ranked(stored, cut, keys, order).where(F.col("_rank") <= F.col("_limit"))
     return whole.drop(*_OWN).unionByName(some.drop(*_OWN))
+
+
+def at_ranks(
+    rows: DataFrame, keys: Sequence[str], order: str, weight: str, ranks: DataFrame,
+    size: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """(keys, rank, `order`): the values at the `rank`s asked for of each group, where a row
+    stands for `weight` equal ones.
+
+    `ranks` (keys, rank) is small.  Of a group's values, only the parts that hold a rank are
+    sorted.
+    """
+    keys = list(keys)
+    stored, counts = _in_parts(rows, keys, [order], F.lit(0), size, weight)
+    cut = counts.join(ranks, keys).where(
+        (F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_before") + F.col("_in"))
+    )
+    asked = cut.groupBy(*keys, "_part", "_before").agg(F.collect_set("rank").alias("_ranks"))
+    upto = W.partitionBy(*keys, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return (
+        stored.join(asked, [*keys, "_part"])
+        .withColumn("_upto", F.col("_before") + F.sum(weight).over(upto))
+        .select(*keys, order, weight, "_upto", F.explode("_ranks").alias("rank"))
+        .where((F.col("_upto") - F.col(weight) < F.col("rank")) & (F.col("rank") <= F.col("_upto")))
+        .select(*keys, "rank", order)
+    )

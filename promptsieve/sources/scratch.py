@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import tempfile
 import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import delete
+
 
 @lru_cache(maxsize=1)
 def _local_folder() -> tempfile.TemporaryDirectory:
@@ -24,7 +28,30 @@ def scratch(spark: SparkSession, purpose: str) -> str:
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local_folder().name
-    return f"{root.rstrip('/')}/promptsieve/{purpose}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/promptsieve/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_leave, spark, own)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
+
+
+_OWN: set[str] = set()
+
+
+def _leave(spark: SparkSession, folder: str) -> None:
+    """Delete what the application has left, when its driver ends in good order."""
+    try:
+        delete(spark, folder)
+    except Exception:  # the session has been stopped: the folder's own expiry must do
+        logging.getLogger(__name__).info("left %s behind", folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application.  Frames that are still to be
+    computed from them can no longer be."""
+    for own in list(_OWN):
+        if own.endswith(f"/{spark.sparkContext.applicationId}"):
+            delete(spark, own)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:

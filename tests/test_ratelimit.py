@@ -182,3 +182,19 @@ def test_one_address_holds_nearly_all_requests(spark):
     found = sliding_throttle(spark.createDataFrame(rows, DDL).repartition(3), limits)
     got = [r.request_id for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+def test_values_at_ranks(spark):
+    """Weighted values over several parts against sorting them all."""
+    from promptsieve.operators.skew import at_ranks
+
+    rng = random.Random(8)
+    rows = [(key, float(v), rng.randint(1, 5)) for key, n in (("a", 500), ("b", 3), ("c", 1)) for v in rng.sample(range(2000), n)]
+    frame = spark.createDataFrame(rows, "key string, v double, n long").repartition(3)
+    every = {k: sorted(v for key, v, n in rows if key == k for _ in range(n)) for k in "abc"}
+    asked = [(k, r) for k in "abc" for r in {1, len(every[k]), (len(every[k]) + 1) // 2, len(every[k]) + 1}]
+    ranks = spark.createDataFrame(asked, "key string, rank long")
+    want = {(k, r): every[k][r - 1] for k, r in asked if r <= len(every[k])}
+    for size in (30, 10**6):
+        got = {(r.key, r["rank"]): r.v for r in at_ranks(frame, ["key"], "v", "n", ranks, size).collect()}
+        assert got == want
