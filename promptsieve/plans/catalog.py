@@ -815,6 +815,37 @@ def val_replay_issues(spark, d):
     )
 
 
+@_query
+def policy_files(spark, d):
+    """Policies of all suppliers, one document a file, read and checked, with the share of
+    the request log under each."""
+    key = F.col("s_suppkey")
+    documents = spark.read.parquet(f"{d}/supplier.parquet").select(
+        F.concat(F.lit("tenant_"), key).alias("id"),
+        F.concat(F.lit("g-"), F.col("s_nationkey")).alias("guardrailId"),
+        F.lit("2").alias("guardrailVersion"),
+        F.struct(
+            F.get(F.array(*[F.lit(m) for m in S.INJECTION_MODES]), (key % len(S.INJECTION_MODES)).cast("int")).alias("mode"),
+            (key % 101 / 100).alias("threshold"),
+        ).alias("promptInjection"),
+        F.get(F.array(*[F.lit(m) for m in S.REDACTION_STYLES]), (key % len(S.REDACTION_STYLES)).cast("int")).alias("redactionStyle"),
+        F.when(key % 4 != 0, F.array(F.lit("legal_advice"), F.concat(F.lit("topic_"), key))).alias("deniedTopics"),
+    )
+    folder = scratch(spark, "policies")
+    documents.write.option("maxRecordsPerFile", 1).json(folder)
+    policies = POL.read_policies(spark, folder)
+    asking = WL.traffic(spark, d).select(
+        F.concat(F.lit("tenant_"), F.col("user_id")).alias("policy_id"), "request_id"
+    )
+    asked = POL.attach_policy(asking, policies).groupBy("policy_id").agg(_count().alias("requests"))
+    return policies.join(asked.withColumnRenamed("policy_id", "id"), "id", "left").select(
+        "id", "policy.mode", "policy.threshold", "policy.redaction_style", "policy.strength",
+        "policy.guardrail_id", "policy.guardrail_version",
+        _names(F.col("policy.denied_topics")).alias("denied_topics"),
+        F.coalesce("requests", F.lit(0)).alias("requests"),
+    )
+
+
 @_query
 def policy_document_issues(spark, d):
     """Policy documents made of customers: those that break the contract, and how."""

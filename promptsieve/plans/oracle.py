@@ -565,6 +565,13 @@ def oracles() -> dict[str, str]:
             array_to_string(denied, ',') AS denied_topics, requests
             FROM {policies()} LEFT JOIN (SELECT coalesce(policy_id, 'default') AS wanted,
                 count(*) AS requests FROM ({TRAFFIC}) GROUP BY 1) ON wanted = pid""",
+        "policy_files": f"""SELECT 'tenant_' || s_suppkey AS id,
+            {qlist(S.INJECTION_MODES)}[s_suppkey % {len(S.INJECTION_MODES)} + 1] AS mode,
+            (s_suppkey % 101)::DOUBLE / 100 AS threshold,
+            {qlist(S.REDACTION_STYLES)}[s_suppkey % {len(S.REDACTION_STYLES)} + 1] AS redaction_style,
+            {q(S.DEFAULT_STRENGTH)} AS strength, 'g-' || s_nationkey AS guardrail_id, '2' AS guardrail_version,
+            CASE WHEN s_suppkey % 4 <> 0 THEN 'legal_advice,topic_' || s_suppkey ELSE '' END AS denied_topics,
+            (SELECT count(*) FROM events WHERE user_id = s_suppkey) AS requests FROM supplier""",
         "policy_binding_overlay": """SELECT 'tenant_' || c_custkey AS id,
             CASE WHEN c_acctbal > 0 AND c_custkey % 11 <> 0 THEN 'g-' || c_mktsegment
                 ELSE 'guard-placeholder' END AS guardrail_id,
