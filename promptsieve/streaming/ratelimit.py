@@ -101,6 +101,7 @@ _COUNTED = (
     "late boolean, retry_after_seconds bigint"
 )
 _HOURS = DAY // HOUR
+_NO_DAY = -(1 << 40)  # a null would turn its whole column into floats on the way
 
 
 class DayCounter(StatefulProcessor):
@@ -125,6 +126,14 @@ class DayCounter(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kind, _, day = key
+        if day == _NO_DAY:  # no instant, so no window: allowed, as in the batch operator
+            for part in rows:
+                if kind == USER:
+                    yield part[["request_id", "ts", "client_id", "ip"]].assign(
+                        kind=np.int32(kind), tier=pd.array([pd.NA] * len(part), dtype="Int32"),
+                        late=False, retry_after_seconds=1,
+                    )
+            return
         newest = timerValues.getCurrentWatermarkInMs() // 1000
         resets = np.append(day * DAY + HOUR * np.arange(1, _HOURS + 1), (day + 1) * DAY)
         over = resets <= newest
@@ -212,8 +221,8 @@ def count_keyed(requests: DataFrame, limits: RateLimits = RateLimits()) -> DataF
         requests.select("request_id", "ts", "client_id", "ip")
         .withWatermark("ts", "0 seconds")
         .select(
-            "request_id", F.unix_micros("ts").alias("at"), second.alias("second"), "client_id", "ip",
-            bucket_of(second, F.lit(DAY)).alias("day"), who,
+            "request_id", F.unix_micros("ts").alias("at"), F.coalesce(second, F.lit(0)).alias("second"),
+            "client_id", "ip", F.coalesce(bucket_of(second, F.lit(DAY)), F.lit(_NO_DAY)).alias("day"), who,
         )
         .withColumn("ts", F.timestamp_micros("at"))
         .drop("at")

@@ -192,7 +192,7 @@ def test_keyed_state_goes_with_its_day(spark, tmp_path):
         [("c", at(hours=2), "u", "i")],
         [("d", at(minutes=2), "u", "i"), ("e", at(hours=2, minutes=1), "u", "i")],
         [("f", at(days=3), "v", "j")],
-        [("g", at(minutes=3), "u", "i"), ("h", at(days=3, minutes=1), "v", "j")],
+        [("g", at(minutes=3), "u", "i"), ("h", at(days=3, minutes=1), "v", "j"), ("n", None, None, "j")],
     ]
     removed, total = 0, []
     for batch in batches:
@@ -208,6 +208,7 @@ def test_keyed_state_goes_with_its_day(spark, tmp_path):
         # late for its hour, but the day still counts it
         "d": ("user/day", True), "e": ("user/hour", False),
         "f": (None, False), "g": (None, True), "h": ("user/hour", False),
+        "n": (None, False),
     }
     assert total[-1] == total[0] and removed == total[0]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
