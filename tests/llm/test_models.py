@@ -115,7 +115,7 @@ def test_classifier_odd_rows(spark):
     ("name", "label", "accuracy", "recall"), [("op3_quality", "quality", 0.97, 0.97), ("op8_toxicity", "toxic", 0.93, 0.6)]
 )
 def test_held_out(spark, name, label, accuracy, recall):
-    """Of the 14 toxic documents held out here, 9 hold a term met in training at all."""
+    """Of the 14 toxic documents held out here, 9 hold a plain insult."""
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
     found = QUERIES[name](spark, SF_DIR)
     assert found.count() == spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
