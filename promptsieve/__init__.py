@@ -2,7 +2,7 @@
 
 from .operators.evidence import evidence
 from .operators.ratelimit import RateLimits, rate_limit, sliding_throttle
-from .operators.replay import replay_all, replay_requested
+from .plans.replay import replay_all, replay_requested
 from .operators.validate import validate
 from .plans.screening import audit_rows, decide, screen, screen_all
 from .sources.audit_store import read_audit, write_audit

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..sources.scratch import materialize
 from .skew import hot_keys, lookup_join
 
 DEFAULT_FEED = 50
@@ -45,6 +48,13 @@ def unknown_ids(requests: DataFrame, audit: DataFrame) -> DataFrame:
     )
 
 
+def resolved(audit: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The ids and `columns` of all records, written out: whatever reads them more than once
+    decides once which write of a record is the last.  For narrow columns."""
+    ids = [c for c in ("request_id", "replay_of") if c not in columns]
+    return materialize(audit.select(*ids, *columns), "resolved")
+
+
 def _hot_originals(audit: DataFrame):
     hot = hot_keys(audit, "replay_of")
     return F.col("replay_of").isin(hot) if hot else None

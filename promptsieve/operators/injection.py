@@ -174,20 +174,25 @@ def first_valid_answers(responses: DataFrame, models: Sequence[str]) -> DataFram
 def with_ingested_injection(
     df: DataFrame, responses: DataFrame, models: Sequence[str]
 ) -> DataFrame:
-    """As `with_injection`, with the escalated tier answered by stored responses."""
-    policy = F.col("policy")
-    tier = escalation(F.col("inj_confidence"), F.col("obfuscated"))["escalate"]
-    cheap = answered_injection(heuristic_answer(), F.lit(False))
-    result = (
-        F.when(~F.col("_tier"), cheap)
-        .when(
-            F.col("answered_by").isNotNull(), answered_injection(F.col("answer"), F.lit(True))
-        )
-        .otherwise(skipped_injection())
+    """As `with_injection`, with the escalated tier answered by stored responses, and
+    `answered_by`, the model whose answer was taken.
+
+    Only escalated rows meet the answers: the cheap tier, most of the rows, is not shuffled.
+    """
+    ask = F.coalesce(
+        escalation(F.col("inj_confidence"), F.col("obfuscated"))["escalate"]
+        & (F.col("policy")["mode"] != "off"),
+        F.lit(False),
     )
-    return (
-        df.withColumn("_tier", tier)
-        .join(first_valid_answers(responses, models), "request_id", "left")
-        .withColumn("injection", F.when(policy["mode"] != "off", result))
-        .drop("_tier", "answer")
+    cheap = answered_injection(heuristic_answer(), F.lit(False))
+    settled = df.where(~ask).withColumns(
+        {
+            "answered_by": F.lit(None).cast("string"),
+            "injection": F.when(F.col("policy")["mode"] != "off", cheap),
+        }
     )
+    asked = df.where(ask).join(first_valid_answers(responses, models), "request_id", "left")
+    taken = F.when(
+        F.col("answered_by").isNotNull(), answered_injection(F.col("answer"), F.lit(True))
+    ).otherwise(skipped_injection())
+    return settled.unionByName(asked.withColumn("injection", taken).drop("answer"))

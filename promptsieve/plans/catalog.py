@@ -16,7 +16,7 @@ from ..functions.text import nfkc, sanitize, utf16_length
 from ..operators import audit as A
 from ..operators import metrics as M
 from ..operators import ratelimit as R
-from ..operators import replay as RP
+from . import replay as RP
 from ..operators import validate as V
 from ..operators.evidence import evidence
 from ..operators.injection import escalation, with_ingested_injection, with_injection
@@ -37,7 +37,7 @@ from ..streaming.screening import (
 )
 from . import workloads as WL
 from .screening import audit_rows, screen, screen_all
-from .verify import verify
+from .verify import OUTCOME, classify, verify
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -215,33 +215,9 @@ def dq_verdict_violations(spark, d):
 
 
 def _outcomes(spark, d) -> DataFrame:
-    requests = WL.faulty_traffic(spark, d)
-    limited = R.rate_limit(
-        requests.select("request_id", "ts", "client_id", "ip"), WL.LIMITS
-    ).select("request_id", "scope", "retry_after_seconds")
-    assessed = (
-        ingest.flatten_assessments(WL.raw_assessments(spark, d))
-        .where(F.col("guardrail").isNotNull())
-        .select("request_id", F.lit(True).alias("assessed"))
-    )
-    checked = requests.select("request_id", "policy_id", V.request_issues().alias("issues"))
-    known = POL.attach_policy(checked, POL.bundled_policies(), "left")
-    return (
-        known.join(limited, "request_id", "left")
-        .join(assessed, "request_id", "left")
-        .select(
-            "request_id",
-            V.outcome(
-                retry_after=F.col("retry_after_seconds"),
-                scope=F.col("scope"),
-                issues=F.col("issues"),
-                policy_id=F.col("policy_id"),
-                policy_known=F.col("policy").isNotNull(),
-                guardrail_ok=F.coalesce("assessed", F.lit(False)),
-            ).alias("o"),
-        )
-        .select("request_id", "o.*")
-    )
+    assessments = ingest.flatten_assessments(WL.raw_assessments(spark, d))
+    classified = classify(WL.faulty_traffic(spark, d), WL.LIMITS, assessments=assessments)
+    return classified.select("request_id", *OUTCOME)
 
 
 @_query
@@ -462,8 +438,7 @@ def inj_fail_open(spark, d):
     judged = with_ingested_injection(evidence(asked), answers, WL.MODELS)
     i = F.col("injection")
     return judged.select(
-        "request_id", F.when(i["escalated"], F.col("answered_by")).alias("answered_by"),
-        i["skipped"].alias("skipped"), i["escalated"].alias("escalated"),
+        "request_id", "answered_by", i["skipped"].alias("skipped"), i["escalated"].alias("escalated"),
         i["detected"].alias("detected"), i["confidence"].alias("confidence"),
     )
 
@@ -482,9 +457,10 @@ def inj_scorer(spark, d):
 @_query
 def guardrail_fail_closed(spark, d):
     """Verdicts from stored assessments; without one there is a 503 and no verdict."""
-    asked = evidence(POL.attach_policy(WL.traffic(spark, d, spread=True), POL.bundled_policies()))
+    asked = POL.attach_policy(WL.traffic(spark, d), POL.bundled_policies())
     assessments = ingest.flatten_assessments(WL.raw_assessments(spark, d))
-    judged = combine(with_injection(ingest.with_ingested_guardrail(asked, assessments)))
+    found = evidence(ingest.with_assessment(asked, assessments))
+    judged = combine(with_injection(ingest.located_guardrail(found)))
     span_ends = F.aggregate(
         "matches", F.lit(0), lambda acc, m: acc + F.coalesce(m["span"]["end"], F.lit(0))
     )
@@ -696,14 +672,19 @@ def replay_pairs(spark, d):
     )
 
 
+def _decision_pairs(spark, d) -> DataFrame:
+    columns = ("policy_id", "decision")
+    return A.replay_pairs(A.resolved(_audit(spark, d), columns), columns)
+
+
 @_query
 def replay_transitions(spark, d):
-    return RP.transitions(A.replay_pairs(_audit(spark, d), ("policy_id", "decision")))
+    return RP.transitions(_decision_pairs(spark, d))
 
 
 @_query
 def replay_transition_matrix(spark, d):
-    return RP.transition_matrix(A.replay_pairs(_audit(spark, d), ("policy_id", "decision")))
+    return RP.transition_matrix(_decision_pairs(spark, d))
 
 
 @_query
@@ -933,8 +914,13 @@ def _drain(query) -> None:
 
 @_query
 def stream_screen(spark, d):
+    """The log arrives in files, a few to a micro-batch; each file is a task of its own."""
     out, checkpoint = scratch(spark, "stream"), scratch(spark, "checkpoint")
-    verdicts = screen_stream(WL.as_traffic(_events_stream(spark, d)))
+    source, files = scratch(spark, "log"), spark.sparkContext.defaultParallelism
+    events = spark.read.parquet(f"{d}/events.parquet")
+    events.repartition(max(3 * files, events.count() >> 20)).write.parquet(source)
+    stream = read_stream(spark, source, WL.TRAFFIC_DDL, files)
+    verdicts = screen_stream(WL.as_traffic(stream))
     rows = verdicts.select("request_id", "policy_id", "decision", "reason", "redacted_prompt")
     _drain(file_sink(rows, out, checkpoint))
     return spark.read.parquet(out)

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..plans.screening import audit_rows, screen, screen_all
+from ..operators.validate import replay_request_issues, title_of
 from ..sources.policies import Policy, bundled_policies
-from .validate import replay_request_issues, title_of
+from .screening import audit_rows, screen, screen_all
 
 _CARRIED = ("prompt", "app_id", "context")
 

@@ -12,7 +12,7 @@ from ..operators import validate as V
 from ..operators.evidence import evidence
 from ..operators.injection import Scorer, with_injection
 from ..operators.verdict import combine
-from ..sources.ingest import with_ingested_guardrail
+from ..sources.ingest import located_guardrail, with_assessment
 from ..sources.policies import Policy, attach_policy, bundled_policies
 from ..sources.scratch import scratch
 from .screening import WORK, screen
@@ -50,12 +50,13 @@ def classify(
     outcome = V.outcome(
         retry_after=F.col("_retry"),
         scope=F.col("scope"),
-        issues=V.request_issues(),
+        issues=F.col("_issues"),
         policy_id=wanted,
         policy_known=wanted.isin(known),
         guardrail_ok=F.coalesce("_ok", F.lit(True)),
     )
-    return requests.join(found, "request_id", "left").select(
+    checked = requests.withColumn("_issues", V.request_issues())
+    return checked.join(found, "request_id", "left").select(
         *requests.columns, outcome.alias("_o")
     ).select(*requests.columns, "_o.*")
 
@@ -88,6 +89,7 @@ def verify(
     accepted = V.with_defaults(accepted.drop(*OUTCOME))
     if assessments is None:
         return screen(accepted, policies, scorer), refused
-    found = evidence(attach_policy(accepted, bundled_policies() if policies is None else policies))
-    judged = combine(with_injection(with_ingested_guardrail(found, assessments), scorer))
+    asked = attach_policy(accepted, bundled_policies() if policies is None else policies)
+    found = located_guardrail(evidence(with_assessment(asked, assessments)))
+    judged = combine(with_injection(found, scorer))
     return judged.drop(*WORK), refused

@@ -138,13 +138,19 @@ def flatten_assessments(raw: DataFrame) -> DataFrame:
     )
 
 
-def with_ingested_guardrail(df: DataFrame, assessments: DataFrame) -> DataFrame:
+def with_assessment(requests: DataFrame, assessments: DataFrame) -> DataFrame:
     """Add the stored guardrail result of each request, NULL where there is none.
 
-    `df` holds `normalized`; matches are located in it.
+    Join before `evidence`: the shuffle then carries a prompt once, and neither its cleaned
+    form nor what was detected in it.
     """
     readable = assessments.where(F.col("guardrail").isNotNull()).select("request_id", "guardrail")
-    return df.join(readable, "request_id", "left").withColumn(
+    return requests.join(readable, "request_id", "left")
+
+
+def located_guardrail(found: DataFrame) -> DataFrame:
+    """Evidence rows with the matches of their stored `guardrail` located in `normalized`."""
+    return found.withColumn(
         "guardrail",
         F.when(
             F.col("guardrail").isNotNull(), add_spans(F.col("guardrail"), F.col("normalized"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators.skew import lookup_join
+from ..operators.skew import hot_keys, lookup_join
 
 DOCUMENT_DDL = (
     "id string, description string, guardrailId string, guardrailVersion string, "
@@ -156,14 +156,15 @@ def attach_policy(
         dim = F.broadcast(policy_frame(df.sparkSession, policies))
         return wanted.join(dim.withColumnRenamed("id", "policy_id"), "policy_id", how)
     dim = policies if isinstance(policies, DataFrame) else policy_frame(df.sparkSession, policies)
-    # Rows that name no policy may be most of them: `default` goes by broadcast, and they
-    # are scattered in the shuffle for the rest.
+    # Hot policies, and `default` for the rows that name none, go by broadcast; their rows
+    # are scattered in the shuffle for the rest.  A stream cannot be counted beforehand.
+    often = [] if df.isStreaming else hot_keys(wanted, "policy_id")
     spread = [c for c in wanted.columns if c != "policy_id"] or ["policy_id"]
     found = lookup_join(
         wanted,
         dim.select(F.col("id").alias("policy_id"), "policy"),
         ["policy_id"],
-        hot=F.col("policy_id") == "default",
+        hot=F.col("policy_id").isin("default", *often),
         spread=spread[:2],
     )
     return found.where(F.col("policy").isNotNull()) if how == "inner" else found

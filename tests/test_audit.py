@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from promptsieve import audit_rows, read_audit, replay_all, replay_requested, screen, write_audit
 from promptsieve.operators import audit as A
 from promptsieve.operators import metrics as M
-from promptsieve.operators import replay as RP
+from promptsieve.plans import replay as RP
 from promptsieve.operators.skew import hot_keys, lookup_join
 from promptsieve.sources import audit_store
 from promptsieve.sources.audit_store import compact, read_recent, read_writes, vacuum

@@ -105,6 +105,24 @@ def test_a_policy_table_gives_the_same_verdicts(spark):
     assert [r.detail for r in POL.unknown_policy(df, table).collect()] == ["Unknown policy: 'ghost'"]
 
 
+def test_hot_policies_of_a_table_are_broadcast(spark, monkeypatch):
+    """A policy that half of the rows ask for never gets a shuffle partition of its own."""
+    seen = []
+    joined = POL.lookup_join
+    monkeypatch.setattr(POL, "lookup_join", lambda *a, **k: seen.append(k["hot"]) or joined(*a, **k))
+    half = F.col("id") % 2 == 0
+    df = spark.range(4000).select(
+        F.col("id").cast("string").alias("request_id"), F.lit("hello").alias("prompt"),
+        F.when(half, "strict").when(F.col("id") < 3000, F.concat(F.lit("p"), "id")).alias("policy_id"),
+    )
+    table = POL.policy_frame(spark, POL.bundled_policies())
+    found = POL.attach_policy(df, table)
+    assert {(r.policy_id, r["count"]) for r in found.groupBy("policy_id").count().collect()} == {
+        ("strict", 2000), ("default", 500)}
+    assert "strict" in str(seen[0]) and "p1" not in str(seen[0])
+    assert POL.unknown_policy(df, table).count() == 1500
+
+
 def test_bindings(spark):
     settings = spark.createDataFrame(
         [("GUARDRAIL_STRICT_ID", "g1"), ("GUARDRAIL_STRICT_VERSION", "7"), ("GUARDRAIL_DEFAULT_ID", "g2"),
