@@ -95,6 +95,41 @@ def _keys(text: Column, min_chars: int) -> Column:
     return F.transform(_lines(lowered(text)), key)
 
 
+def _placed(keyed: DataFrame) -> DataFrame:
+    """(doc, mark, h1, h2, at, first): a row per line that counts, with its number in the
+    document and whether it is the first of its key there.
+
+    Sorting the keys of a document puts equal ones side by side, so a document costs its
+    lines times their logarithm, not their square.
+    """
+    placed = F.transform(
+        "keys", lambda k, at: F.when(k.isNotNull(), F.struct(k["h1"].alias("h1"), k["h2"].alias("h2"), at.alias("at")))
+    )
+    ordered = keyed.select("doc", "mark", F.sort_array(F.filter(placed, F.isnotnull)).alias("s"))
+    ordered = ordered.where(F.size("s") > 0)
+    none = F.filter(F.slice("s", 1, 1), lambda k: F.lit(False))  # typed and empty
+    before = F.concat(F.array(F.get(none, F.lit(0))), F.slice("s", F.lit(1), F.size("s") - 1))
+    marked = F.zip_with(
+        "s",
+        before,
+        lambda k, p: F.struct(
+            k["h1"].alias("h1"), k["h2"].alias("h2"), k["at"].alias("at"),
+            F.coalesce((k["h1"] != p["h1"]) | (k["h2"] != p["h2"]), F.lit(True)).alias("first"),
+        ),
+    )
+    return ordered.select("doc", "mark", F.explode(marked).alias("k")).select("doc", "mark", "k.*")
+
+
+def _stays(at: Column) -> Column:
+    """Whether lines 0, 1, ... stay, up to the last that goes; `at` are those that go, ascending."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(at, F.lit(1), F.size(at) - 1))
+    return F.flatten(
+        F.zip_with(
+            at, before, lambda x, p: F.concat(F.array_repeat(F.lit(True), x - p - 1), F.array(F.lit(False)))
+        )
+    )
+
+
 def dedup_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """The documents with shared lines taken out of `text`, plus n_lines and n_dropped.
 
@@ -109,14 +144,12 @@ def dedup_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
     )
     text, doc = F.col("row.text"), F.col("row.doc_id").cast("string").alias("doc")
     name = [doc, F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark")]
-    pairs = held.select(
-        *name,
-        F.explode(F.array_distinct(F.filter(_keys(text, params.min_chars), F.isnotnull))).alias("k"),
-    ).select("doc", "mark", "k.h1", "k.h2")
-    pairs = materialize(
-        pairs.withColumn("batch", F.pmod(F.xxhash64("doc", "mark"), F.lit(params.batches)).cast("int")),
+    lines = _placed(held.select(*name, _keys(text, params.min_chars).alias("keys")))
+    lines = materialize(
+        lines.withColumn("batch", F.pmod(F.xxhash64("doc", "mark"), F.lit(params.batches)).cast("int")),
         "lines",
     )
+    pairs = lines.where("first")
     runs = Runs(params.min_docs, params.fan)
     for number in range(params.batches):
         runs.add(pairs.where(F.col("batch") == number))
@@ -127,26 +160,18 @@ def dedup_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
     limit = max(params.min_docs, int(pairs.count() * HOT_SHARE / params.batches))
     exact = frequent.withColumn("often", F.col("docs") >= limit)
     gone = lookup_join(
-        pairs.select("doc", "mark", *KEY), exact.select(*KEY, "often"), KEY, F.col("often"),
+        lines.select("doc", "mark", "at", *KEY), exact.select(*KEY, "often"), KEY, F.col("often"),
         ["doc", "mark"], "inner",
     )
-    gone = gone.groupBy("doc", "mark").agg(
-        F.collect_set(F.struct(*KEY)).alias("gone")
-    )
+    gone = gone.groupBy("doc", "mark").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    gone = gone.select("doc", "mark", _stays(F.col("at")).alias("stays"))
     found = held.select("row", *name).alias("d").join(
         gone.alias("g"), F.expr("d.doc <=> g.doc and d.mark = g.mark"), "left"
-    ).select("row", "gone")
-    kept = F.filter(
-        F.zip_with(
-            _lines(text),
-            _keys(text, params.min_chars),
-            lambda line, key: F.struct(line.alias("line"), key.alias("key")),
-        ),
-        lambda x: x["key"].isNull() | ~F.array_contains(F.col("gone"), x["key"]),
-    )
+    ).select("row", "stays")
+    kept = F.filter(_lines(text), lambda line, at: F.coalesce(F.get("stays", at), F.lit(True)))
     found = found.withColumn("total", F.size(_lines(text)).cast("long")).withColumn(
         "kept",
-        F.when(F.col("gone").isNotNull(), F.transform(kept, lambda x: x["line"])),
+        F.when(F.col("stays").isNotNull(), kept),
     )
     shorter = F.when(F.col("kept").isNull(), F.coalesce(text, F.lit(""))).otherwise(
         F.array_join("kept", "\n")

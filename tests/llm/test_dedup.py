@@ -128,6 +128,20 @@ def test_shared_lines(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_long_documents_share_their_lines(spark):
+    """Many lines to drop in each document, at its start, inside and at its end."""
+    shared = [f"shared line {i}" for i in range(6000)]
+    draw = random.Random(5)
+    texts: dict = {}
+    for k in range(12):
+        own = shared + [f"own {k} {i}" for i in range(500)] + ["SHARED line 1"] * 20
+        draw.shuffle(own)
+        texts[k] = "\n".join(own)
+    texts[12] = "\n".join(shared)
+    found = line_dedup.dedup_lines(_frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped, brute.sha(r.text)) for r in found} == brute.lines(texts, 10)
+
+
 def test_repeated_rows_are_documents(spark):
     docs = spark.createDataFrame([(1, "a\nb", 0)] * 9 + [(None, "a", 0), (None, None, 0)], DOCS)
     found = line_dedup.dedup_lines(docs).collect()
