@@ -105,8 +105,13 @@ def _number(hexadecimal: Column) -> Column:
     return F.conv(hexadecimal, 16, 10).cast("long")
 
 
-def mix_sources(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken.
+#: What the mix says of a document.
+MIX = ("size", "source_size", "target", "passes", "spans", "taken")
+
+
+def mix_sources(docs: DataFrame, params: Params = Params(), key: str = "doc_id") -> DataFrame:
+    """Per document: `key`, source, and MIX: the mix takes all of its words `passes` times and,
+    once more, those of `spans` (first, stop; words counted from 0, ascending).
 
     size counts words (0 for null); `taken` counts the words the mix takes, repeats
     included, never above `epochs` * size.  A null source is a source of its own, after all
@@ -114,9 +119,11 @@ def mix_sources(docs: DataFrame, params: Params = Params()) -> DataFrame:
     that share doc_id and size can stand for each other, and a null doc_id counts as ''.
     Empty documents take nothing.  Other columns are ignored.
     """
+    own = [key] if key != "doc_id" else []
     digest = F.md5(F.concat(F.lit(f"mix-{params.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = materialize(
         docs.select(
+            *own,
             "doc_id",
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -176,16 +183,55 @@ def mix_sources(docs: DataFrame, params: Params = Params()) -> DataFrame:
     placed = placed.join(quotas, ["rank", "shard"]).withColumn("start", F.col("stop") - F.col("size"))
     b = params.block
     first, last = F.floor(F.col("start") / b), F.floor((F.col("stop") - 1) / b)
-    chosen = F.aggregate(
-        F.sequence(first, last),
-        F.lit(0).cast("long"),
-        lambda total, k: total
-        + F.when(
-            F.pmod(k * F.col("factor") + F.col("offset"), F.col("blocks")) < F.col("rest"),
-            F.least("stop", (k + 1) * b) - F.greatest("start", k * b),
-        ).otherwise(F.lit(0)),
+    spans = F.filter(
+        F.transform(
+            F.filter(
+                F.sequence(first, last),
+                lambda k: F.pmod(k * F.col("factor") + F.col("offset"), F.col("blocks")) < F.col("rest"),
+            ),
+            lambda k: F.struct(
+                (F.greatest("start", k * b) - F.col("start")).alias("first"),
+                (F.least("stop", (k + 1) * b) - F.col("start")).alias("stop"),
+            ),
+        ),
+        lambda s: s["stop"] > s["first"],
     )
-    out = ["doc_id", "source", "size", "source_size", "target"]
-    return placed.select(*out, (F.col("passes") * F.col("size") + chosen).cast("long").alias("taken")).union(
-        known.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken"))
+    out = [key, "source", "size", "source_size", "target"]
+    mixed = placed.select(*out, F.col("passes").cast("long").alias("passes"), spans.alias("spans")).union(
+        known.where("size = 0").select(
+            *out, F.lit(0).cast("long"), F.expr("cast(array() as array<struct<first:bigint,stop:bigint>>)")
+        )
+    )
+    once = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])
+    return mixed.withColumn("taken", F.col("passes") * F.col("size") + once)
+
+
+def mix_documents(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """The mix itself: the rows of `docs` it takes words of, with their columns and MIX.
+
+    Columns of `docs` called like one of MIX are replaced.  `mixed_words` gives the words.
+    Rows are known by a number of their own, so repeated ones and null ids keep their texts.
+    """
+    number = "row"
+    while number in docs.columns:
+        number += "_"
+    held = [c for c in docs.columns if c not in MIX]
+    numbered = materialize(
+        docs.select(*[f"`{c}`" for c in held], F.monotonically_increasing_id().alias(number)), "mix"
     )
+    mixed = mix_sources(numbered, params, number).where("taken > 0").select(number, *MIX)
+    return numbered.join(mixed, number).select(*[f"`{c}`" for c in held], *MIX)
+
+
+def mixed_words(text: Column, passes: Column, spans: Column) -> Column:
+    """The words the mix takes of a text, as an array: whole passes, then its spans."""
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+
+    def taken(w: Column) -> Column:
+        parts = F.transform(
+            spans, lambda s: F.slice(w, (s["first"] + 1).cast("int"), (s["stop"] - s["first"]).cast("int"))
+        )
+        return F.concat(F.flatten(F.array_repeat(w, passes.cast("int"))), F.flatten(parts))
+
+    # As a variable the words are found once, not once for each span.
+    return F.flatten(F.transform(F.array(words), taken))

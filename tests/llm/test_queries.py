@@ -49,6 +49,30 @@ def test_mixing_odd_rows(spark, tmp_path, rows):
         assert abs(found["taken"].sum() - found["size"].sum()) < 0.01 * found["size"].sum()
 
 
+def test_the_mix_can_be_rebuilt(spark):
+    """The words a document gives are its passes and spans, cut from the text."""
+    from pyspark.sql import functions as F
+
+    from promptsieve.llm.mixing import MIX, Params, mix_documents, mix_sources, mixed_words
+
+    rows = [(i, " ".join(f"w{i}-{k}" for k in range(i % 90)), f"s{i * i % 5}", 1) for i in range(300)]
+    rows += [(5000, "long " * 3000, None, 1), (None, "no id", "s1", 1), (None, None, "s1", 1), (7, rows[7][1], "s4", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, taken int").withColumn("row", F.lit("x"))
+    params = Params(block=16, shard=2000)
+    mixed = mix_documents(docs, params)
+    assert mixed.columns == ["doc_id", "text", "source", "row", *MIX]
+    words = mixed_words(F.col("text"), F.col("passes"), F.col("spans"))
+    taken = 0
+    for r in mixed.withColumn("words", words).collect():
+        own = r.text.split()
+        want = own * r.passes + [w for s in r.spans for w in own[s.first : s.stop]]
+        assert r.words == want and len(want) == r.taken > 0
+        assert all(s.stop <= t.first for s, t in zip(r.spans, r.spans[1:]))
+        taken += r.taken
+    assert taken == mix_sources(docs, params).agg(F.sum("taken")).first()[0]
+    assert mix_documents(docs.limit(0), params).count() == 0
+
+
 def test_sainte_lague(spark):
     """Against dealing seats one by one to the highest quotient."""
     from promptsieve.llm.mixing import sainte_lague
