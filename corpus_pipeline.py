@@ -42,8 +42,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to target weights: how many words of each document the mix takes."""
-    return mixing.mix_sources(docs)
+    """Sources mixed to target weights: the documents the mix takes words of, with the whole
+    passes and the spans of words it takes."""
+    return mixing.mix_documents(docs)
 
 
 STAGES = [
