@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from promptsieve.llm import chat, context_tree, decontaminate, factorization, quality, toxicity
+from promptsieve.llm import chat, context_tree, decontaminate, factorization, mixing, quality, toxicity
 from promptsieve.llm.queries import QUERIES
 
 from . import brute
@@ -358,12 +358,16 @@ def test_pipeline(spark):
     items = [brute.words(r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     kept = docs.columns
     for (_, stage), kind in zip(corpus_pipeline.STAGES, ("quality", "lines", "near", "items", "mix")):
-        before = {r.doc_id: r.text for r in docs.collect()}
+        before_docs, before = docs, {r.doc_id: r.text for r in docs.collect()}
         docs = corpus_pipeline.materialize(stage(spark, docs, SF_DIR), "test")
         after = {r.doc_id: r for r in docs.collect()}
         if kind == "mix":
-            assert set(after) == set(before)
-            assert all(r.size == len(brute.words(before[k])) and 0 <= r.taken <= 3 * r.size for k, r in after.items())
+            known = {r.doc_id: r for r in mixing.mix_sources(before_docs).collect()}
+            assert set(known) == set(before) and set(after) == {k for k, r in known.items() if r.taken}
+            assert docs.columns == [*kept, *mixing.MIX]
+            for k, r in after.items():
+                assert r.size == len(brute.words(before[k])) and 0 < r.taken <= 3 * r.size
+                assert (r.text, r.taken, r.spans) == (before[k], known[k].taken, known[k].spans)
             continue
         assert docs.columns == kept
         if kind == "quality":
