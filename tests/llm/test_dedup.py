@@ -177,6 +177,23 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_copies_of_a_vector(spark):
+    """Copies in several tiles, repeated rows, one vec_id with two vectors, clashing columns."""
+    base, far = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.0, 0.0]
+    rows = [(k, base, "x") for k in range(50, 90)] + [(60, base, "x")] * 5
+    rows += [(5, [1.0, 0.0, 0.05, 0.1], "x"), (6, far, "x"), (7, far, "x"), (8, base, "y"), (9, far, None)]
+    rows += [(100, base, "z"), (100, far, "z"), (101, base, "z"), (102, far, "z"), (None, base, "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    frame = frame.withColumns({"row": F.lit(1), "h1": F.lit("h"), "many": F.lit(None), "v": F.lit("v")})
+    for tile in (8192, 1):
+        found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in
+                 embedding_dedup.near_duplicates(frame, embedding_dedup.Params(tile=tile)).collect()}
+        assert all(found[k] == (40, 5, False) for k in range(50, 90)) and found[5] == (40, 5, True)
+        assert (found[6], found[7]) == ((1, 6, True), (1, 6, False))
+        assert (found[8], found[9], found[None]) == ((0, 8, True), (0, 9, True), (0, None, True))
+        assert (found[100], found[101], found[102]) == ((2, 100, True), (1, 100, False), (1, 100, False))
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     frame = spark.createDataFrame(links, "a long, b long")
