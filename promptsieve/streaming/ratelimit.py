@@ -14,6 +14,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -96,6 +97,8 @@ def rate_limit_stream(
 # --- keyed state --------------------------------------------------------------------------
 
 USER, ADDRESS = 0, 1
+#: Slots that the identities of a day are dealt to by their hash; fixed for a checkpoint.
+SLOTS = 64
 _COUNTED = (
     "request_id string, ts timestamp, client_id string, ip string, kind int, tier int, "
     "late boolean, retry_after_seconds bigint"
@@ -105,12 +108,13 @@ _NO_DAY = -(1 << 40)  # a null would turn its whole column into floats on the wa
 
 
 class DayCounter(StatefulProcessor):
-    """What one user or address has asked for on one day: the day's count and those of its
-    hours.  A timer drops them when the day is over.
+    """What the users or addresses of one slot have asked for on one day: per identity the
+    day's count and those of its hours.  A timer drops them when the day is over.
 
-    Within a batch the first requests by (ts, request_id) that a limit leaves room for are
-    allowed.  Rows that can no longer be among them are told at once, so a key with very
-    many requests needs memory for about `most` rows.
+    A slot is worked off as arrays: a call of Python, a read and a write of state serve all
+    its identities.  Within a batch the first requests of an identity by (ts, request_id)
+    that a limit leaves room for are allowed.  Rows that can no longer be among them are told
+    at once, so very many requests of one identity need memory for about `most` rows.
     """
 
     def __init__(self, limits: RateLimits, most: int = 10_000):
@@ -122,7 +126,7 @@ class DayCounter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.used = handle.getValueState("used", "used array<bigint>")  # hours, then the day
+        self.used = handle.getValueState("used", "used binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kind, _, day = key
@@ -138,40 +142,46 @@ class DayCounter(StatefulProcessor):
         resets = np.append(day * DAY + HOUR * np.arange(1, _HOURS + 1), (day + 1) * DAY)
         over = resets <= newest
         known = self.used.get() if not over[-1] else None
-        used = np.array(known[0] if known else [0] * (_HOURS + 1), np.int64)
+        places, used = _unpacked(known[0]) if known else ({}, np.zeros((0, _HOURS + 1), np.int64))
         limits = np.append(np.full(_HOURS, self.limits[kind][0]), self.limits[kind][1])
-        free = np.where(over, np.iinfo(np.int64).max, np.maximum(limits - used, 0))
-        held, seen = None, np.zeros(_HOURS + 1, np.int64)
+        held, seen, most = None, np.zeros_like(used), self.most
         for part in rows:
+            codes, names = pd.factorize(part["client_id" if kind == USER else "ip"], use_na_sentinel=False)
+            own = np.array([places.setdefault(None if pd.isna(w) else w, len(places)) for w in names])[codes]
             hour = part["second"].to_numpy() % DAY // HOUR
-            seen += np.append(np.bincount(hour, minlength=_HOURS), len(part))
+            more = ((0, len(places) - len(used)), (0, 0))
+            used, seen = np.pad(used, more), np.pad(seen, more)
+            np.add.at(seen, (own, hour), 1)
+            np.add.at(seen, (own, _HOURS), 1)
+            part = part.assign(_own=own, _hour=hour)
             held = part if held is None else pd.concat([held, part])
-            if len(held) > self.most:
-                held, denied = self._ranked(held, free)
-                gone = denied.all(axis=0)
+            if len(held) > most:
+                held, denied = self._ranked(held, self._free(used, limits, over))
+                gone = (denied[0] | over[held["_hour"]]) & (denied[1] | over[-1])
                 yield from self._told(kind, held[gone], denied[:, gone], over, resets)
                 held = held[~gone]
+                most = max(self.most, 2 * len(held))  # sorted again only once it has doubled
         if held is not None:
-            held, denied = self._ranked(held, free)
+            held, denied = self._ranked(held, self._free(used, limits, over))
             yield from self._told(kind, held, denied, over, resets)
         if over[-1]:
             return
         if not known:
             self.handle.registerTimer(int(resets[-1]) * 1000)
-        self.used.update(((used + np.where(over, 0, seen)).tolist(),))
+        self.used.update((_packed(places, used + np.where(over, 0, seen)),))
+
+    @staticmethod
+    def _free(used: np.ndarray, limits: np.ndarray, over: np.ndarray) -> np.ndarray:
+        return np.where(over, np.iinfo(np.int64).max, np.maximum(limits - used, 0))
 
     @staticmethod
     def _ranked(rows: pd.DataFrame, free: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
         """Rows in order, and whether their hour and their day have no room for them."""
         if len(rows) > 1:
             rows = rows.sort_values(["ts", "request_id"], kind="stable")
-        hour = rows["second"].to_numpy() % DAY // HOUR
-        rank = np.arange(len(rows))
-        by_hour = np.argsort(hour, kind="stable")
-        size = np.bincount(hour, minlength=_HOURS)
-        in_hour = np.empty(len(rows), np.int64)
-        in_hour[by_hour] = rank - np.repeat(np.cumsum(size) - size, size)
-        return rows, np.stack([in_hour >= free[hour], rank >= free[-1]])
+        own, hour = rows["_own"].to_numpy(), rows["_hour"].to_numpy()
+        in_hour, in_day = _places(own * _HOURS + hour), _places(own)
+        return rows, np.stack([in_hour >= free[own, hour], in_day >= free[own, -1]])
 
     @staticmethod
     def _told(kind, rows: pd.DataFrame, denied, over, resets) -> Iterator[pd.DataFrame]:
@@ -181,8 +191,7 @@ class DayCounter(StatefulProcessor):
             rows, denied = rows[some], denied[:, some]
         if not len(rows):
             return
-        second = rows["second"].to_numpy()
-        hour = second % DAY // HOUR
+        second, hour = rows["second"].to_numpy(), rows["_hour"].to_numpy()
         reset = np.where(denied[0], resets[hour], resets[-1])
         tier = pd.array(np.where(denied[0], 2 * kind, 2 * kind + 1), dtype="Int32")
         tier[~denied.any(axis=0)] = pd.NA
@@ -203,8 +212,40 @@ class DayCounter(StatefulProcessor):
         pass
 
 
-def count_keyed(requests: DataFrame, limits: RateLimits = RateLimits()) -> DataFrame:
-    """The user and address tiers of a stream of requests, by keyed state.
+def _places(group: np.ndarray) -> np.ndarray:
+    """The place of each row among those of its group, from 0, in the order of the rows."""
+    order = np.argsort(group, kind="stable")
+    _, first, size = np.unique(group[order], return_index=True, return_counts=True)
+    place = np.empty(len(group), np.int64)
+    place[order] = np.arange(len(group)) - np.repeat(first, size)
+    return place
+
+
+def _packed(places: dict, used: np.ndarray) -> bytes:
+    """The counts of a slot's identities that are not 0, in Arrow's stream format."""
+    who, place = np.nonzero(used)
+    names = pa.DictionaryArray.from_arrays(who.astype(np.int32), pa.array(list(places), pa.string()))
+    batch = pa.record_batch({"who": names, "place": place.astype(np.int8), "n": used[who, place]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(stored: bytes) -> tuple[dict, np.ndarray]:
+    batch = pa.ipc.open_stream(bytes(stored)).read_next_batch()
+    who = batch.column("who")
+    places = {name: i for i, name in enumerate(who.dictionary.to_pylist())}
+    used = np.zeros((len(places), _HOURS + 1), np.int64)
+    used[who.indices.to_numpy(), batch.column("place").to_numpy()] = batch.column("n").to_numpy()
+    return places, used
+
+
+def count_keyed(
+    requests: DataFrame, limits: RateLimits = RateLimits(), slots: int = SLOTS
+) -> DataFrame:
+    """The user and address tiers of a stream of requests, by keyed state: one key per slot of
+    identities and day, as a key costs Python a call and several messages.
 
     The watermark is the newest instant of earlier batches.  It is not a column of what the
     state sees, so requests older than it are not dropped: they count as long as their
@@ -225,9 +266,10 @@ def count_keyed(requests: DataFrame, limits: RateLimits = RateLimits()) -> DataF
             "client_id", "ip", F.coalesce(bucket_of(second, F.lit(DAY)), F.lit(_NO_DAY)).alias("day"), who,
         )
         .withColumn("ts", F.timestamp_micros("at"))
-        .drop("at")
+        .withColumn("slot", F.pmod(F.xxhash64("who"), F.lit(slots)))
+        .drop("at", "who")
     )
-    return rows.groupBy("kind", "who", "day").transformWithStateInPandas(
+    return rows.groupBy("kind", "slot", "day").transformWithStateInPandas(
         DayCounter(limits), _COUNTED, "append", "EventTime"
     )
 

@@ -269,3 +269,22 @@ def test_counts_do_not_depend_on_batches_or_checkpoints(spark, tmp_path):
     assert sum(found[0].values()) == sum(map(len, hours))
     assert sum(n for (_, is_late), n in found[0].items() if is_late) == len(late) == 4
     assert read_window_counts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_identities_of_a_slot_share_their_state(spark, tmp_path):
+    """Keys of the state do not grow with the identities, and what they count stays apart."""
+    start = datetime(2024, 3, 9, 10, 0, tzinfo=timezone.utc)
+    limits = RateLimits(2, 3, 1_000, 1_000, 1_000)
+    folder, out, got = str(tmp_path / "in"), str(tmp_path / "out"), []
+    for n in range(2):
+        rows = [(f"{n}-{u:03d}-{i}", start + timedelta(hours=n, seconds=i), f"u{u}", f"i{u}")
+                for u in range(200) for i in range(3 - n)]
+        spark.createDataFrame(rows, DDL).coalesce(1).write.mode("append").parquet(folder)
+        query = rate_limit_keyed_stream(
+            read_stream(spark, folder, DDL, 1), out, str(tmp_path / "state"), str(tmp_path / "cp"), limits)
+        drained(query)
+        got.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    assert got[0] == got[1] <= 3 * 2 * 64  # the state and its timers, users and addresses
+    scopes = {r.request_id: r.scope for r in spark.read.parquet(out).collect()}
+    assert scopes == {f"0-{u:03d}-{i}": "user/hour" if i == 2 else None for u in range(200) for i in range(3)} | {
+        f"1-{u:03d}-{i}": "user/day" for u in range(200) for i in range(2)}
