@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators.skew import hot_keys, lookup_join
+from .scratch import materialize
 
 DOCUMENT_DDL = (
     "id string, description string, guardrailId string, guardrailVersion string, "
@@ -121,10 +122,15 @@ def policy_issues() -> Column:
     )
 
 
-def read_policies(spark: SparkSession, path: str) -> DataFrame:
-    """Policy documents (one JSON object per file) as (id, policy); fails on a bad one."""
-    docs = spark.read.schema(DOCUMENT_DDL).option("multiLine", True).json(path)
-    bad = docs.select("id", policy_issues().alias("issues")).where(F.size("issues") > 0)
+def read_policies(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Policy documents (one JSON object per file, with `lines` one per line) as (id, policy);
+    fails on a bad one.
+
+    Every file is opened once: what was read is written out as one table.
+    """
+    docs = spark.read.schema(DOCUMENT_DDL).option("multiLine", not lines).json(path)
+    docs = materialize(docs.withColumn("issues", policy_issues()), "policies")
+    bad = docs.select("id", "issues").where(F.size("issues") > 0)
     shown = bad.take(5)
     if shown:
         raise ValueError(

@@ -1,3 +1,5 @@
+import json
+
 from promptsieve import validate
 from promptsieve.operators import validate as V
 from promptsieve.plans.screening import screen
@@ -136,3 +138,23 @@ def test_bindings(spark):
         "strict": "g1", "default": "guard-default", "permissive": "guard-permissive",
     }
     assert POL.rebind(POL.bundled_policies(), {"strict": ("g1", "7")})[0].guardrail_version == "7"
+
+
+def test_policy_files_are_opened_once(spark, tmp_path):
+    """One document a file, or one a line; the files may go once they have been read."""
+    documents = [
+        {"id": f"p{n}", "guardrailId": "g", "guardrailVersion": "1", "redactionStyle": "anonymize",
+         "promptInjection": {"mode": "block", "threshold": 0.5}}
+        for n in range(3)
+    ]
+    single, many = tmp_path / "single", tmp_path / "many"
+    single.mkdir()
+    many.mkdir()
+    for n, doc in enumerate(documents):
+        (single / f"{n}.json").write_text(json.dumps(doc, indent=1))
+    (many / "all.json").write_text("\n".join(json.dumps(doc) for doc in documents))
+    found = POL.read_policies(spark, str(single)), POL.read_policies(spark, str(many), lines=True)
+    for file in tmp_path.glob("*/*.json"):
+        file.unlink()
+    for policies in found:
+        assert sorted((r.id, r.policy.mode) for r in policies.collect()) == [(f"p{n}", "block") for n in range(3)]
