@@ -28,8 +28,9 @@ from .scratch import materialize
 
 #: Segments of one level and day that are merged into one of the next.
 FAN = 16
-#: Superseded writes up to this number are broadcast by address; more are joined by shuffle.
-MAX_BROADCAST = 1 << 16
+#: Superseded writes up to this number are broadcast, as one number each; more are joined by
+#: shuffle.
+MAX_BROADCAST = 1 << 20
 #: Seconds after which replaced files are deleted.
 GRACE = 3_600
 
@@ -240,17 +241,47 @@ def superseded(rows: DataFrame) -> DataFrame:
     )
 
 
-_KNOWN: dict[tuple, tuple[DataFrame, int]] = {}
+_ROW_BITS = 36  # of a place: the number of a file, then the row in it
+
+
+def _places(gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, places): the few files that hold superseded writes, numbered, and the number
+    each of these writes is known by.  A number is a fraction of an address with its name."""
+    files = gone.select(*_ADDRESS[:2]).distinct().coalesce(1)
+    files = materialize(files.withColumn("_file", F.monotonically_increasing_id()), "files")
+    same = [gone[c].eqNullSafe(files[c]) for c in _ADDRESS[:2]]
+    return files, gone.join(F.broadcast(files), same).select(_place().alias("_place"))
+
+
+def _place() -> Column:
+    return F.shiftleft("_file", _ROW_BITS) + F.col("row_index")
+
+
+def _without(
+    rows: DataFrame, gone: DataFrame, files: DataFrame | None, places: DataFrame | None
+) -> DataFrame:
+    """The rows whose address is not among those of `gone`."""
+    if places is None:
+        same = [rows[c].eqNullSafe(gone[c]) for c in _ADDRESS]
+        return rows.join(gone, same, "left_anti")
+    same = [rows[c].eqNullSafe(files[c]) for c in _ADDRESS[:2]]
+    placed = rows.join(F.broadcast(files), same, "left").select(*[rows[c] for c in rows.columns], _place().alias("_place"))
+    return placed.join(F.broadcast(places), "_place", "left_anti")
+
+
+_KNOWN: dict[tuple, tuple] = {}
 
 
 def _superseded(spark: SparkSession, path: str, pairs: frozenset, fixed: Column | None):
-    """The table of superseded addresses and its size, kept for the table as it stands."""
+    """The table of superseded addresses, its size, and what `_places` makes of it if it is to
+    be broadcast; kept for the table as it stands."""
     key = (spark.sparkContext.applicationId, path, pairs)
     if fixed is None and key in _KNOWN:
         return _KNOWN[key]
     rows = _scan(spark, path, pairs)
     found = materialize(superseded(rows if fixed is None else rows.where(fixed)), "superseded")
-    result = found, found.count()
+    many = found.count()
+    result = found, many, *(_places(found) if 0 < many <= MAX_BROADCAST else (None, None))
     if fixed is None:
         if len(_KNOWN) >= 64:
             _KNOWN.clear()
@@ -284,11 +315,9 @@ def read_audit(
     rows = _scan(spark, path, chosen)
     if fixed is not None:
         rows = rows.where(fixed)
-    gone, many = _superseded(spark, path, rivals if chosen else frozenset(), fixed)
+    gone, many, files, places = _superseded(spark, path, rivals if chosen else frozenset(), fixed)
     if many:
-        gone = F.broadcast(gone) if many <= MAX_BROADCAST else gone
-        match = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in _ADDRESS]
-        rows = rows.alias("r").join(gone.alias("g"), match, "left_anti")
+        rows = _without(rows, gone, files, places)
     return rows.select(*S.AUDIT_FIELDS)
 
 

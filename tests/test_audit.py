@@ -271,3 +271,16 @@ def test_stored_evidence_decides_the_same(spark, tmp_path):
     direct = decide(under_all_policies(evidence(df), bundled_policies()))
     rows = lambda d: sorted((r.request_id, r.policy_id, r.decision, r.reason) for r in d.collect())
     assert rows(stored) == rows(direct)
+
+
+def test_very_many_rewrites_leave_the_records_unshuffled(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one = audit_rows(screen(prompts(spark, [("x", 0, "hi", None)])))
+    rows = spark.range(0, 70_000, 1, 2).crossJoin(F.broadcast(one)).withColumn("request_id", F.col("id").cast("string"))
+    rows = rows.withColumn("ts", F.col("ts") + F.make_dt_interval(hours=F.col("id") % 40))
+    write_audit(rows.drop("id"), path, "w", 0, 0)
+    write_audit(rows.drop("id").where("id % 35 > 0").withColumn("app_id", F.lit("new")), path, "w", 1, 1)
+    found = read_audit(spark, path)
+    text = found.select("prompt", "matches")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in text and "SortMergeJoin" not in text
+    assert {r.app_id: r["count"] for r in found.groupBy("app_id").count().collect()} == {"app": 2_000, "new": 68_000}
