@@ -84,31 +84,40 @@ def scorer_udf(scorer: Scorer):
     fail stand alone, so that only these fail open, at a few more calls.
     """
 
-    def safe(prompts: pd.Series, topics: pd.Series) -> pd.DataFrame:
-        try:
-            return scorer(prompts, topics).set_axis(prompts.index, axis=0)
-        except Exception as error:
-            failed = error
-        if len(prompts) > 1:
-            half = len(prompts) // 2
-            return pd.concat(
-                [safe(prompts.iloc[part], topics.iloc[part]) for part in (slice(half), slice(half, None))]
-            )
-        logging.getLogger(__name__).warning("scorer failed open: %r", failed)
-        return pd.DataFrame(index=prompts.index)
+    names = ("detected", "confidence", "indicators", "topic_scores")
+
+    def answered(prompts: pd.Series, topics: pd.Series) -> Iterator[tuple[int, dict[str, list]]]:
+        """(place of the first row, answers) of the parts that were answered."""
+        parts, failed, why = [(0, len(prompts))], 0, None
+        while parts:
+            start, end = parts.pop()
+            try:
+                answers = scorer(prompts.iloc[start:end], topics.iloc[start:end])
+                if len(answers) != end - start:
+                    raise ValueError(f"{len(answers)} answers to {end - start} prompts")
+                columns = {name: list(answers.get(name, ())) for name in names}
+            except Exception as error:
+                if end - start > 1:
+                    half = (start + end) // 2
+                    parts += [(half, end), (start, half)]
+                else:
+                    failed, why = failed + 1, error
+                continue
+            yield start, columns
+        if failed:
+            logging.getLogger(__name__).warning("scorer failed open for %d rows, last: %r", failed, why)
 
     @F.pandas_udf(_ANSWER)
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        names = ("detected", "confidence", "indicators", "topic_scores")
         for prompts, topics in batches:
             asked = [i for i, wanted in enumerate(prompts.notna()) if wanted]
             out = {name: [None] * len(prompts) for name in names}
             if asked:
-                answers = safe(prompts.iloc[asked], topics.iloc[asked])
-                for name in names:
-                    for i, value in zip(asked, answers.get(name, ())):
-                        if not (isinstance(value, float) and value != value):  # NaN: no answer
-                            out[name][i] = value
+                for start, answers in answered(prompts.iloc[asked], topics.iloc[asked]):
+                    for name in names:
+                        for i, value in zip(asked[start:], answers[name]):
+                            if not (isinstance(value, float) and value != value):  # NaN: no answer
+                                out[name][i] = value
             yield pd.DataFrame(out, columns=names, dtype=object)
 
     return score

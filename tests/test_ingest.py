@@ -179,3 +179,36 @@ def test_a_failing_batch_is_halved():
     [out] = scorer_udf(scorer).func(iter([(texts, pd.Series([[]] * 65))]))
     assert [i for i, v in enumerate(out["detected"]) if v is None] == [0, 41]
     assert len(calls) <= 2 * 7 and calls[0] == 64
+
+
+def test_a_failing_batch_asks_for_few_rows_twice():
+    """Parts are not put together again at each level; answers stay with their rows."""
+    import numpy as np
+
+    calls = []
+
+    def scorer(prompts, topics):
+        calls.append(len(prompts))
+        if prompts.str.contains("bad").any():
+            raise ValueError("no")
+        return pd.DataFrame({"detected": prompts.str.len() % 2 == 0, "confidence": [0.5] * len(prompts),
+                             "indicators": [["i"]] * len(prompts)})
+
+    prompts = pd.Series([None if i == 7 else "bad" if i % 50 == 3 else "x" * (i % 9) for i in range(400)])
+    topics = pd.Series([["t"]] * len(prompts))
+    concat, pd.concat = pd.concat, None
+    try:
+        [out] = scorer_udf(scorer).func(iter([(prompts, topics)]))
+    finally:
+        pd.concat = concat
+    want = [None if p is None or p == "bad" else len(p) % 2 == 0 for p in prompts]
+    assert [None if v is None else bool(v) for v in out["detected"]] == want
+    assert len(calls) <= 8 * 2 * (np.log2(400) + 1) and out["topic_scores"].isna().all()
+
+
+def test_tasks_that_screen_hold_a_bounded_number_of_rows(spark):
+    from promptsieve.plans import workloads as WL
+
+    many = spark.range(300_000).coalesce(4)
+    sizes = WL.spread(many, many.count()).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 300_000 and max(sizes) <= 1.05 * WL.ROWS_PER_TASK
