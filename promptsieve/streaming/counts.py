@@ -88,7 +88,9 @@ def count_decisions(
         marks = f"{path}/_seen/{stream}"
         before = read_text(spark, f"{marks}/{batch_id - 1}")
         seen = json.loads(before) if before else None
-        batch = batch.persist()  # screened once
+        # screened once; prompts and what else a verdict holds are not kept
+        kept = dict.fromkeys(("source", "ts", "policy_id", "decision", position))
+        batch = batch.select(*kept).persist()
         try:
             horizons = _horizons(batch, position, seen)
             counts = window_counts(batch, horizons, position, window, lateness)

@@ -288,3 +288,17 @@ def test_identities_of_a_slot_share_their_state(spark, tmp_path):
     scopes = {r.request_id: r.scope for r in spark.read.parquet(out).collect()}
     assert scopes == {f"0-{u:03d}-{i}": "user/hour" if i == 2 else None for u in range(200) for i in range(3)} | {
         f"1-{u:03d}-{i}": "user/day" for u in range(200) for i in range(2)}
+
+
+def test_counting_keeps_only_what_it_counts(spark, tmp_path, monkeypatch):
+    from promptsieve.streaming import counts
+
+    kept, real = [], counts.window_counts
+    monkeypatch.setattr(counts, "window_counts", lambda batch, *a: kept.append(batch.columns) or real(batch, *a))
+    ddl = "request_id string, ts timestamp, policy_id string, decision string, prompt string, delivery int"
+    rows = [(f"r{i}", datetime(2024, 3, 9, i), "p", "allow", "long", 0) for i in range(3)]
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = with_source(read_stream(spark, str(tmp_path / "in"), ddl))
+    drained(count_decisions(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "delivery"))
+    assert kept == [["source", "ts", "policy_id", "decision", "delivery"]]
+    assert read_window_counts(spark, str(tmp_path / "out")).agg(F.sum("n")).first()[0] == 3
