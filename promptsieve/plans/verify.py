@@ -17,6 +17,8 @@ from ..sources.policies import Policy, attach_policy, bundled_policies
 from ..sources.scratch import scratch
 from .screening import WORK, screen
 
+#: Requests that one task classifies.
+ROWS_PER_TASK = 1 << 16
 OUTCOME = ("status", "title", "detail", "retry_after_seconds")
 
 
@@ -55,7 +57,10 @@ def classify(
         policy_known=wanted.isin(known),
         guardrail_ok=F.coalesce("_ok", F.lit(True)),
     )
-    checked = requests.withColumn("_issues", V.request_issues())
+    # Dealt by rows: long prompts may pack so well that few tasks by bytes would hold them all.
+    cores = requests.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, -(-requests.count() // ROWS_PER_TASK))
+    checked = requests.withColumn("_issues", V.request_issues()).repartition(tasks, "request_id")
     return checked.join(found, "request_id", "left").select(
         *requests.columns, outcome.alias("_o")
     ).select(*requests.columns, "_o.*")

@@ -78,3 +78,18 @@ def test_requests_are_classified_once(prompts):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(oracles())
+
+
+def test_requests_are_classified_by_rows_not_bytes(spark, monkeypatch):
+    """Prompts that pack well stay dealt to many tasks, and are not shuffled unless asked for."""
+    from promptsieve.plans import verify
+
+    monkeypatch.setattr(verify, "ROWS_PER_TASK", 500)
+    rows = spark.range(5_000).select(
+        F.concat(F.lit("r"), "id").alias("request_id"), F.lit(None).cast("timestamp").alias("ts"),
+        F.repeat(F.lit("a"), F.lit(2_000)).alias("prompt"), F.lit("strict").alias("policy_id"),
+        F.lit("user_input").alias("context"), F.lit("app").alias("app_id"),
+        F.concat(F.lit("u"), "id").alias("client_id"), F.concat(F.lit("i"), "id").alias("ip"),
+    )
+    sizes = classify(rows, RateLimits()).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == 5_000 and max(sizes) < 1_000
