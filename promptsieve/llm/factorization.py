@@ -199,12 +199,12 @@ def train(docs: DataFrame, labels: DataFrame, params: Params) -> Model:
     )
     if sample.count() > params.sample:
         sample = sample.orderBy(F.xxhash64(F.lit(params.seed), *sample.columns)).limit(params.sample)
-    found = sample.orderBy("label", F.xxhash64("buckets", "stats")).toArrow().combine_chunks()
+    found = sample.orderBy("label", F.xxhash64("buckets", "stats")).toArrow()
     label = found.column("label").to_numpy().astype(np.float32)
-    stats = np.array(found.column("stats").to_pylist()) if len(label) else np.zeros((0, len(STATS)))
-    lists = found.column("buckets").combine_chunks() if len(label) else pa.array([], pa.list_(pa.int32()))
-    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    buckets = lists.flatten().to_numpy(zero_copy_only=False)
+    stats = [c.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS)) for c in found.column("stats").chunks]
+    stats = np.concatenate([np.zeros((0, len(STATS))), *stats])
+    lists = found.column("buckets").chunks
+    del found
     marks = np.linspace(0, 1, params.bins + 1)[1:-1]
     edges = [
         np.quantile(c[~np.isnan(c)], marks) if (~np.isnan(c)).any() else np.zeros(len(marks))
@@ -217,15 +217,27 @@ def train(docs: DataFrame, labels: DataFrame, params: Params) -> Model:
     model = Model(params, edges, bias, np.zeros(size, np.float32), np.zeros((size, params.rank), np.float32))
     if not 0 < n1 < len(label):
         return model
-    if params.structure:
-        bins = model.bins_of(stats).astype(np.int32)
-        ends = np.cumsum(counts)
-        buckets = np.insert(buckets, np.repeat(ends, bins.shape[1]), bins.ravel())
-        counts = counts + bins.shape[1]
+    bins = model.bins_of(stats).astype(np.int32) if params.structure else np.zeros((len(label), 0), np.int32)
+    buckets, counts = _gathered(lists, bins)
     bias, w, v = fit(buckets, counts, label, size, params)
     return Model(params, edges, bias, w, v)
 
 
+def _gathered(lists: list[pa.Array], bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all rows, those of a row's list and then its `bins`, and how many each
+    row has.  `lists` is emptied on the way, so the driver never holds all of it twice."""
+    counts = [pc.list_value_length(part).to_numpy(zero_copy_only=False).astype(np.int64) for part in lists]
+    out = np.empty(sum(int(c.sum()) for c in counts) + bins.size, np.int32)
+    row = place = 0
+    for own in counts:
+        more = bins[row : row + len(own)]
+        values = lists.pop(0).flatten().to_numpy(zero_copy_only=False)
+        values = np.insert(values, np.repeat(np.cumsum(own), bins.shape[1]), more.ravel())
+        out[place : place + len(values)] = values
+        row, place = row + len(own), place + len(values)
+    return out, np.concatenate(counts) + bins.shape[1]
+
+
 class _Batch:
     """Some rows of the sample, both by row and by feature."""
 
@@ -234,23 +246,37 @@ class _Batch:
         self.some = np.flatnonzero(counts)
         self.begin = (np.cumsum(counts) - counts)[self.some]
         order = np.argsort(feature, kind="stable")
-        self.row = np.repeat(np.arange(len(counts)), counts)[order].astype(np.int32)
+        self.row = np.repeat(np.arange(len(counts), dtype=np.min_scalar_type(len(counts))), counts)[order]
         ordered = feature[order]
         self.first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))[: len(ordered)]
         self.held = ordered[self.first]
 
-    def by_row(self, values: np.ndarray) -> np.ndarray:
-        """Sums of one value per active feature, by row."""
-        total = np.zeros((len(self.label), *values.shape[1:]), np.float32)
-        if len(self.some):
-            total[self.some] = np.add.reduceat(values, self.begin, axis=0)
+    def by_row(self, values: np.ndarray, squares: bool = False) -> np.ndarray:
+        """Sums of the values of a row's features, or of all squares of these."""
+        total = np.zeros((len(self.label), *values.shape[1 : 1 if squares else None]), np.float32)
+        total[self.some] = _sums_of(values, self.feature, self.begin, squares)
         return total
 
     def by_feature(self, values: np.ndarray) -> np.ndarray:
         """Sums of one value per row, by feature held."""
-        if not len(self.held):
-            return np.zeros((0, *values.shape[1:]), np.float32)
-        return np.add.reduceat(values[self.row], self.first, axis=0)
+        return _sums_of(values, self.row, self.first)
+
+
+#: Values that are taken together at a time.
+_TAKEN = 1 << 16
+
+
+def _sums_of(values: np.ndarray, index: np.ndarray, begin: np.ndarray, squares: bool = False) -> np.ndarray:
+    """Sums of values[index] over the runs that start at `begin`, a few runs at a time."""
+    out = np.empty((len(begin), *values.shape[1 : 1 if squares else None]), np.float32)
+    cuts = np.unique(np.searchsorted(begin, np.arange(0, len(index) + _TAKEN, _TAKEN)))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        end = begin[b] if b < len(begin) else len(index)
+        part = values[index[begin[a] : end]]
+        if squares:
+            part = (part * part).sum(1)
+        out[a:b] = np.add.reduceat(part, begin[a:b] - begin[a], axis=0)
+    return out
 
 
 def fit(
@@ -262,12 +288,13 @@ def fit(
     are moved towards zero, and so are the lengths of the factors.
     """
     n = len(label)
-    share = np.bincount(buckets, minlength=size)
+    share = np.zeros(size, np.int64)
+    for k in range(0, len(buckets), 1 << 18):  # counting makes wide copies
+        share += np.bincount(buckets[k : k + (1 << 18)], minlength=size)
     seen = np.flatnonzero(share)
     share = share[seen] / n
     place = np.zeros(size, np.int32)
     place[seen] = np.arange(len(seen))
-    feature = place[buckets]
     odds = (label.sum() + 0.5) / (n + 1)
     noise = np.sqrt((share * (1 - share) + 0.25 / n) * odds * (1 - odds) / n).astype(np.float32)
     draw = np.random.default_rng(p.seed)
@@ -276,7 +303,7 @@ def fit(
     for rows in np.array_split(draw.permutation(n), max(1, -(-n // p.batch))):
         own = counts[rows]
         at = np.repeat(start[rows] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-        batches.append(_Batch(feature[at], own, label[rows]))
+        batches.append(_Batch(place[buckets[at]], own, label[rows]))
     theta = [
         np.array([np.log(odds / (1 - odds))], np.float32),
         np.zeros(len(seen), np.float32),
@@ -292,11 +319,9 @@ def fit(
             held = None, (w != 0).astype(np.float32), v.any(axis=1).astype(np.float32)[:, None]
             for k in (1, 2):
                 mean[k] *= held[k]
-        own = v[batch.feature] * np.float32(not alone)
+        own = v * np.float32(not alone)
         sums = batch.by_row(own)
-        raw = b + batch.by_row(w[batch.feature]) + 0.5 * (
-            (sums * sums).sum(1) - batch.by_row((own * own).sum(1))
-        )
+        raw = b + batch.by_row(w) + 0.5 * ((sums * sums).sum(1) - batch.by_row(own, squares=True))
         rms = float(np.sqrt((sums * sums).sum(1).mean()))
         reach = 0.9 * reach + 0.1 * rms if reach else rms
         g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - batch.label) / len(batch.label)

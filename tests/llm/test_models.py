@@ -2,9 +2,11 @@
 
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,30 @@ def test_training_against_dense_matrices(batch):
     assert np.count_nonzero(np.delete(got[1], seen)) == 0
 
 
+def test_training_holds_few_bytes_a_feature():
+    """The driver's memory pays for the sample: arrays of all features exist once, as numbers
+    that are as narrow as they can be."""
+    draw = np.random.default_rng(8)
+    rows, each = 16_384, 64
+    buckets = np.sort(draw.integers(0, 64, (rows, each)) + 64 * np.arange(each), axis=1).astype(np.int32).ravel()
+    label = (draw.random(rows) < 0.5).astype(np.float32)
+    tracemalloc.start()
+    try:
+        factorization.fit(buckets, np.full(rows, each), label, 64 * each, factorization.Params(alone=2, steps=6, free=2))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 12 * len(buckets)
+
+
+def test_sample_is_gathered_row_by_row():
+    lists = [pa.array([[3, 5], [], [7]], pa.list_(pa.int32())), pa.array([[1]], pa.list_(pa.int32()))]
+    bins = np.arange(100, 108, dtype=np.int32).reshape(4, 2)
+    features, counts = factorization._gathered(lists, bins)
+    assert features.tolist() == [3, 5, 100, 101, 102, 103, 7, 104, 105, 1, 106, 107]
+    assert counts.tolist() == [4, 2, 3, 3] and not lists
+
+
 def test_clashing_columns_and_repeated_labelled_rows(spark):
     rows = _labelled(3, lambda a, b: a, 300)
     docs = spark.createDataFrame([(k % 10, t, len(t), "x") for k, t, _ in rows], DOCS)
