@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import materialize
-from .text import flat, fold, slices, word_hashes, words
+from .text import flat, fold, mix, slices, word_hashes, words
 
 END = 10  # ends a text and fills the contexts before it; never part of a word
 
@@ -95,9 +95,15 @@ class _Tally:
                 yield from self.flush()
 
     def merge(self) -> None:
-        keys, of = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(of, np.concatenate(self.counts), len(keys)).astype(np.int64)
-        self.keys, self.counts, self.size = [keys], [counts], len(keys)
+        keys = np.concatenate(self.keys)
+        self.keys = []
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts = np.concatenate(self.counts)
+        self.counts = []
+        counts = counts[order]
+        self.keys, self.counts, self.size = [keys[first]], [np.add.reduceat(counts, first)], len(first)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.size:
@@ -365,6 +371,7 @@ class _Blocks:
     """Rare grams of many texts: the distinct ones as a list, the texts as places in it."""
 
     limit = 1 << 22
+    parts = 16  # what is sorted at a time, of a block
 
     def __init__(self, schema: pa.Schema):
         self.schema, self.held, self.size = schema, [], 0
@@ -376,17 +383,29 @@ class _Blocks:
         if self.size >= self.limit:
             yield from self.flush()
 
+    def _numbered(self, block: int) -> Iterator[pa.RecordBatch]:
+        """The list, by parts of all distinct grams; what is held gets their places instead."""
+        part = [(mix(h[2]) % np.uint64(self.parts)).astype(np.uint8) for h in self.held]
+        places = [np.empty(len(h[2]), np.int32) for h in self.held]
+        first = 0
+        for p in range(self.parts):
+            chosen = [np.flatnonzero(own == p) for own in part]
+            keys, of = np.unique(np.concatenate([h[2][c] for h, c in zip(self.held, chosen)]), return_inverse=True)
+            begin = 0
+            for own, c in zip(places, chosen):
+                own[c] = of[begin : begin + len(c)] + first
+                begin += len(c)
+            for k in range(0, len(keys), 1 << 16):
+                yield self.record(block=block, first=first + k, keys=keys[k : k + (1 << 16)].view(np.int64))
+            first += len(keys)
+        self.held = [(h[0], h[1], own) for h, own in zip(self.held, places)]
+
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        keys, of = np.unique(np.concatenate([h[2] for h in self.held]), return_inverse=True)
         block = int.from_bytes(os.urandom(8), "little") >> 1
-        for k in range(0, len(keys), 1 << 16):
-            yield self.record(block=block, first=k, keys=keys[k : k + (1 << 16)].view(np.int64))
-        begin = 0
-        for first, counts, grams in self.held:
-            own = of[begin : begin + len(grams)].astype(np.int64)
-            begin += len(grams)
+        yield from self._numbered(block)
+        for first, counts, own in self.held:
             # sums do not depend on the order, and sorted places compress well
             own = np.sort((np.repeat(np.arange(len(counts)), counts) << 32) | own) & 0xFFFFFFFF
             step = np.diff(own, prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4)

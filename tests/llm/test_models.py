@@ -173,6 +173,37 @@ def test_language_model(spark):
     assert blind.score == pytest.approx(-11 * 8 * np.log10(2)) and blind.n_known == 0
 
 
+def test_blocks_of_rare_grams_are_listed_in_parts():
+    """A block's grams are numbered a part at a time: a worker holds about twice the grams."""
+    draw = np.random.default_rng(9)
+    schema = pa.schema({"block": "int64", "first": "int64", "keys": pa.list_(pa.int64()), "lens": "binary", "places": "binary"})
+    blocks = context_tree._Blocks(schema)
+    texts = [draw.integers(0, 1 << 18, 1 << 17).astype(np.uint64) for _ in range(8)]
+    counts = np.array([0, 1000, 0, (1 << 17) - 1000])
+    keys, sums, size = {}, {}, sum(map(len, texts))
+    tracemalloc.start()
+    try:
+        for k, text in enumerate(texts):
+            assert not list(blocks.add(4 * k, counts, text))
+        for batch in blocks.flush():
+            row = batch.to_pylist()[0] if batch.column("keys").null_count else None
+            if row is None:
+                keys[batch.column("first")[0].as_py()] = batch.column("keys").flatten().to_numpy()
+            else:
+                sums[row["first"]] = row["lens"], row["places"]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    listed = np.concatenate([keys[first] for first in sorted(keys)])
+    assert sorted(listed) == np.unique(np.concatenate(texts)).tolist()
+    parts = pa.table({"first": list(sums), "lens": [x[0] for x in sums.values()], "places": [x[1] for x in sums.values()]})
+    found = context_tree._add_up(parts, pa.table({"place": np.arange(len(listed)), "log": listed.astype(float)}))
+    got = dict(zip(found["row"].to_pylist(), found["rest"].to_pylist()))
+    for k, text in enumerate(texts):
+        assert [got[4 * k + j] for j in range(4)] == [0, text[:1000].sum(), 0, text[1000:].sum()]
+    assert most < 24 * size
+
+
 def test_context_tree_is_a_distribution():
     """The chances of all 256 bytes add up to one in any context, and the weights are those
     of the recursion written out."""
