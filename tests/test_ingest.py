@@ -1,12 +1,15 @@
 import json
+import os
 
 import pandas as pd
+import pytest
 
 from promptsieve import bundled_policies, evidence, screen
 from promptsieve.operators.injection import (
     first_valid_answers, scorer_udf, with_ingested_injection, with_injection,
 )
 from promptsieve.operators.verdict import combine
+from promptsieve.plans import catalog
 from promptsieve.sources import ingest
 from promptsieve.sources.policies import Policy, attach_policy
 
@@ -212,3 +215,13 @@ def test_tasks_that_screen_hold_a_bounded_number_of_rows(spark):
     many = spark.range(300_000).coalesce(4)
     sizes = WL.spread(many, many.count()).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(sizes) == 300_000 and max(sizes) <= 1.05 * WL.ROWS_PER_TASK
+
+
+def test_stored_answers_are_parsed_once(spark):
+    """What is joined is written out, so no filter on it parses answers where the log is read."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables not present")
+    found = catalog._assessments(spark, folder)
+    assert found.columns == ["request_id", "guardrail"]
+    assert found.inputFiles() and all("/assessments-" in f for f in found.inputFiles())
