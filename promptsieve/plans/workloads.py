@@ -63,11 +63,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _filled(df: DataFrame) -> int:
+    """Rows of the largest part: a file cut into many parts may hold them all in one, as a row
+    group is never cut."""
+    sizes = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def spread(df: DataFrame, rows: int) -> DataFrame:
     """`rows` rows dealt to tasks of at most ROWS_PER_TASK and to every core, unless they lie
-    in as many parts: screening is all computation, and a file of short texts holds many."""
+    in as many parts of much the same size: screening is all computation, and a file of short
+    texts holds many."""
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+    if df.rdd.getNumPartitions() >= tasks:
+        most = _filled(df)
+        if most <= ROWS_PER_TASK and most * tasks <= 2 * rows:
+            return df
+    return df.repartition(tasks)
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

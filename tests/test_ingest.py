@@ -217,6 +217,24 @@ def test_tasks_that_screen_hold_a_bounded_number_of_rows(spark):
     assert sum(sizes) == 300_000 and max(sizes) <= 1.05 * WL.ROWS_PER_TASK
 
 
+def test_a_file_cut_into_empty_parts_is_dealt_out(spark, tmp_path):
+    """Its one row group lies in one part, however many parts the file is cut into."""
+    from promptsieve.plans import workloads as WL
+
+    texts = spark.range(4_000).selectExpr("id as doc_id", "repeat(uuid(), 20) as text")
+    texts.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    name, cores = "spark.sql.files.maxPartitionBytes", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        assert WL.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() > cores
+        dealt = WL.texts(spark, str(tmp_path), "documents")
+        sizes = dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sum(sizes) == 4_000 and max(sizes) <= 2 * 4_000 / cores
+
+
 def test_stored_answers_are_parsed_once(spark):
     """What is joined is written out, so no filter on it parses answers where the log is read."""
     folder = "/root/testdata/sf0.001"
