@@ -6,7 +6,7 @@ cheap necessary condition before the regular expression.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -50,14 +50,25 @@ def _occurs(text: Column, lower: Column, pattern: P.Pattern) -> Column:
     return _gate(pattern.name, text, lower) & text.rlike(pattern.java)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def span_of(text: Column, match: Column) -> Column:
     """First occurrence of the match, end exclusive, in UTF-16 units; NULL if none."""
-    at = F.instr(text, match)
-    start = utf16_length(F.substring(text, F.lit(1), at - 1))
-    return F.when(
-        (F.char_length(match) > 0) & (at > 0),
-        F.struct(start.alias("start"), (start + utf16_length(match)).alias("end")),
-    ).cast(S.SPAN)
+
+    def located(at: Column) -> Column:
+        before = F.substring(text, F.lit(1), at - 1)  # of at - 1 characters
+        start = F.when(F.octet_length(before) == at - 1, at - 1).otherwise(
+            (F.octet_length(F.encode(before, "UTF-16BE")) / 2).cast("int")
+        )
+        span = _once(
+            start, lambda s: F.struct(s.alias("start"), (s + utf16_length(match)).alias("end"))
+        )
+        return F.when(at > 0, span)
+
+    return F.when(F.char_length(match) > 0, _once(F.instr(text, match), located)).cast(S.SPAN)
 
 
 def _hits_of(text: Column, lower: Column, pattern: P.Pattern) -> Column:

@@ -164,3 +164,21 @@ def test_quadratic_email_input_is_linear(spark):
     text = "@" + "a" * 200_000
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(D.pii_hits(F.col("t"), F.lower("t")).alias("h")).first().h == []
+
+
+def test_spans_are_located_once(spark):
+    """In UTF-16 units, first place, end exclusive; the text is searched once for a match."""
+    rows = [
+        ("say abc abc", "abc"), ("\U0001f600é abc", "abc"), ("x", "abc"), ("x", ""), (None, "a"), ("a", None),
+        ("né\U0001f600", "é\U0001f600"), ("abc", "abc"),
+    ]
+    df = spark.createDataFrame(rows, "t string, m string").select("t", "m", D.span_of(F.col("t"), F.col("m")).alias("s"))
+
+    def want(text, match):
+        if not match or text is None or match not in text:
+            return None
+        units = lambda s: len(s.encode("utf-16-be")) // 2
+        return (units(text[: text.index(match)]), units(text[: text.index(match)]) + units(match))
+
+    assert [None if r.s is None else tuple(r.s) for r in df.collect()] == [want(*r) for r in rows]
+    assert df._jdf.queryExecution().analyzed().toString().count("instr(") == 1
