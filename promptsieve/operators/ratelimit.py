@@ -145,12 +145,23 @@ def _minute_counts(
     )
 
 
-def counters(
+def stored_minutes(
     requests: DataFrame, limits: RateLimits = RateLimits(), horizon: int | None = None
+) -> DataFrame:
+    """Requests per counter and minute, written out for what needs them more than once: the
+    `minutes` of the functions below, for the same requests, limits and horizon."""
+    return materialize(_minute_counts(requests, limits, horizon), "minutes")
+
+
+def counters(
+    requests: DataFrame,
+    limits: RateLimits = RateLimits(),
+    horizon: int | None = None,
+    minutes: DataFrame | None = None,
 ) -> DataFrame:
     """Counter store after the whole log: one row per counter and window."""
     return (
-        _minute_counts(requests, limits, horizon)
+        (_minute_counts(requests, limits, horizon) if minutes is None else minutes)
         .groupBy(*COUNTER, "scope", "window", "limit")
         .agg(F.sum("n").alias("used"))
         .withColumn("expires_at", window_reset(F.col("bucket"), F.col("window")))
@@ -158,7 +169,11 @@ def counters(
 
 
 def _cut_minutes(
-    requests: DataFrame, limits: RateLimits, used: DataFrame | None, horizon: int | None
+    requests: DataFrame,
+    limits: RateLimits,
+    used: DataFrame | None,
+    horizon: int | None,
+    minutes: DataFrame | None,
 ) -> DataFrame:
     """The minute in which each overrun counter reaches its limit: one row per counter.
 
@@ -167,7 +182,7 @@ def _cut_minutes(
     These have a row even where nothing is denied, with `first_denied` NULL, so that the
     requests of a busy counter within its limit are dropped where they are read.
     """
-    counts = _minute_counts(requests, limits, horizon)
+    counts = _minute_counts(requests, limits, horizon) if minutes is None else minutes
     if used is not None:
         counts = counts.join(used.select(*COUNTER, F.col("used").alias("_used")), [*COUNTER], "left")
     else:
@@ -218,6 +233,7 @@ def cutoffs(
     limits: RateLimits = RateLimits(),
     used: DataFrame | None = None,
     horizon: int | None = None,
+    minutes: DataFrame | None = None,
 ) -> DataFrame:
     """First denied request (ts, request_id) of every counter that runs over; NULL for
     busy counters that do not.
@@ -225,7 +241,7 @@ def cutoffs(
     `used` holds counts carried over from earlier batches, as `counters` returns them.
     Both steps are written out: they are small, and each is read several times.
     """
-    cut_minutes = materialize(_cut_minutes(requests, limits, used, horizon), "cut-minutes")
+    cut_minutes = materialize(_cut_minutes(requests, limits, used, horizon, minutes), "cut-minutes")
     rows = _tier_rows(requests, limits, horizon).select(
         *COUNTER,
         "request_id",
@@ -257,12 +273,13 @@ def tier_denials(
     limits: RateLimits = RateLimits(),
     used: DataFrame | None = None,
     horizon: int | None = None,
+    minutes: DataFrame | None = None,
 ) -> DataFrame:
     """(request_id, ts, tier, scope, retry_after_seconds) per denial of a tier."""
     return (
         lookup_join(
             _tier_rows(requests, limits, horizon),
-            cutoffs(requests, limits, used, horizon),
+            cutoffs(requests, limits, used, horizon, minutes),
             COUNTER,
             hot=F.col("hot"),
             spread=["request_id"],
@@ -286,6 +303,7 @@ def denials(
     limits: RateLimits = RateLimits(),
     used: DataFrame | None = None,
     horizon: int | None = None,
+    minutes: DataFrame | None = None,
 ) -> DataFrame:
     """Denied requests with the scope of the first tier they breach.
 
@@ -295,7 +313,7 @@ def denials(
     if not limits.enabled:
         requests = requests.limit(0)
     return (
-        tier_denials(requests, limits, used, horizon)
+        tier_denials(requests, limits, used, horizon, minutes)
         .groupBy("request_id")
         .agg(
             F.min_by(F.struct("scope", "retry_after_seconds"), "tier").alias("_first"),
@@ -310,6 +328,7 @@ def rate_limit(
     limits: RateLimits = RateLimits(),
     used: DataFrame | None = None,
     horizon: int | None = None,
+    minutes: DataFrame | None = None,
 ) -> DataFrame:
     """All requests with allowed, scope and retry_after_seconds.
 
@@ -323,7 +342,7 @@ def rate_limit(
                 "retry_after_seconds": F.lit(None).cast("bigint"),
             }
         )
-    denied = denials(requests, limits, used, horizon).drop("breached_tiers")
+    denied = denials(requests, limits, used, horizon, minutes).drop("breached_tiers")
     return requests.join(denied, "request_id", "left").withColumn(
         "allowed", F.col("scope").isNull()
     )

@@ -116,11 +116,19 @@ class CounterStore:
         rows.select("tier", "counter", "bucket", "used", "expires_at").write.mode("overwrite").parquet(f"{path}/counters")
         write_text(self.spark, f"{path}/newest", "" if newest is None else str(newest))
 
-    def add(self, batch_id: int, batch: DataFrame, limits: RateLimits, horizon: int | None) -> None:
-        """Store what a batch of requests (ts, client_id, ip) adds."""
+    def add(
+        self,
+        batch_id: int,
+        batch: DataFrame,
+        limits: RateLimits,
+        horizon: int | None,
+        minutes: DataFrame | None = None,
+    ) -> None:
+        """Store what a batch of requests (ts, client_id, ip) adds; `minutes` are its counts by
+        minute, if they are at hand."""
         newest = batch.agg(F.max(F.unix_seconds("ts")).alias("s")).first()["s"]
         ends = [v for v in (newest, horizon) if v is not None]
-        rows = counters(batch, limits, horizon)
+        rows = counters(batch, limits, horizon, minutes)
         self._write(Segment(self.stream, batch_id, batch_id), rows, max(ends, default=None))
         delete(self.spark, f"{self.folder}/stream={self.stream}/plan={batch_id - 1}")
         self._compact(batch_id)

@@ -27,6 +27,7 @@ from ..operators.ratelimit import (
     bucket_of,
     rate_limit,
     scope_of,
+    stored_minutes,
     tier_denials,
     window_reset,
 )
@@ -38,14 +39,18 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 def limited_batch(
-    batch: DataFrame, limits: RateLimits, used: DataFrame | None, horizon: int | None
+    batch: DataFrame,
+    limits: RateLimits,
+    used: DataFrame | None,
+    horizon: int | None,
+    minutes: DataFrame | None = None,
 ) -> DataFrame:
     """The batch with allowed, scope, retry_after_seconds and `late`.
 
     A window that was over before the batch neither counts nor denies (fail open);
     `late` marks requests that belong to one.
     """
-    out = rate_limit(batch, limits, used, horizon)
+    out = rate_limit(batch, limits, used, horizon, minutes)
     if horizon is None:
         return out.withColumn("late", F.lit(False))
     second = F.unix_seconds("ts")
@@ -79,10 +84,11 @@ def rate_limit_stream(
         counts = store.before(batch_id)
         batch = batch.persist()  # read by several passes; recomputed from the source if lost
         try:
-            limited_batch(batch, limits, counts.used, counts.horizon).write.mode(
+            minutes = stored_minutes(batch, limits, counts.horizon)
+            limited_batch(batch, limits, counts.used, counts.horizon, minutes).write.mode(
                 "overwrite"
             ).parquet(_results(out, stream, batch_id))
-            store.add(batch_id, batch, limits, counts.horizon)
+            store.add(batch_id, batch, limits, counts.horizon, minutes)
         finally:
             batch.unpersist()
 

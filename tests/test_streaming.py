@@ -324,3 +324,15 @@ def test_the_audited_log_is_dealt_to_files_by_rows(spark, monkeypatch):
     assert len(dealt) == 2
     for files, most, batch in dealt:
         assert files > rows / 100 and most <= 100 and batch < files <= 2 * batch
+
+
+def test_a_batch_is_counted_by_minute_once(spark, tmp_path, monkeypatch):
+    from promptsieve.operators import ratelimit
+
+    calls, count = [], ratelimit._minute_counts
+    monkeypatch.setattr(ratelimit, "_minute_counts", lambda *a: calls.append(1) or count(*a))
+    rows, folder = log(13, 200), str(tmp_path / "in")
+    write_in_order(spark, rows, folder, 2)
+    drained(rate_limit_stream(
+        read_stream(spark, folder, DDL, 1), str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp"), LIMITS))
+    assert len(calls) == 2  # one a batch
