@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from . import patterns as P
-from .text import utf16_length, widen_astral
+from .text import present, utf16_length, widen_astral
 
 
 def _any_of(lower: Column, *words: str) -> Column:
@@ -78,8 +78,10 @@ def _hits_of(text: Column, lower: Column, pattern: P.Pattern) -> Column:
             F.lit(pattern.name).alias("type"), m.alias("match"), span_of(text, m).alias("span")
         ),
     ).cast(f"array<{S.HIT}>")
-    gate = _gate(pattern.name, text, lower)
-    return found if gate is None else F.when(gate, found).otherwise(S.empty_array(S.HIT))
+    gate, none = _gate(pattern.name, text, lower), S.empty_array(S.HIT)
+    if gate is None:  # the hits of a NULL text are NULL
+        return F.when(~text.rlike(pattern.java), none).otherwise(found)
+    return F.when(gate, found).otherwise(none)
 
 
 def pattern_hits(text: Column, lower: Column, patterns: Iterable[P.Pattern]) -> Column:
@@ -122,27 +124,40 @@ def injection_confidence(flags: Column) -> Column:
 
 def injection_indicators(flags: Column) -> Column:
     """Distinct indicator names in pattern order."""
-    named = F.array(
-        *[F.when(F.get(flags, F.lit(i)), p.name) for i, p in enumerate(P.INJECTION)]
+    return _named(flags, P.INJECTION)
+
+
+def _named(flags: Column, patterns: Iterable[P.Pattern]) -> Column:
+    names = F.array(*[F.when(F.get(flags, F.lit(i)), p.name) for i, p in enumerate(patterns)])
+    return F.when(F.array_contains(flags, True), present(names)).otherwise(
+        F.array().cast("array<string>")
     )
-    return F.array_distinct(F.filter(named, lambda n: n.isNotNull()))
+
+
+def topic_flags(text: Column, lower: Column) -> list[Column]:
+    """One boolean per known topic: its keywords occur, whatever a policy denies."""
+    return [_occurs(text, lower, t) for t in P.TOPICS]
+
+
+def named_topics(flags: Column) -> Column:
+    return _named(flags, P.TOPICS)
 
 
 def topic_hits(text: Column, lower: Column) -> Column:
-    """Names of the known topics whose keywords occur, whatever a policy denies."""
-    return F.filter(
-        F.array(*[F.when(_occurs(text, lower, t), t.name) for t in P.TOPICS]),
-        lambda n: n.isNotNull(),
-    )
+    """Names of the known topics whose keywords occur."""
+    return named_topics(F.array(*topic_flags(text, lower)))
 
 
 def grade_topics(hits: Column, denied: Column) -> Column:
     """Display grade of each denied topic; an unknown topic counts as a miss."""
-    return F.map_from_entries(
+    topics = F.array_distinct(denied)
+    graded = F.map_from_entries(
         F.transform(
-            F.array_distinct(denied),
+            topics,
             lambda t: F.struct(
                 t, F.when(F.array_contains(hits, t), S.TOPIC_HIT_SCORE).otherwise(S.TOPIC_MISS_SCORE)
             ),
         )
     )
+    misses = F.array_repeat(F.lit(S.TOPIC_MISS_SCORE), F.size(topics))
+    return F.when(F.size(hits) == 0, F.map_from_arrays(topics, misses)).otherwise(graded)

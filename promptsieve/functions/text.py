@@ -15,6 +15,11 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
 
+def present(labels: Column) -> Column:
+    """The distinct labels that are not NULL, in order, without a lambda."""
+    return F.array_except(labels, F.array(F.lit(None).cast("string")))
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units, the unit in which prompt limits and spans are given."""
     return (
@@ -84,15 +89,17 @@ def _stages(prompt: str, nfkc_engine: str) -> list[dict[str, Column]]:
             "normalized": F.when(
                 F.col("_alike"), F.translate("_nfkc", P.HOMOGLYPH_FROM, P.HOMOGLYPH_TO)
             ).otherwise(F.col("_nfkc")),
-            "obf_indicators": F.filter(
-                F.array(
-                    F.when(F.col("_tags") > 0, "tag_chars"),
-                    F.when(F.col("_bidi") > 0, "bidi_control"),
-                    F.when(F.col("_zero") > 0, "zero_width"),
-                    F.when(F.col("_alike"), "homoglyph"),
+            "obf_indicators": F.when(
+                F.col("_hidden") | F.col("_alike"),
+                present(
+                    F.array(
+                        F.when(F.col("_tags") > 0, "tag_chars"),
+                        F.when(F.col("_bidi") > 0, "bidi_control"),
+                        F.when(F.col("_zero") > 0, "zero_width"),
+                        F.when(F.col("_alike"), "homoglyph"),
+                    )
                 ),
-                lambda label: label.isNotNull(),
-            ),
+            ).otherwise(F.array().cast("array<string>")),
             "obfuscated": F.col("_hidden") | F.col("_alike"),
             "removed": F.col("_tags") + F.col("_bidi") + F.col("_zero"),
         },

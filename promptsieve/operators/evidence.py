@@ -27,12 +27,13 @@ def _stages() -> list[dict[str, Column]]:
             "pii_hits": D.pii_hits(text, lower),
             "secret_hits": D.secret_hits(text, lower),
             "_flags": F.array(*D.injection_flags(text, lower)),
-            "topic_hits": D.topic_hits(text, lower),
+            "_topics": F.array(*D.topic_flags(text, lower)),
             "misconduct": D.misconduct(text, lower),
         },
         {
             "inj_confidence": D.injection_confidence(flags),
             "inj_indicators": D.injection_indicators(flags),
+            "topic_hits": D.named_topics(F.col("_topics")),
         },
     ]
 
@@ -45,11 +46,18 @@ def evidence(df: DataFrame, prompt: str = "prompt", nfkc_engine: str = "jvm") ->
     df = sanitize(df, prompt, nfkc_engine)
     for stage in _stages():
         df = df.withColumns(stage)
-    return df.drop("_lower", "_flags")
+    return df.drop("_lower", "_flags", "_topics")
+
+
+def unless_empty(entries: Column, value: Column, empty: Column) -> Column:
+    """`value`, made from the entries by lambdas, or `empty` where there are none.
+
+    Spark generates no code for lambdas, and most rows have few kinds of evidence."""
+    return F.when(F.size(entries) == 0, empty).otherwise(value)
 
 
 def _entities(hits: Column, action: str) -> Column:
-    return F.transform(
+    entities = F.transform(
         hits,
         lambda h: F.struct(
             h["type"].alias("type"),
@@ -59,6 +67,7 @@ def _entities(hits: Column, action: str) -> Column:
             h["span"].alias("span"),
         ),
     ).cast(f"array<{S.ENTITY}>")
+    return unless_empty(hits, entities, S.empty_array(S.ENTITY))
 
 
 def content_evidence(misconduct: Column, confidence: Column, strength: Column) -> Column:
@@ -76,18 +85,22 @@ def content_evidence(misconduct: Column, confidence: Column, strength: Column) -
             hit.alias("detected"),
         )
 
-    baseline = F.array(
-        *[
-            entry(
-                name,
-                misconduct if name == "MISCONDUCT" else F.lit(False),
-                F.when(misconduct, F.when(low, "LOW").otherwise("HIGH")).otherwise("NONE")
-                if name == "MISCONDUCT"
-                else F.lit("NONE"),
-            )
-            for name in S.CONTENT_FILTERS
-        ]
-    ).cast(f"array<{S.CONTENT}>")
+    def filters(misconduct: Column) -> Column:
+        return F.array(
+            *[
+                entry(
+                    name,
+                    misconduct if name == "MISCONDUCT" else F.lit(False),
+                    F.when(misconduct, F.when(low, "LOW").otherwise("HIGH")).otherwise("NONE")
+                    if name == "MISCONDUCT"
+                    else F.lit("NONE"),
+                )
+                for name in S.CONTENT_FILTERS
+            ]
+        ).cast(f"array<{S.CONTENT}>")
+
+    # without misconduct the filters are a constant, which Spark folds
+    baseline = F.when(~misconduct, filters(F.lit(False))).otherwise(filters(misconduct))
     attack = F.array(entry(S.PROMPT_ATTACK, F.lit(True), attack_level(confidence)))
     return F.concat(
         baseline,
@@ -109,30 +122,39 @@ def attack_level(confidence: Column) -> Column:
 def mask_entities(text: Column, entities: Column, opening: Column, closing: Column) -> Column:
     """Replace each literal match by its bracketed type, in order: a later match may
     lie inside what an earlier one put there."""
-    return F.aggregate(
+    masked = F.aggregate(
         F.filter(entities, lambda e: F.char_length(e["match"]) > 0),
         text,
         lambda acc, e: F.replace(acc, e["match"], F.concat(opening, e["type"], closing)),
     )
+    return unless_empty(entities, masked, text)
 
 
 @per_session
-def guardrail_evidence() -> Column:
-    """Guardrail result of an evidence row under its `policy` struct."""
+def guardrail_evidence(redacted: bool = True) -> Column:
+    """Guardrail result of an evidence row under its `policy` struct; the `redacted_text`, which
+    no verdict reads, only where asked for."""
     policy = F.col("policy")
     pii = _entities(F.col("pii_hits"), "ANONYMIZED")
     secrets = _entities(F.col("secret_hits"), "BLOCKED")
-    topics = F.transform(
+    denied = F.transform(
         F.filter(policy["denied_topics"], lambda t: F.array_contains(F.col("topic_hits"), t)),
         lambda t: F.struct(
             t.alias("name"), F.lit("BLOCKED").alias("action"), F.lit(True).alias("detected")
         ),
     ).cast(f"array<{S.TOPIC}>")
+    on_topic = F.size("topic_hits") > 0
+    topics = F.when(on_topic | policy["denied_topics"].isNull(), denied).otherwise(
+        S.empty_array(S.TOPIC)
+    )
     content = content_evidence(F.col("misconduct"), F.col("inj_confidence"), policy["strength"])
     intervened = (
         (F.size("secret_hits") > 0)
         | (F.size("pii_hits") > 0)
-        | F.exists(policy["denied_topics"], lambda t: F.array_contains(F.col("topic_hits"), t))
+        | (
+            on_topic
+            & F.exists(policy["denied_topics"], lambda t: F.array_contains(F.col("topic_hits"), t))
+        )
         | ((policy["strength"] != "LOW") & (F.col("misconduct") | (F.col("inj_confidence") > 0)))
     )
     return F.struct(
@@ -142,11 +164,15 @@ def guardrail_evidence() -> Column:
         secrets.alias("secrets"),
         topics.alias("topics"),
         content.alias("content"),
-        mask_entities(
-            F.col("normalized"),
-            F.concat(F.col("pii_hits"), F.col("secret_hits")),
-            F.lit("{"),
-            F.lit("}"),
+        (
+            mask_entities(
+                F.col("normalized"),
+                F.concat(F.col("pii_hits"), F.col("secret_hits")),
+                F.lit("{"),
+                F.lit("}"),
+            )
+            if redacted
+            else F.lit(None).cast("string")
         ).alias("redacted_text"),
         F.lit(None).cast("double").alias("latency_ms"),
     ).cast(S.GUARDRAIL)

@@ -2,6 +2,7 @@
 
 import pytest
 
+from promptsieve import audit_rows, screen
 from promptsieve import schemas as S
 from promptsieve.operators.evidence import add_spans
 from promptsieve.operators.verdict import combine
@@ -108,3 +109,39 @@ def test_details(got):
     assert got["secret and pii"].reason == "A secret was detected (AWS_ACCESS_KEY)."
     assert got["topic"].reason == "The prompt requests a denied topic (medical)."
     assert got["content"].advice == "Remove or soften the flagged content."
+
+
+def _lambdas_always_run(df) -> list[str]:
+    """Higher-order functions that the optimized plan evaluates for every row: not below a
+    branch of a condition, nor on the right of a boolean operator."""
+    found, plans, expressions = [], [df._jdf.queryExecution().optimizedPlan()], []
+    children = lambda node: [node.children().apply(i) for i in range(node.children().size())]
+    while plans:
+        plan = plans.pop()
+        plans += children(plan)
+        expressions += [plan.expressions().apply(i) for i in range(plan.expressions().size())]
+    while expressions:
+        node = expressions.pop()
+        kind, below = node.getClass().getSimpleName(), children(node)
+        if kind in ("ArrayTransform", "ArrayFilter", "ArrayExists", "ArrayAggregate", "MapFilter"):
+            found.append(kind)
+        expressions += below[:1] if kind in ("CaseWhen", "If", "And", "Or", "Coalesce") else below
+    return found
+
+
+def test_rows_without_evidence_run_no_lambda(spark):
+    # Spark generates no code for lambdas: they took half the time of screening short prompts
+    df = spark.createDataFrame([("a", "hi", "strict")], "request_id string, prompt string, policy_id string")
+    assert _lambdas_always_run(audit_rows(screen(df))) == []
+
+
+def test_filters_in_any_order_and_unknown_levels(spark):
+    content = [
+        ("MISCONDUCT", "HIGH", "NONE", False), ("HATE", "LOW", "NONE", False), (None, "LOW", "NONE", None),
+        ("HATE", "MEDIUM", "NONE", True), ("SEXUAL", "odd", "NONE", False), ("INSULTS", None, "NONE", None),
+    ]
+    rows = [("x", *case(g=guardrail(content=content))), ("y", *case(g=guardrail(content=content[:1] * 2)))]
+    x, y = combine(spark.createDataFrame(rows, DDL)).orderBy("id").collect()
+    assert x.scores.content == {"HATE": 0.65, "MISCONDUCT": 0.9}
+    assert [(m.category, m.type, m.confidence) for m in x.matches] == [("content", "HATE", 0.65)]
+    assert y.scores.content == {"MISCONDUCT": 0.9} and y.matches == []
