@@ -8,6 +8,7 @@ that minute is ranked.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -89,6 +90,18 @@ def tiers(client_id: Column, ip: Column, limits: RateLimits) -> Column:
     )
 
 
+def _named(limits: RateLimits) -> list[str]:
+    """The columns that name the counters of the enforced tiers."""
+    named = {"client_id": {0, 1}, "ip": {2, 3}}
+    return [column for column, tiers in named.items() if tiers & set(limits.enforced)]
+
+
+def _few(limits: RateLimits) -> bool:
+    """Whether there is but one counter a day, that of the global tier: a table of counters is
+    then broadcast whole, and as it is read only once it need not be written out."""
+    return set(limits.enforced) == {GLOBAL_TIER}
+
+
 def bucket_of(epoch_seconds: Column, window: Column) -> Column:
     return F.floor(epoch_seconds / window).cast("bigint")
 
@@ -126,10 +139,10 @@ def _per_tier(
 def _minute_counts(
     requests: DataFrame, limits: RateLimits, horizon: int | None = None
 ) -> DataFrame:
-    """Requests per counter and minute.  Pre-aggregated by identity and minute before
-    the five-fold expansion."""
+    """Requests per counter and minute.  Pre-aggregated by minute and what names the counters
+    before the five-fold expansion."""
     minute = F.floor(F.unix_seconds("ts") / SLICE_SECONDS) * SLICE_SECONDS
-    by_identity = requests.groupBy("client_id", "ip", minute.alias("second")).agg(
+    by_identity = requests.groupBy(*_named(limits), minute.alias("second")).agg(
         F.count(F.lit(1)).alias("n")
     )
     tier = F.col("tier")
@@ -228,6 +241,15 @@ def _tier_rows(requests: DataFrame, limits: RateLimits, horizon: int | None) ->
     )
 
 
+def _looked_up(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], limits: RateLimits, hot: str
+) -> DataFrame:
+    """Rows with the line of their counter in `table`."""
+    if _few(limits):
+        return rows.join(F.broadcast(table), list(keys))
+    return lookup_join(rows, table, keys, hot=F.col(hot), spread=["request_id"], how="inner")
+
+
 def cutoffs(
     requests: DataFrame,
     limits: RateLimits = RateLimits(),
@@ -239,26 +261,26 @@ def cutoffs(
     busy counters that do not.
 
     `used` holds counts carried over from earlier batches, as `counters` returns them.
-    Both steps are written out: they are small, and each is read several times.
+    Both steps are written out: they are small, and each is read several times.  Where there are
+    `_few` counters they are not, and busy ones that do not run over are left out.
     """
-    cut_minutes = materialize(_cut_minutes(requests, limits, used, horizon, minutes), "cut-minutes")
+    cut_minutes = _cut_minutes(requests, limits, used, horizon, minutes)
+    if not _few(limits):
+        cut_minutes = materialize(cut_minutes, "cut-minutes")
     rows = _tier_rows(requests, limits, horizon).select(
         *COUNTER,
         "request_id",
         "ts",
         (F.floor(F.col("second") / SLICE_SECONDS) * SLICE_SECONDS).alias("minute"),
     )
-    in_cut_minute = lookup_join(
-        rows,
-        cut_minutes,
-        [*COUNTER, "minute"],
-        hot=F.col("hot_minute"),
-        spread=["request_id"],
-        how="inner",
-    ).where(F.col("first_denied").isNotNull())
+    in_cut_minute = _looked_up(rows, cut_minutes, [*COUNTER, "minute"], limits, "hot_minute").where(
+        F.col("first_denied").isNotNull()
+    )
     found = kth(in_cut_minute, COUNTER, ["ts", "request_id"], F.col("first_denied")).select(
         *COUNTER, "hot", F.struct(F.col("ts"), F.col("request_id")).alias("cut")
     )
+    if _few(limits):
+        return found
     quiet = (
         cut_minutes.groupBy(*COUNTER)
         .agg(F.max("first_denied").alias("_denied"), F.max("hot").alias("hot"))
@@ -277,13 +299,12 @@ def tier_denials(
 ) -> DataFrame:
     """(request_id, ts, tier, scope, retry_after_seconds) per denial of a tier."""
     return (
-        lookup_join(
+        _looked_up(
             _tier_rows(requests, limits, horizon),
             cutoffs(requests, limits, used, horizon, minutes),
             COUNTER,
-            hot=F.col("hot"),
-            spread=["request_id"],
-            how="inner",
+            limits,
+            "hot",
         )
         .where(F.struct("ts", "request_id") >= F.col("cut"))
         .select(

@@ -123,10 +123,12 @@ class CounterStore:
         limits: RateLimits,
         horizon: int | None,
         minutes: DataFrame | None = None,
+        newest: int | None = None,
     ) -> None:
         """Store what a batch of requests (ts, client_id, ip) adds; `minutes` are its counts by
-        minute, if they are at hand."""
-        newest = batch.agg(F.max(F.unix_seconds("ts")).alias("s")).first()["s"]
+        minute and `newest` its last second, if they are at hand."""
+        if newest is None:
+            newest = batch.agg(F.max(F.unix_seconds("ts")).alias("s")).first()["s"]
         ends = [v for v in (newest, horizon) if v is not None]
         rows = counters(batch, limits, horizon, minutes)
         self._write(Segment(self.stream, batch_id, batch_id), rows, max(ends, default=None))

@@ -31,10 +31,13 @@ from ..operators.ratelimit import (
     tier_denials,
     window_reset,
 )
+from ..sources.files import delete
+from ..sources.scratch import scratch
 from .counters import CounterStore
 from .screening import stream_id
 
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -103,8 +106,9 @@ def rate_limit_stream(
 # --- keyed state --------------------------------------------------------------------------
 
 USER, ADDRESS = 0, 1
-#: Slots that the identities of a day are dealt to by their hash; fixed for a checkpoint.
-SLOTS = 64
+#: Slots that the identities of a day are dealt to by their hash; fixed for a checkpoint.  A slot
+#: and day costs some 20 ms a batch besides its rows.
+SLOTS = 16
 _COUNTED = (
     "request_id string, ts timestamp, client_id string, ip string, kind int, tier int, "
     "late boolean, retry_after_seconds bigint"
@@ -280,7 +284,13 @@ def count_keyed(
     )
 
 
-def _joined(counted: DataFrame, limits: RateLimits, used: DataFrame | None, horizon: int | None) -> DataFrame:
+def _joined(
+    counted: DataFrame,
+    limits: RateLimits,
+    used: DataFrame | None,
+    horizon: int | None,
+    minutes: DataFrame | None = None,
+) -> DataFrame:
     """One row per request out of the keyed tiers and the global one."""
     requests = counted.where(F.col("kind") == USER)
     overall = replace(limits, enforced=(GLOBAL_TIER,))
@@ -288,7 +298,7 @@ def _joined(counted: DataFrame, limits: RateLimits, used: DataFrame | None, hori
         counted.where("tier is not null")
         .select("request_id", "tier", "retry_after_seconds")
         .unionByName(
-            tier_denials(requests, overall, used, horizon).select(
+            tier_denials(requests, overall, used, horizon, minutes).select(
                 "request_id", "tier", "retry_after_seconds"
             )
         )
@@ -311,34 +321,53 @@ def rate_limit_keyed_stream(
     state: str,
     checkpoint: str,
     limits: RateLimits = RateLimits(),
+    slots: int = SLOTS,
+    partitions: int | None = None,
     **trigger,
 ):
     """The limiter of `rate_limit_stream` with its user and address counters as keyed state
-    in the checkpoint; the global counter is in `state`, shared with other streams there."""
+    in the checkpoint; the global counter is in `state`, shared with other streams there.
+
+    `slots` and `partitions` are fixed for a checkpoint.  A partition of the state costs a Python
+    worker and a store of its own in each batch, however few rows it gets, so there are as many as
+    cores unless `partitions` or `spark.sql.shuffle.partitions` says fewer.
+    """
+    spark = requests.sparkSession
     overall = replace(limits, enforced=(GLOBAL_TIER,))
 
     def process(counted: DataFrame, batch_id: int) -> None:
-        counted = counted.persist()  # the state must be read once
+        # The state must be read once.  What follows runs in the caller's session, as that of a
+        # stream plans each shuffle with all partitions, however few rows there are.
+        stored = scratch(spark, "counted")
         try:
-            if counted.isEmpty():  # a batch in which only timers ran
+            counted.write.parquet(stored)
+            counted = spark.read.schema(_COUNTED).parquet(stored)
+            n, newest = counted.agg(F.count(F.lit(1)), F.max(F.unix_seconds("ts"))).first()
+            if not n:  # a batch in which only timers ran
                 return
             stream = stream_id(counted)
-            store = CounterStore(counted.sparkSession, state, stream)
+            store = CounterStore(spark, state, stream)
             counts = store.before(batch_id)
-            _joined(counted, limits, counts.used, counts.horizon).write.mode("overwrite").parquet(
-                _results(out, stream, batch_id)
-            )
             own = counted.where(F.col("kind") == USER)
-            store.add(batch_id, own, overall, counts.horizon)
+            minutes = stored_minutes(own, overall, counts.horizon)
+            _joined(counted, limits, counts.used, counts.horizon, minutes).write.mode(
+                "overwrite"
+            ).parquet(_results(out, stream, batch_id))
+            store.add(batch_id, own, overall, counts.horizon, minutes, newest)
         finally:
-            counted.unpersist()
-
-    spark = requests.sparkSession
-    before = spark.conf.get(_STATE_STORE, None)
-    spark.conf.set(_STATE_STORE, _ROCKSDB)  # the only store with timers; fixed when a query starts
+            delete(spark, stored)
+
+    cores = partitions or spark.sparkContext.defaultParallelism
+    fixed = {  # when a query starts; no other store has timers
+        _STATE_STORE: _ROCKSDB,
+        _PARTITIONS: str(min(cores, int(spark.conf.get(_PARTITIONS)))),
+    }
+    before = {key: spark.conf.get(key, None) for key in fixed}
+    for key, value in fixed.items():
+        spark.conf.set(key, value)
     try:
         return (
-            count_keyed(requests, limits)
+            count_keyed(requests, limits, slots)
             .writeStream.foreachBatch(process)
             .option("checkpointLocation", checkpoint)
             .outputMode("append")
@@ -346,4 +375,5 @@ def rate_limit_keyed_stream(
             .start()
         )
     finally:
-        spark.conf.unset(_STATE_STORE) if before is None else spark.conf.set(_STATE_STORE, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -336,3 +336,33 @@ def test_a_batch_is_counted_by_minute_once(spark, tmp_path, monkeypatch):
     drained(rate_limit_stream(
         read_stream(spark, folder, DDL, 1), str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp"), LIMITS))
     assert len(calls) == 2  # one a batch
+
+
+def test_the_keyed_limiter_has_no_more_partitions_than_cores(spark, tmp_path, monkeypatch):
+    """A partition of the state costs a worker and a store; what follows the state counts once
+    by minute, not by identity, and leaves nothing behind."""
+    from promptsieve.operators import ratelimit
+    from promptsieve.streaming import ratelimit as streaming
+
+    named, count, folders, real = [], ratelimit._minute_counts, [], streaming.scratch
+    monkeypatch.setattr(ratelimit, "_minute_counts", lambda *a: named.append(count(*a)) or named[-1])
+    monkeypatch.setattr(streaming, "scratch", lambda *a: folders.append(real(*a)) or folders[-1])
+    rows, folder, out = log(14, 200), str(tmp_path / "in"), str(tmp_path / "out")
+    write_in_order(spark, rows, folder, 2)
+    spark.conf.set("spark.sql.shuffle.partitions", 30)
+    try:
+        query = rate_limit_keyed_stream(
+            read_stream(spark, folder, DDL, 1), out, str(tmp_path / "state"), str(tmp_path / "cp"), LIMITS)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "30"
+        drained(query)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    states = [s.numShufflePartitions for p in query.recentProgress for s in p.stateOperators]
+    assert states and max(states) <= spark.sparkContext.defaultParallelism
+    assert len(named) == 2  # one a batch
+    plan = named[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(c in line for line in plan.split("\n") if "Aggregate" in line for c in ("client_id", "ip#"))
+    assert folders and not any(os.path.exists(f) for f in folders)
+    got = {r.request_id: (r.allowed, r.scope, r.retry_after_seconds) for r in spark.read.parquet(out).collect()}
+    assert got == {r.request_id: (r.allowed, r.scope, r.retry_after_seconds)
+                   for r in rate_limit(spark.createDataFrame(rows, DDL), LIMITS).collect()}
